@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -55,39 +56,64 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# The letters and numbers among the usual characters below.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The byte-level tokenizer's own split of a text of usual characters into pieces, which are encoded one by one.
+PIECE = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+#: Texts with other characters, or with what may be a special token, are encoded whole.
+UNUSUAL = re.compile("<\\||[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
+
+
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes, memoised by space-delimited chunk.
+    """Ids of whole texts as little-endian uint32 bytes, memoised by piece.
 
-    Byte-level BPE with the usual pattern always starts a new piece before a space that is followed by
-    a non-space, so the ids of a text are those of its chunks one after another. Texts where a chunk is
-    empty, starts with white space or may hold a special token are encoded in one go instead.
+    New words are encoded many at a time as one text, whose ids fall to its words by the lengths of their
+    bytes. Texts with unusual characters are encoded in one go instead.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 700_000):
+        import numpy as np
+
         self.tok, self.memo, self.ids = tokenizer(path), memo, {}
+        # a byte-level token's text has one character for each of its bytes
+        sizes = {i: len(token) for token, i in self.tok.get_vocab(with_added_tokens=False).items()}
+        self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, words: list[str], separator: str) -> None:
+        """Learn the ids of words that stay pieces of their own in separator.join(words); separator is '' or a piece of one byte."""
+        import numpy as np
+
+        ends = np.cumsum([len(w.encode()) + len(separator) for w in words])
+        ids = np.asarray(self.tok.encode_batch_fast([separator.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.searchsorted(np.cumsum(self.sizes[ids]), ends - len(separator), side="left") + 1
+        flat, start, gap = ids.tobytes(), 0, 4 * len(separator)
+        for word, end in zip(words, (4 * at).tolist()):
+            self.ids[word] = flat[start:end]
+            start = end + gap
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces, plain, missing = [], [], set()
-        for text in texts:
-            first, *rest = text.split(" ")
-            own = {chunk for chunk in rest if chunk not in self.ids}
-            ok = "<|" not in text and not any(not chunk or chunk[0].isspace() for chunk in own)
-            plain.append(ok)
-            pieces.append((first, rest))
-            if ok:
-                missing |= own
+        unusual = [UNUSUAL.search(text) is not None for text in texts]
+        odd = iter(self.whole([text for text, u in zip(texts, unusual) if u]))
+        plain = [None if u else PIECE.findall(text) for text, u in zip(texts, unusual)]
+        missing = set().union(*(pieces for pieces in plain if pieces)) - self.ids.keys()
         if len(self.ids) + len(missing) > self.memo:
             self.ids = {}
-            missing = {chunk for ok, (_, rest) in zip(plain, pieces) if ok for chunk in rest}
-        new = list(missing)
-        self.ids.update(zip(new, self.whole([f" {chunk}" for chunk in new])))
-        starts = self.whole([first if ok else text for ok, (first, _), text in zip(plain, pieces, texts)])
-        return [start + b"".join(map(self.ids.__getitem__, rest)) if ok else start for ok, start, (_, rest) in zip(plain, starts, pieces)]
+            missing = set().union(*(pieces for pieces in plain if pieces))
+        spaced = [w for w in missing if w[0] == " " and w[1:].isalpha()]
+        bare = [w for w in missing if w.isalpha()]
+        for words, separator in ((spaced, ""), (bare, "\n")):
+            for i in range(0, len(words), 20_000):
+                self.together(words[i : i + 20_000], separator)
+        rest = [w for w in missing if w not in self.ids]
+        self.ids.update(zip(rest, self.whole(rest)))
+        get = self.ids.__getitem__
+        return [next(odd) if pieces is None else b"".join(map(get, pieces)) for pieces in plain]
 
 
 @lru_cache(maxsize=2)
