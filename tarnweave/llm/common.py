@@ -116,10 +116,20 @@ class Encoder:
         return [next(odd) if pieces is None else b"".join(map(get, pieces)) for pieces in plain]
 
 
-@lru_cache(maxsize=2)
+_kept: list = [None, None]
+
+
+def kept(key, make):
+    """make() or, where this worker's last call had the same key, its result: memos outlive tasks, but one at a time."""
+    if _kept[0] != key:
+        _kept[:] = [key, None]
+        _kept[1] = make()
+    return _kept[1]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for a Python worker, so its memo serves all tasks that the worker runs."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def byte_bpe_path() -> str:
@@ -128,7 +138,7 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def text_batches(pdf, column: str, most: int = 4_000_000):
+def text_batches(pdf, column: str, most: int = 2_000_000):
     """Slices of a pandas frame of about `most` characters of text each, for bounded memory."""
     start = size = 0
     for i, n in enumerate(pdf[column].str.len().fillna(0).astype(int).tolist()):

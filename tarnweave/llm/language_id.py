@@ -40,7 +40,7 @@ DEPENDENCE = 50.0
 #: Rows that a level's parent counts for in the address prior, and markup's pseudo-counts.
 STRENGTH, MARKUP_STRENGTH = 10.0, 5.0
 ACCEPT = 0.5
-MEMO = 300_000
+MEMO = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import kept, table, text_batches
 
 SAMPLE_DOCS = 4000
 THRESHOLD = 0.7
@@ -44,7 +44,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 110_000, 24_576
 #: Characters that a widened symbol depends on, and lengths of the word beginnings that toxic samples may be.
 CONTEXT, BEGINNINGS = 5, range(3, 8)
 #: Distinct words a worker remembers the savings of.
-MEMO = 500_000
+MEMO = 300_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -196,16 +196,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Mod
     return fit([(r["toxic"], r["half"], r["text"]) for r in rows])
 
 
-_savings: dict[int, Savings] = {}
-
-
 def _savings_of(model: Model) -> Savings:
     """One for a worker and model, so that later tasks find its memory filled."""
     key = zlib.crc32(model.toxic, zlib.crc32(model.ordinary))
-    if key not in _savings:
-        _savings.clear()
-        _savings[key] = Savings(model.ordinary, model.toxic)
-    return _savings[key]
+    return kept(("savings", key), lambda: Savings(model.ordinary, model.toxic))
 
 
 def scores(texts: list[str], model: Model) -> np.ndarray:
