@@ -35,7 +35,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; those without a clear language go."""
     rows = _numbered(docs)
-    found = identify_documents(rows, learn(docs), ["row_no"])
+    # written first: a filter would be pushed below the fusion and repeat its expressions
+    found = materialise(identify_documents(rows, learn(docs), ["row_no"]), "languages")
     return _only(rows, found.where("accepted").select("row_no"))
 
 
