@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, table, text_batches
+from .common import connected_components, materialise, shuffle_partitions, table, text_batches
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -70,7 +70,8 @@ def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
-    variants = fps.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    # few bytes become many rows: dealt out first, so that no task explodes a whole file of fingerprints
+    variants = fps.repartition(shuffle_partitions(fps.sparkSession), "fp").select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     owners = variants.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
     pairs = owners.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
