@@ -43,6 +43,12 @@ STEPS = (6, 10, 14, 20, 28, 36)
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 24_576
 #: Characters that a widened symbol depends on, and lengths of the word beginnings that toxic samples may be.
 CONTEXT, BEGINNINGS = 5, range(3, 8)
+#: A toxic sample is in so many times more toxic texts than the ordinary texts' share would give.
+CLEARLY = 4
+#: Share of the toxic texts that have it at least; a passage that is copied among a few texts isn't a sign.
+SUPPORT = 0.015
+#: Most frequent ordinary words, all of which the ordinary dictionary holds.
+FREQUENT = 6000
 #: Distinct words a worker remembers the savings of.
 MEMO = 300_000
 
@@ -71,8 +77,8 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def train_dictionary(counts: list[tuple[str, int]], size: int) -> bytes:
-    """Widened content of a zstandard dictionary trained on words, each repeated as often as counted, in blocks of 12."""
+def train_dictionary(counts: list[tuple[str, int]], size: int, always: list[str] = []) -> bytes:  # noqa: B006
+    """Widened content of a zstandard dictionary trained on words, each repeated as often as counted, in blocks of 12; `always`: words it holds at any rate."""
     import zstandard
 
     pool = [w for w, n in counts for _ in range(n)]
@@ -83,7 +89,7 @@ def train_dictionary(counts: list[tuple[str, int]], size: int) -> bytes:
         text = trained[300:].decode("utf-8", "ignore")  # past the header's entropy tables
     except zstandard.ZstdError:  # too few samples to choose from: they all go in
         text = " ".join(dict.fromkeys(pool))[-size:]
-    return widen(f" {text} ")
+    return widen(f" {text} {' '.join(always)} ")
 
 
 class Savings:
@@ -119,7 +125,7 @@ class Savings:
         return [*np.log1p(counts), *(max(0, x) / 40 for x in top[:3]), counts[3] / max(n, 20) * 20, np.log1p(n) / 10]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60) -> np.ndarray:
     """Weights of a logistic curve by Newton's method; the last is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -155,15 +161,19 @@ def train_both(rows: list[tuple[int, bool, str]]) -> tuple[bytes, bytes] | None:
 
     def marked(window: str, n: int) -> bool:
         expected = docs[1] * (have[0][window] + 1) / max(1, docs[0])
-        return n > expected + 4 * expected**0.5 + 3
+        return n > CLEARLY * expected + 5 and n >= SUPPORT * docs[1]
 
-    toxic = {w: min(n, 400) for w, n in have[1].items() if marked(w, n)}
-    ordinary = [(w.strip(), min(n, 20)) for w, n in have[0].items() if n >= 2 and w[-1] == " " and w not in toxic]
-    return (train_dictionary(ordinary, ORDINARY_BYTES), train_dictionary([(w.strip(), n) for w, n in toxic.items()], TOXIC_BYTES)) if ordinary and toxic else None
+    toxic = {w: min(n, 400) for w, n in sorted(have[1].items()) if marked(w, n)}
+    ordinary = [(w.strip(), min(n, 20)) for w, n in sorted(have[0].items()) if n >= 2 and w[-1] == " " and w not in toxic]
+    if not ordinary or not toxic:
+        return None
+    often = sorted((-have[0][f"{w} "], w) for w, _ in ordinary)[:FREQUENT]
+    return train_dictionary(ordinary, ORDINARY_BYTES, [w for _, w in often]), train_dictionary([(w.strip(), n) for w, n in toxic.items()], TOXIC_BYTES)
 
 
 def fit(rows: list[tuple[int, bool, str]]) -> Model:
     """rows: (label, half, text). Dictionaries of either half score the other one, which the curve is fitted to; the model has dictionaries of both."""
+    rows = list({(r[0], r[2]): r for r in rows}.values())  # copies of a text say nothing new
     labels = [r[0] for r in rows]
     share = float(np.mean(labels)) if labels else 0.0
     if not labels or share in (0.0, 1.0):
