@@ -130,7 +130,7 @@ class Graph:
             all_sims = np.concatenate([sims[here], mate_sims.astype(np.float32)], 1)
             best = np.argsort(-all_sims, axis=1, kind="stable")[:, :BUILD_BEAM]
             chosen = diverse(self.points, np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_sims, best, 1), NEIGHBOURS)
-            self.links[level][batch[here], :NEIGHBOURS] = chosen
+            self.links[level][batch[here], : chosen.shape[1]] = chosen
             self._link_back(level, batch[here], chosen)
 
     def _link_back(self, level: int, nodes: np.ndarray, chosen: np.ndarray) -> None:
