@@ -43,11 +43,13 @@ STEPS = (6, 10, 14, 20, 28, 36)
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 24_576
 #: Characters that a widened symbol depends on, and lengths of the word beginnings that toxic samples may be.
 CONTEXT, BEGINNINGS = 5, range(3, 8)
-#: A toxic sample is in so many times more toxic texts than the ordinary texts' share would give.
-CLEARLY = 4
+#: Ordinary words that begin with a toxic sample of these lengths aren't trained on.
+STEMS = range(5, 8)
+#: A toxic sample is in so many times more toxic texts than the ordinary texts' share, with its deviation, would give.
+CLEARLY = 2
 #: Share of the toxic texts that have it at least; a passage that is copied among a few texts isn't a sign.
 SUPPORT = 0.015
-#: Most frequent ordinary words, all of which the ordinary dictionary holds.
+#: Most frequent samples of either kind, all of which its dictionary holds: training may leave some out.
 FREQUENT = 6000
 #: Distinct words a worker remembers the savings of.
 MEMO = 300_000
@@ -161,14 +163,14 @@ def train_both(rows: list[tuple[int, bool, str]]) -> tuple[bytes, bytes] | None:
 
     def marked(window: str, n: int) -> bool:
         expected = docs[1] * (have[0][window] + 1) / max(1, docs[0])
-        return n > CLEARLY * expected + 5 and n >= SUPPORT * docs[1]
+        return n > CLEARLY * (expected + expected**0.5) + 5 and n >= SUPPORT * docs[1]
 
     toxic = {w: min(n, 400) for w, n in sorted(have[1].items()) if marked(w, n)}
-    ordinary = [(w.strip(), min(n, 20)) for w, n in sorted(have[0].items()) if n >= 2 and w[-1] == " " and w not in toxic]
+    ordinary = [(w.strip(), min(n, 20)) for w, n in sorted(have[0].items()) if n >= 2 and w[-1] == " " and w not in toxic and not any(w[:k] in toxic for k in STEMS)]
     if not ordinary or not toxic:
         return None
-    often = sorted((-have[0][f"{w} "], w) for w, _ in ordinary)[:FREQUENT]
-    return train_dictionary(ordinary, ORDINARY_BYTES, [w for _, w in often]), train_dictionary([(w.strip(), n) for w, n in toxic.items()], TOXIC_BYTES)
+    often = lambda label, names: [w.strip() for _, w in sorted((-have[label][w], w) for w in names)[:FREQUENT]]
+    return train_dictionary(ordinary, ORDINARY_BYTES, often(0, [f"{w} " for w, _ in ordinary])), train_dictionary([(w.strip(), n) for w, n in toxic.items()], TOXIC_BYTES, often(1, toxic))
 
 
 def fit(rows: list[tuple[int, bool, str]]) -> Model:
