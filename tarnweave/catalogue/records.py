@@ -73,7 +73,7 @@ register("master_records", lambda t: dedup.masters(t.view("products"), ["title",
 SELECT id, round(score, 6) AS score FROM (SELECT id, title, brand, (1 + CASE WHEN description <> '' THEN 1 ELSE 0 END + CASE WHEN main_image_url <> '' THEN 1 ELSE 0 END) / CAST(3 AS DOUBLE) * 30 + 20 AS score FROM products) QUALIFY row_number() OVER (PARTITION BY title, brand ORDER BY score DESC, id) = 1""")
 register("consistency_pairs_or_join", lambda t: dedup.equal_name_or_phone(t.view("suppliers")), "SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM (SELECT id, name, phone FROM suppliers) a JOIN (SELECT id, name, phone FROM suppliers) b ON a.id < b.id AND (a.name = b.name OR a.phone = b.phone)")
 register("same_fields_of_groups", lambda t: dedup.same_fields(t.view("products"), ["title"], ["brand", "currency"]).select("title", F.array_contains("same_fields", "currency").alias("one_currency")), "SELECT title, COUNT(DISTINCT currency) = 1 AS one_currency FROM products GROUP BY 1")
-near = lambda: F.concat_ws("|", "brand", F.floor(F.col("price_min") / 25).cast("string"))
+near = lambda: F.concat_ws("|", "brand", "category_name", F.floor(F.col("price_min") / 5).cast("string"))
 register("pairwise_similarity", lambda t: dedup.similar_pairs(t.view("products"), near(), dedup.PRODUCT_WEIGHTS, 0.5))
 register("greedy_duplicate_groups", lambda t: dedup.greedy_groups(t.view("products"), near(), dedup.PRODUCT_WEIGHTS, 0.5))
 register("first_seen_filter", lambda t: dedup.first_seen(t.view("logs"), ["timestamp", "id"], "error_type").select("id", "error_type"), "SELECT id, error_type FROM logs QUALIFY error_type IS NULL OR row_number() OVER (PARTITION BY error_type ORDER BY timestamp, id) = 1")
