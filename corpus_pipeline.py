@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tarnweave.llm.common import byte_bpe_path, materialise, table
 from tarnweave.llm.language_id import identify_documents, learn
 from tarnweave.llm.mixing import mix_sources
+from tarnweave.llm.near_copies import near_copy_classes
 from tarnweave.llm.packing import pack_documents
-from tarnweave.llm.simhash import near_duplicate_classes, with_fingerprints
 from tarnweave.llm.toxicity import THRESHOLD, fit_on, with_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,10 +47,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the first row with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the first row with the smallest doc_id."""
     rows = _numbered(docs)
-    prints = materialise(with_fingerprints(rows, keep=("doc_id", "row_no")), "simhash")
-    classes = near_duplicate_classes(prints, key="row_no")
+    classes = near_copy_classes(rows, keep=("doc_id",))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_no"))
     return _only(rows, classes.groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_no"))
 
