@@ -2,9 +2,10 @@
 
 Vectors of a label (and of one length) are dealt to shards of at most about SHARD_ROWS; each shard gets a
 graph of its own, and every shard of the label is queried with every vector of the label, block by block. A
-block's links are audited: AUDIT_ROWS of its vectors are compared with the whole shard, and while less than
-AUDIT_RECALL of their true links join vectors that the search has joined, the beams are doubled (a beam as
-wide as the shard is exhaustive). Links are verified by cosine in double precision, united to components over
+block's links are audited: AUDIT_ROWS at a time, its vectors are compared with the whole shard until AUDIT_LINKED
+of them have links, and while less than AUDIT_RECALL of a vector's true links, in the mean of these, join vectors
+that the search has joined, the beams are doubled (a beam as wide as the shard is exhaustive). Equal vectors are
+one node of a graph. Links are verified by cosine in double precision, united to components over
 all shards, and the links of a vector are then counted exactly inside its component, block against block.
 
 A null label, a null or empty vector, a zero vector, and one with null or non-finite components link with
@@ -33,6 +34,8 @@ LAYER_RATIO = 12
 BATCH = 256
 EXPAND = 4
 AUDIT_ROWS, AUDIT_RECALL = 128, 0.99
+#: Vectors with links that an audit is to see, and the most vectors it compares for that.
+AUDIT_LINKED, AUDIT_MOST = 32, 2048
 #: Rows of a block in the exact count.
 COUNT_ROWS = 4096
 
@@ -198,9 +201,20 @@ def linked(graph: Graph, indexed: np.ndarray, queries: np.ndarray, same: bool, t
     """Root of each node (queries first, then indexed; of the same vectors if same), and the audit's recall. Arguments of double precision and length one."""
     shift = 0 if same else len(queries)
     n = shift + len(indexed)
-    sample = np.sort(np.random.default_rng(len(queries)).permutation(len(queries))[:AUDIT_ROWS])
-    q, i = np.nonzero(queries[sample] @ indexed.T >= threshold)
-    true_a, true_b = sample[q], i + shift
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    parts, having = [], 0
+    for at in range(0, len(order), AUDIT_ROWS):  # on until enough vectors have links
+        sample = order[at : at + AUDIT_ROWS]
+        q, i = np.nonzero(queries[sample] @ indexed.T >= threshold)
+        q = sample[q]
+        if same:
+            q, i = q[q != i], i[q != i]
+        parts.append((q, i))
+        having += len(np.unique(q))
+        if having >= AUDIT_LINKED or at + AUDIT_ROWS >= AUDIT_MOST:
+            break
+    true_a, true_b = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, int), np.empty(0, int))
+    _, place, links = np.unique(true_a, return_inverse=True, return_counts=True)
     beam = BEAM
     while True:
         ids, sims = graph.search(queries.astype(np.float32), beam, np.arange(len(queries)) if same else None)
@@ -208,14 +222,15 @@ def linked(graph: Graph, indexed: np.ndarray, queries: np.ndarray, same: bool, t
         b = ids[a, k]
         keep = verified(queries, indexed, a, b, threshold)
         root = roots_of(a[keep], b[keep] + shift, n)
-        recall = float((root[true_a] == root[true_b]).mean()) if len(true_a) else 1.0
+        # each vector counts once, however many links it has
+        recall = float((np.bincount(place, root[true_a] == root[true_b + shift]) / links).mean()) if len(links) else 1.0
         if recall >= AUDIT_RECALL or beam >= len(indexed):
             return root, recall
         beam *= 2
 
 
 def vector_links(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) that join all vectors found near each other; rows: uid long, label, dim, vector array<double>, read twice."""
+    """Links (a, b) that join all vectors found near each other; rows: uid long, label, dim, vector array<double>, read twice. The table written also holds each block's recall, in rows of null links."""
     sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
     dealt = rows.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")))
 
@@ -236,14 +251,17 @@ def vector_links(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: int
         graph.points, graph.links, graph.top, graph.entry = vectors.astype(np.float32), links, top, entry
         same = pdf["shard"].iloc[0] == pdf["block"].iloc[0]
         own_uids, own = (uids, vectors) if same else pickle.loads(pdf["queries"].iloc[0])[:2]
-        root, _ = linked(graph, vectors, own, same, threshold)
+        root, recall = linked(graph, vectors, own, same, threshold)
         names = own_uids if same else np.concatenate([own_uids, uids])
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": names[moved], "b": names[root[moved]]})
+        links = pd.DataFrame({"a": pd.array(names[moved], "Int64"), "b": pd.array(names[root[moved]], "Int64"), "recall": np.nan})
+        audit = pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "recall": [recall]})
+        return pd.concat([audit, links])[["a", "b", "recall"]].assign(label=pdf["label"].iloc[0], dim=pdf["dim"].iloc[0], shard=pdf["shard"].iloc[0], block=pdf["block"].iloc[0])
 
     # every shard of a label meets every block of its vectors; a row here is a shard and a block
     pairs = indexes.join(blocks, ["label", "dim"]).withColumn("queries", F.when(F.col("shard") != F.col("block"), F.col("queries")))
-    return pairs.groupBy("label", "dim", "shard", "block").applyInPandas(search, "a long, b long")
+    found = pairs.groupBy("label", "dim", "shard", "block").applyInPandas(search, f"a long, b long, recall double, label {label}, dim int, shard long, block long")
+    return materialise(found, "links").where("a IS NOT NULL").select("a", "b")
 
 
 def count_links(members: DataFrame, threshold: float = THRESHOLD, block_rows: int = COUNT_ROWS) -> DataFrame:
@@ -274,7 +292,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
     # scaled by the largest component, so that no norm overflows or vanishes
     scaled = F.transform(wide, lambda x: x / F.array_max(F.transform(wide, lambda y: F.abs(y))))
     rows = materialise(slim.select(key, "label", "good", F.size(wide).alias("dim"), F.when(F.col("good"), scaled).alias("vector")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    parts = materialise(connected_components(vector_links(rows.where("good").drop("good"), threshold, shard_rows)), "components")
+    # equal vectors are one node, so that no beam fills with a vector's own copies
+    kin = ["label", "dim", "vector"]
+    nodes = materialise(rows.where("good").groupBy(*kin).agg(F.min("uid").alias("uid")), "nodes")
+    copies = rows.where("good").join(nodes.withColumnRenamed("uid", "a"), kin).where("uid <> a").select("a", F.col("uid").alias("b"))
+    parts = materialise(connected_components(vector_links(nodes.select("uid", *kin), threshold, shard_rows).unionByName(copies)), "components")
     members = rows.join(parts, rows["uid"] == parts["node"]).select("uid", key, "component", "vector")
     least = members.groupBy("component").agg(F.min(key).alias("component_id"))
     found = count_links(members, threshold).join(members.select("uid", "component"), "uid").join(least, "component").select("uid", "n_links", "component_id")
