@@ -1,57 +1,65 @@
 """Operator 6: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text, and every window of a
-document is compressed with both: the saving of the toxic dictionary over the ordinary one says whose
-language the window speaks. Windows are single words with their boundaries. Because zstandard counts whole
-bytes and a word has few, trained dictionaries and windows are widened first: each character becomes 8 bytes
-hashed from it and the few before it, so a sequence that a dictionary lacks costs 8 bytes a character, and
-one that it has next to nothing.
-The savings over a document's windows give a few counts, and a logistic curve turns them into a score
-from 0 to 1. The curve is fitted on rows that the dictionaries at work there have not seen (two halves score
-each other).
-
-Fitting reads a bounded sample: at most SAMPLE_DOCS labelled documents of each label, those with the smallest
-hashes of their ids. Scoring reads whole texts of all rows.
-
-Null and empty texts have no windows and get the curve's value there; repeated rows get equal scores; where
-the labels hold no toxic or no ordinary row, or the tables are empty, every score is the share of toxic
-labels (0 without any). Labels other than 0 and 1 and null labels are not learned from. Columns of other
-names pass through unread.
+Two zstandard dictionaries are trained on windows of labelled texts, one on ordinary and one on toxic text; a
+window is a run of WINDOW words, and windows overlap. A document's windows are compressed with either: what a
+window saves when the toxic dictionary stands behind the ordinary one, against the ordinary one alone, says how
+much toxic language it holds, as all that the two share costs the same. zstandard counts whole bytes, of which
+a short window has few, so text is widened before it is compressed: each character becomes 8 bytes hashed from it
+and those before it in its word, CONTEXT at most, and a sequence that a dictionary lacks costs 8 bytes a character.
+
+Most windows of a toxic text are ordinary, so the toxic dictionary is trained in rounds. At first it gets those
+windows that the ordinary dictionary explains worst; then, in each round, the dictionary of one half of the toxic
+texts picks the windows of the other half that save more than nearly all ordinary windows do (the threshold is
+that quantile, so it follows the data), and these train the next one. Last, the ordinary dictionary is extended
+by ordinary windows that the toxic one would have shortened.
+
+A few counts of a document's savings are turned into a score from 0 to 1 by a logistic curve, fitted on texts that
+the dictionaries at work there have not seen (two halves score each other), and moved so that THRESHOLD lies where
+it makes the fewest errors there. Constants were chosen by cross-validation among rows that aren't held out.
+
+Fitting reads a bounded sample, in one task: at most SAMPLE_DOCS labelled documents of each label, those with the
+smallest hashes of their ids, and of a text longer than SAMPLE_CHARS evenly spaced stretches of that many characters
+in all. Scoring reads whole texts of all rows.
+
+Null and empty texts have no windows and get the curve's value there; repeated rows get equal scores; of a doc_id
+with several texts the smallest is learned from; where the labels hold no toxic or no ordinary row, or the
+tables are empty, every score is the share of toxic labels (0 without any). Labels other than 0 and 1 and null labels
+are not learned from; of several labels of one doc_id the largest holds. Columns of other names pass through unread.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
-from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table, text_batches
+from .common import kept, materialise, table, text_batches
 
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS, SAMPLE_CHARS, STRETCH = 4000, 20_000, 1000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-#: Savings, in bytes, at which windows are counted.
-STEPS = (6, 10, 14, 20, 28, 36)
-ORDINARY_BYTES, TOXIC_BYTES = 110_000, 24_576
-#: Characters that a widened symbol depends on, and lengths of the word beginnings that toxic samples may be.
-CONTEXT, BEGINNINGS = 5, range(3, 8)
-#: Ordinary words that begin with a toxic sample of these lengths aren't trained on.
-STEMS = range(5, 8)
-#: A toxic sample is in so many times more toxic texts than the ordinary texts' share, with its deviation, would give.
-CLEARLY = 2
-#: Share of the toxic texts that have it at least; a passage that is copied among a few texts isn't a sign.
-SUPPORT = 0.015
-#: Most frequent samples of either kind, all of which its dictionary holds: training may leave some out.
-FREQUENT = 6000
-#: Distinct words a worker remembers the savings of.
+WINDOW = 3
+#: Characters that a widened symbol depends on.
+CONTEXT = 9
+#: Sizes of the dictionaries before widening: ordinary, its extension, toxic. zstandard's segment and pattern lengths.
+ORDINARY_BYTES, EXTENSION_BYTES, TOXIC_BYTES = 112_640, 65_536, 16_384
+LONG_SEGMENT, SEGMENT, PATTERN = 64, 16, 8
+#: Ordinary windows that train a dictionary and that set thresholds.
+TRAINING_WINDOWS, MEASURED_WINDOWS = 150_000, 30_000
+#: Quantiles of ordinary windows that a first toxic window's length and a chosen window's saving exceed; rounds of choosing.
+POORLY, CLEARLY, ROUNDS = 0.9, 0.99, 3
+#: Least saving, in bytes, that chooses a window, and that makes an ordinary one extend its dictionary.
+LEAST, EXTENDS = 8, 20
+#: Savings, in bytes, at which windows are counted; a saving below the first counts for nothing.
+STEPS = (6, 10, 16, 22, 28, 40)
+#: Distinct words that a worker remembers the widened form of.
 MEMO = 300_000
 
 
@@ -60,71 +68,99 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-@lru_cache(maxsize=200_000)
-def symbol(context: str) -> bytes:
-    return hashlib.blake2b(context.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+def words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
-def widen(text: str) -> bytes:
-    """8 bytes for each character but the first, hashed from it and those before it in its word, CONTEXT at most."""
-    out, start = [], 0
-    for i in range(1, len(text)):
-        if text[i - 1] == " ":
-            start = i - 1
-        out.append(symbol(text[max(start, i - CONTEXT + 1) : i + 1]))
-    return b"".join(out)
+def windows(own: list[str], step: int = 1) -> list[list[str]]:
+    """Runs of WINDOW words, a new one each `step` words; all of fewer words."""
+    return [own[i : i + WINDOW] for i in range(0, max(1, len(own) - WINDOW + 1), step)] if own else []
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def symbols(word: str) -> list[bytes]:
+    """8 bytes for each character of the word and for the space after it."""
+    padded = f" {word} "
+    return [hashlib.blake2b(padded[max(0, i - CONTEXT + 1) : i + 1].encode("utf-8", "surrogatepass"), digest_size=8).digest() for i in range(1, len(padded))]
+
+
+class Widener:
+    """Widened words, remembered."""
 
+    def __init__(self):
+        self.seen: dict[str, bytes] = {}
 
-def train_dictionary(counts: list[tuple[str, int]], size: int, always: list[str] = []) -> bytes:  # noqa: B006
-    """Widened content of a zstandard dictionary trained on words, each repeated as often as counted, in blocks of 12; `always`: words it holds at any rate."""
+    def __call__(self, window: list[str]) -> bytes:
+        if len(self.seen) > MEMO:
+            self.seen.clear()
+        out = []
+        for word in window:
+            wide = self.seen.get(word)
+            if wide is None:
+                wide = self.seen[word] = b"".join(symbols(word))
+            out.append(wide)
+        return b"".join(out)
+
+
+def trained(samples: list[list[str]], size: int, segment: int, widen: Widener) -> bytes:
+    """Widened content of the zstandard dictionary trained on windows; where these are too few to choose from, of all of them."""
     import zstandard
 
-    pool = [w for w, n in counts for _ in range(n)]
-    random.Random(6).shuffle(pool)
-    blocks = [f" {' '.join(pool[i : i + 12])} ".encode() for i in range(0, len(pool), 12)]
+    texts = [f" {' '.join(w)} ".encode("utf-8", "surrogatepass") for w in samples]
     try:
-        trained = zstandard.train_dictionary(size, blocks, k=64, d=8).as_bytes()
-        text = trained[300:].decode("utf-8", "ignore")  # past the header's entropy tables
-    except zstandard.ZstdError:  # too few samples to choose from: they all go in
-        text = " ".join(dict.fromkeys(pool))[-size:]
-    return widen(f" {text} {' '.join(always)} ")
+        text = zstandard.train_dictionary(size, texts, k=segment, d=PATTERN).as_bytes()
+    except zstandard.ZstdError:
+        text = b"".join(dict.fromkeys(texts))[-size:]
+    # the header of a trained dictionary reads as a few odd words, which match nothing
+    return widen(text.decode("utf-8", "ignore").split())
+
+
+def compressed_length(content: bytes):
+    """Function that gives the compressed length of widened windows under a dictionary."""
+    import zstandard
+
+    # tables that hold every place of the dictionary, and matches of a whole symbol nearly
+    tables = {"window_log": 23, "hash_log": 21, "chain_log": 21, "search_log": 3, "min_match": 7, "strategy": zstandard.STRATEGY_GREEDY}
+    how = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(content), source_size=400, write_content_size=0, write_checksum=0, write_dict_id=0, **tables)
+    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=how)
+    compress = zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress
+    return lambda wide: len(compress(wide))
 
 
 class Savings:
-    """Bytes that the toxic dictionary saves over the ordinary one, by word."""
+    """Bytes that windows save with the toxic dictionary behind the ordinary one."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        import zstandard
-
-        self.seen: dict[str, int] = {}
-        self.both = []
-        for content in (ordinary, toxic):
-            how = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(content), source_size=100, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=22)
-            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(compression_params=how)
-            self.both.append(zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress)
+        self.alone, self.both = compressed_length(ordinary), compressed_length(ordinary + toxic)
+        split = lambda content: {content[i : i + 8] for i in range(0, len(content), 8)}
+        self.added = split(toxic) - split(ordinary)
+        self.seen: dict[str, tuple[bytes, bool]] = {}
 
-    def __getitem__(self, word: str) -> int:
+    def word(self, word: str) -> tuple[bytes, bool]:
+        """Widened word; whether the toxic dictionary knows a symbol of it that the ordinary one does not."""
         found = self.seen.get(word)
         if found is None:
-            if len(self.seen) >= MEMO:
-                self.seen.clear()
-            window = widen(f" {word} ")
-            found = self.seen[word] = len(self.both[0](window)) - len(self.both[1](window))
+            own = symbols(word)
+            found = self.seen[word] = b"".join(own), not self.added.isdisjoint(own)
         return found
 
+    def of_words(self, own: list[str]) -> np.ndarray:
+        """Savings of the words' windows that have a symbol which only the toxic dictionary knows; what others save comes from longer runs of shared language."""
+        if len(self.seen) > MEMO:
+            self.seen.clear()
+        known = [self.word(w) for w in own]
+        at = {max(0, i - k) for i, (_, new) in enumerate(known) if new for k in range(WINDOW)}
+        last = max(0, len(own) - WINDOW)
+        wide = [b"".join([w for w, _ in known[i : i + WINDOW]]) for i in sorted(at) if i <= last]
+        return np.array([self.alone(w) - self.both(w) for w in wide], np.int64)
+
     def features(self, text: str) -> list[float]:
-        own = Counter(words(text))
-        saved = np.array([self[w] for w in own], np.int64)
-        often = np.array(list(own.values()), np.int64)
-        n = int(often.sum())
-        counts = [float(often[saved >= s].sum()) for s in STEPS]
-        top = sorted((saved.tolist()), reverse=True)[:3] + [0, 0, 0]
-        return [*np.log1p(counts), *(max(0, x) / 40 for x in top[:3]), counts[3] / max(n, 20) * 20, np.log1p(n) / 10]
+        own = words(text)
+        saved = self.of_words(own)
+        n = max(0, len(own) - WINDOW + 1)
+        counts = [float((saved >= s).sum()) for s in STEPS]
+        top = [*np.sort(saved[saved >= STEPS[0]])[::-1][:3], 0, 0, 0][:3]
+        return [*np.log1p(counts), *(x / 40 for x in top), counts[1] / max(n, 20) * 20, counts[3] / max(n, 20) * 20, np.log1p(n) / 10]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60) -> np.ndarray:
@@ -142,6 +178,21 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60)
     return w
 
 
+def calibrate(weights: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The curve, moved so that THRESHOLD lies where it makes the fewest errors on (x, y)."""
+    z = x @ weights[:-1] + weights[-1]
+    order = np.argsort(z)
+    z, positive = z[order], y[order] == 1
+    # errors with the threshold below the i-th value: the toxic below it and the ordinary from there on
+    errors = np.concatenate([[0], np.cumsum(positive)]) + np.concatenate([np.cumsum(~positive[::-1])[::-1], [0]])
+    edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
+    best = np.flatnonzero(errors == errors.min())
+    at = best[np.argmax(edges[best + 1] - edges[best])]
+    moved = weights.copy()
+    moved[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - (edges[at] + edges[at + 1]) / 2
+    return moved
+
+
 class Model:
     """What scoring needs: two dictionaries and a curve, or a constant where there was nothing to learn."""
 
@@ -149,28 +200,43 @@ class Model:
         self.ordinary, self.toxic, self.weights, self.constant = ordinary, toxic, weights, constant
 
 
+def spread(items: list, most: int) -> list:
+    """At most `most` of the items, evenly spaced."""
+    return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
+
+
 def train_both(rows: list[tuple[int, bool, str]]) -> tuple[bytes, bytes] | None:
-    """Contents of the ordinary and the toxic dictionary; None where there is too little to train on.
-
-    Toxic samples are the words and word beginnings of toxic texts that clearly more of these have than
-    the ordinary texts' share would give; the ordinary dictionary is trained on the other words.
-    """
-    docs = Counter(r[0] for r in rows)
-    have = {0: Counter(), 1: Counter()}
-    for label, _, text in rows:
-        own = set(words(text))
-        have[label].update({f"{w} " for w in own} | {w[:k] for w in own for k in BEGINNINGS if k < len(w)})
-
-    def marked(window: str, n: int) -> bool:
-        expected = docs[1] * (have[0][window] + 1) / max(1, docs[0])
-        return n > CLEARLY * (expected + expected**0.5) + 5 and n >= SUPPORT * docs[1]
-
-    toxic = {w: min(n, 400) for w, n in sorted(have[1].items()) if marked(w, n)}
-    ordinary = [(w.strip(), min(n, 20)) for w, n in sorted(have[0].items()) if n >= 2 and w[-1] == " " and w not in toxic and not any(w[:k] in toxic for k in STEMS)]
-    if not ordinary or not toxic:
+    """Widened contents of the ordinary and the toxic dictionary, from (label, half, text); None where there is too little to train on."""
+    widen = Widener()
+    ordinary = [w for label, _, text in rows if not label for w in windows(words(text), WINDOW)]
+    random.Random(6).shuffle(ordinary)
+    ordinary = ordinary[:TRAINING_WINDOWS]
+    toxic = [[], []]
+    for i, text in enumerate(text for label, _, text in rows if label):
+        toxic[i % 2] += windows(words(text), 2)
+    if not ordinary or not toxic[0] or not toxic[1]:
         return None
-    often = lambda label, names: [w.strip() for _, w in sorted((-have[label][w], w) for w in names)[:FREQUENT]]
-    return train_dictionary(ordinary, ORDINARY_BYTES, often(0, [f"{w} " for w, _ in ordinary])), train_dictionary([(w.strip(), n) for w, n in toxic.items()], TOXIC_BYTES, often(1, toxic))
+    content = trained(ordinary, ORDINARY_BYTES, LONG_SEGMENT, widen)
+    alone = compressed_length(content)
+    lengths = lambda how, some: np.array([how(widen(w)) for w in some])
+    measured = spread(ordinary, MEASURED_WINDOWS)
+    of_measured, of_toxic = lengths(alone, measured), [lengths(alone, some) for some in toxic]
+    poorly = np.quantile(of_measured, POORLY)
+    chosen = [[w for w, n in zip(some, own) if n > poorly] or some for some, own in zip(toxic, of_toxic)]
+    for _ in range(ROUNDS):
+        new = [[], []]
+        for half in (0, 1):  # one half's dictionary chooses windows of the other half
+            both = compressed_length(content + trained(chosen[half], TOXIC_BYTES, SEGMENT, widen))
+            least = max(LEAST, np.quantile(of_measured - lengths(both, measured), CLEARLY))
+            saved = of_toxic[1 - half] - lengths(both, toxic[1 - half])
+            new[1 - half] = [w for w, n in zip(toxic[1 - half], saved) if n >= least]
+        if not new[0] or not new[1]:
+            break
+        chosen = new
+    last = trained(chosen[0] + chosen[1], TOXIC_BYTES, SEGMENT, widen)
+    both = compressed_length(content + last)
+    shortened = [w for w, n in zip(ordinary, lengths(alone, ordinary) - lengths(both, ordinary)) if n >= EXTENDS]
+    return (trained(shortened, EXTENSION_BYTES, SEGMENT, widen) if shortened else b"") + content, last
 
 
 def fit(rows: list[tuple[int, bool, str]]) -> Model:
@@ -190,7 +256,15 @@ def fit(rows: list[tuple[int, bool, str]]) -> Model:
     dictionaries = train_both(rows)
     if not dictionaries or len(set(y)) < 2:
         return Model(constant=share)
-    return Model(*dictionaries, weights=fit_curve(np.array(x), np.array(y)))
+    x, y = np.array(x), np.array(y)
+    return Model(*dictionaries, weights=calibrate(fit_curve(x, y), x, y))
+
+
+def _stretches(batches):
+    for batch in batches:
+        for some in text_batches(batch, "text"):
+            apart = [STRETCH * max(1, -(-len(t) // SAMPLE_CHARS)) for t in some["text"].tolist()]
+            yield some.assign(text=[t if n == STRETCH else " ".join(t[i : i + STRETCH] for i in range(0, len(t), n)) for t, n in zip(some["text"].tolist(), apart)])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
@@ -201,11 +275,18 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Mod
     for label in (0, 1):
         some = known.where(F.col("toxic") == label).withColumn("h", order).orderBy("h", "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
-    # at most 2 x sample short rows; the texts join them on the executors and come back as that many texts
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = own.select("toxic", (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary")) % 2 == 0).alias("half"), F.coalesce("text", F.lit("")).alias("text"), "h").toLocalIterator()
-    rows = sorted(rows, key=lambda r: (r["h"], r["text"]))
-    return fit([(r["toxic"], r["half"], r["text"]) for r in rows])
+    # at most 2 x sample short rows, which find their texts on the executors; these are cut there, one to a doc_id
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    types = {f.name: f.dataType.simpleString() for f in own.schema}
+    own = own.select("h", "toxic", "text").mapInPandas(_stretches, f"h {types['h']}, toxic int, text string")
+    rows = materialise(own.groupBy("h", "toxic").agg(F.min("text").alias("text")), "sample")
+
+    def train(batches):
+        got = sorted((r for batch in batches for r in batch[["h", "toxic", "text"]].itertuples(index=False)), key=lambda r: (r.h, r.text))
+        half = lambda h: zlib.crc32(f"half{h}".encode()) % 2 == 0
+        yield pd.DataFrame({"model": [pickle.dumps(fit([(r.toxic, half(r.h), r.text) for r in got]), 5)]})
+
+    return pickle.loads(rows.coalesce(1).mapInPandas(train, "model binary").first()["model"])
 
 
 def _savings_of(model: Model) -> Savings:
