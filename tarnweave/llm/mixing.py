@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, shuffle_partitions, table
 
 #: A rate above this is drawn as a sum of draws of at most this mean, so exp(-mean) stays a normal number.
 LARGEST_PIECE = 32.0
 #: Values of the distribution function that are kept for a piece: at a mean of 32, all else is below 1e-21.
 CDF_LENGTH = 110
+#: Sources whose rates (about a kilobyte each) are broadcast; of more, the join is salted.
+BROADCAST_SOURCES = 20_000
 
 
 def uniform(seed: int, key: Column, piece: Column) -> Column:
@@ -48,6 +50,16 @@ def poisson_count(rate: Column, cdf: Column, pieces: Column, seed: int, key: Col
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), lambda acc, j: acc + draw(j))).otherwise(0)
 
 
+def _with_rates(docs: DataFrame, rates: DataFrame, key: str, most: int = BROADCAST_SOURCES) -> DataFrame:
+    """docs with their source's rates: by broadcast where there are few sources, or else by a join in which each source is spread over all partitions."""
+    if rates.count() <= most:
+        return docs.join(F.broadcast(rates), docs["source"].eqNullSafe(rates["__source"]))
+    salts = shuffle_partitions(docs.sparkSession)
+    spread = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = docs.withColumn("__at", F.pmod(F.xxhash64(key, "text"), F.lit(salts)).cast("int"))
+    return salted.join(spread, salted["source"].eqNullSafe(spread["__source"]) & (salted["__at"] == spread["__salt"])).drop("__at", "__salt")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, repeat: float = 1.0, seed: int = 9, key: str = "doc_id") -> DataFrame:
     """docs, each as often as drawn, with copy_no (from 0) and shuffle_key; repeat: size of the result against the input, in characters."""
     kept = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
@@ -60,7 +72,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, expone
     cdf = F.aggregate(F.sequence(F.lit(1), F.lit(CDF_LENGTH)), F.struct(start.alias("p"), start.alias("cdf"), F.array(start).alias("all")), step, lambda a: a["all"])
     rates = rates.withColumn("pieces", pieces).withColumn("mean", F.col("rate") / F.col("pieces")).select("__source", F.col("rate").alias("__rate"), F.col("pieces").alias("__pieces"), cdf.alias("__cdf"))
     count = poisson_count(F.col("__rate"), F.col("__cdf"), F.col("__pieces"), seed, F.col(key))
-    drawn = docs.join(rates, docs["source"].eqNullSafe(rates["__source"])).withColumn("__count", count)
+    rates = materialise(rates, "rates")
+    drawn = _with_rates(docs, rates, key).withColumn("__count", count)
     copies = drawn.where("__count > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit("order"), F.col("copy_no").cast("string")))
     copies = copies.select(*[F.col(f"`{c}`") for c in kept], "copy_no", order.alias("shuffle_key"))
