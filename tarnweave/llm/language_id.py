@@ -5,12 +5,12 @@ Four kinds of evidence give one posterior over the languages that were learned a
 - the text: character trigrams of its words under each language, `und` being a uniform trigram source. Words
   of one text depend on each other, so n words count as n / (1 + n / DEPENDENCE);
 - the markup: how often pages of each language declare this language in their html element;
-- the address: how the other rows of its suffix, domain and host fall, a prior that shrinks from all rows to
-  the suffix, from there to the domain and from there to the host. A row never counts towards its own prior.
+- the address: how the other rows of its host and of the host's suffixes fall, a prior that shrinks from all rows to
+  the last label, from there to the last two, the last three and the host. A row never counts towards its own prior.
 
 The shares of the last two are sums of text posteriors by grouped aggregation over all rows. Trigrams are
 learned from a bounded sample: at most SAMPLE_DOCS labelled documents of each language, those with the
-smallest hashes of their ids.
+smallest hashes of their ids. Every label is a language; more labels than `most` are refused with an error.
 
 A null or empty text, or one without letters, has language `und` unless markup or address speak, and is never
 accepted; null addresses share one host; repeated rows get the same posterior; without labelled rows every
@@ -32,8 +32,8 @@ from .common import materialise, table, text_batches
 from .html_text import main_text
 
 SAMPLE_DOCS = 2000
-#: More labels than this aren't languages; the rarest are left out.
-LANGUAGES = 200
+#: More labels than this aren't languages: learning refuses them.
+LANGUAGES = 1000
 UND = "und"
 ALPHA = 0.5
 DEPENDENCE = 50.0
@@ -42,7 +42,9 @@ STRENGTH, MARKUP_STRENGTH = 10.0, 5.0
 ACCEPT = 0.5
 MEMO = 200_000
 WORD = re.compile(r"[^\W\d_]+")
-HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+#: The first html start tag outside comments, and the language in its attributes.
+HTML_TAG = re.compile(r"<!--.*?(?:-->|$)|<html\b([^>]*)", re.I | re.S)
+LANG = re.compile(r"(?:^|\s)(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 
 
 def trigrams(word: str) -> list[str]:
@@ -50,18 +52,24 @@ def trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+def declared_language(html: str) -> str | None:
+    """Language that the page's html element declares, in lower case."""
+    tag = next((m for m in HTML_TAG.finditer(html) if m[1] is not None), None)
+    found = LANG.search(tag[1]) if tag else None
+    return found[1].lower() if found else None
+
+
 class TextModel:
     """Log-likelihoods of words; the classes are the languages in order, then `und`."""
 
-    def __init__(self, counts: dict[str, Counter]):
-        """counts: for each language, how often each word is in its sample."""
+    def __init__(self, counts: dict[str, dict[str, int]]):
+        """counts: for each language, how often each trigram is in its sample."""
         self.languages = sorted(counts)
         self.classes = [*self.languages, UND]
         grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.languages)))
         for i, language in enumerate(self.languages):
-            for word, n in counts[language].items():
-                for gram in trigrams(word):
-                    grams[gram][i] += n
+            for gram, n in counts[language].items():
+                grams[gram][i] = n
         size = len(grams) + 1
         totals = sum(grams.values()) if grams else np.zeros(len(self.languages))
         floor = np.log(ALPHA / (totals + ALPHA * size))
@@ -96,18 +104,32 @@ class TextModel:
         return n, total / (1 + n / DEPENDENCE)
 
 
-def learn(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = SAMPLE_DOCS) -> TextModel:
-    """TextModel from at most `sample` rows of each language; only (language, word, count) of these reach the driver."""
+def sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """Of labelled(k, l), at most `sample` distinct pairs of each l: those whose k has the smallest hashes.
+
+    Rows are thinned to about twice the sample by a hash before they meet by language.
+    """
+    pairs = labelled.select("k", "l").distinct().withColumn("u", F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 40)) / float(1 << 40))
+    sizes = pairs.groupBy("l").agg(F.count("*").alias("n"))
+    thinned = pairs.join(F.broadcast(sizes), "l").where(F.col("u") * F.col("n") <= 2 * sample)  # a row for each language
+    rank = F.row_number().over(W.partitionBy("l").orderBy("u", "k"))
+    return thinned.withColumn("r", rank).where(F.col("r") <= sample).select("k", "l")
+
+
+def learn(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = SAMPLE_DOCS, most: int = LANGUAGES) -> TextModel:
+    """TextModel from at most `sample` rows of each language; only (language, trigram, count) of these reach the driver."""
     known = labelled.select(F.col(key).alias("k"), F.lower(F.trim(language)).alias("l"), F.col(text).alias("t")).where("l <> '' AND l <> 'und'")
-    names = [r["l"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    order = W.partitionBy("l").orderBy(F.md5(F.col("k").cast("string")), "k")
-    chosen = known.where(F.col("l").isin(names)).select("k", "l").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("k", "l").distinct()
-    # at most `sample` x LANGUAGES pairs of an id and a name
-    own = known.join(chosen.hint("broadcast") if sample * len(names) <= 100_000 else chosen, ["k", "l"])
+    names = known.select("l").distinct().limit(most + 1).count()
+    if names > most:
+        raise ValueError(f"more than {most} languages are labelled")
+    chosen = sampled(known, sample)
+    own = known.join(F.broadcast(chosen) if sample * names <= 100_000 else chosen, ["k", "l"])
     words = own.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{M}]+")).alias("w")).where("w <> ''").groupBy("l", "w").agg(F.count("*").alias("n"))
-    counts: dict[str, Counter] = {}
-    for r in words.toLocalIterator():
-        counts.setdefault(r["l"], Counter())[r["w"]] = r["n"]
+    padded = words.select("l", "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
+    grams = padded.select("l", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.substring("p", i, F.lit(3)))).alias("gram"))
+    counts: dict[str, dict[str, int]] = {}
+    for r in grams.groupBy("l", "gram").agg(F.sum("n").alias("n")).collect():  # distinct trigrams of a bounded sample
+        counts.setdefault(r["l"], {})[r["gram"]] = r["n"]
     return TextModel(counts)
 
 
@@ -123,7 +145,7 @@ def with_evidence(rows: DataFrame, model: TextModel, keep: list[str], text: str
                 contents = some["__content"].tolist()
                 declared = [None] * len(contents)
                 if html:
-                    declared = [m[1].lower() if (m := HTML_LANG.search(c[:4000])) else None for c in contents]
+                    declared = [declared_language(c) for c in contents]
                     contents = [main_text(c) for c in contents]
                 found = [own.evidence(c) for c in contents]
                 yield some.drop(columns="__content").assign(n_words=[n for n, _ in found], declared=pd.Series(declared, index=some.index, dtype=object), loglik=[x.tolist() for _, x in found])
@@ -138,33 +160,34 @@ def softmax(logs: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def address(url: Column) -> tuple[Column, Column, Column]:
-    """Host, domain (its last two labels) and suffix (its last one) of a URL; '' where it has none."""
+def address(url: Column) -> list[Column]:
+    """Last label, last two, last three labels and all of a URL's host; '' where it has none."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return host, F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    return [*(F.substring_index(host, ".", -n) for n in (1, 2, 3)), host]
 
 
-def fuse(evidence: DataFrame, classes: list[str], host: Column, domain: Column, suffix: Column) -> DataFrame:
-    """evidence with lang, confidence and accepted, from all of its rows' markup and addresses.
+def fuse(evidence: DataFrame, classes: list[str], levels: list[Column]) -> DataFrame:
+    """evidence with lang, confidence and accepted, from all of its rows' markup and addresses; levels: from the widest to the narrowest.
 
     evidence is read several times and should be a table. Sums are grouped with map-side combination, so a
     host of a third of all rows costs one row from each task; the join back carries short rows only.
     """
-    taken = [f"__{x}" for x in ("host", "domain", "suffix", "declared", "own")]
+    at = [f"__l{i}" for i in range(len(levels))]
+    taken = [*at, "__declared", "__own"]
     names = [f"s{i}" for i in range(len(classes))]
     known = F.when(F.col("declared").isin(classes), F.col("declared")).when(F.col("declared").isNotNull(), F.lit("other"))
-    rows = evidence.select("*", host.alias(taken[0]), domain.alias(taken[1]), suffix.alias(taken[2]), known.alias(taken[3]), F.when(F.col("n_words") > 0, softmax(F.col("loglik"))).alias(taken[4]))
+    rows = evidence.select("*", *[c.alias(a) for c, a in zip(levels, at)], known.alias("__declared"), F.when(F.col("n_words") > 0, softmax(F.col("loglik"))).alias("__own"))
     sums = lambda: [F.coalesce(F.sum(F.col("__own")[i]), F.lit(0.0)).alias(c) for i, c in enumerate(names)]
     counted = rows.where("__own IS NOT NULL")
-    hosts = counted.groupBy(*taken[:3]).agg(*sums())
+    hosts = counted.groupBy(*at).agg(*sums())
     up = lambda df, keys: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
-    packed = lambda df, keys, name: df.select(*keys, F.array(*names).alias(name))
-    domains, suffixes = up(hosts, taken[1:3]), up(hosts, taken[2:3])
     # one row of all, and at most a row for each class and `other`
     everything = [float(x or 0) for x in up(hosts, []).first()]
     by_markup = {r["__declared"]: [float(r[c]) for c in names] for r in counted.where("__declared IS NOT NULL").groupBy("__declared").agg(*sums()).collect()}
-    priors = packed(hosts, taken[:3], "__h").join(packed(domains, taken[1:3], "__d"), taken[1:3]).join(packed(suffixes, taken[2:3], "__s"), taken[2])
-    rows = rows.join(priors, taken[:3], "left")
+    priors = hosts.select(*at, F.array(*names).alias(f"__s{len(at) - 1}"))
+    for i in range(len(at) - 1):
+        priors = priors.join(up(hosts, [at[i]]).select(at[i], F.array(*names).alias(f"__s{i}")), at[i])
+    rows = rows.join(priors, at, "left")
 
     size, zero = len(classes), F.array(*[F.lit(0.0)] * len(classes))
     own = F.coalesce(F.col("__own"), zero)
@@ -176,7 +199,7 @@ def fuse(evidence: DataFrame, classes: list[str], host: Column, domain: Column,
         return F.transform(F.zip_with(rest, parent, lambda a, b: a + STRENGTH * b), lambda x: x / (total(rest) + STRENGTH))
 
     rows = rows.withColumn("__p", shrink(F.array(*[F.lit(x) for x in everything]), F.array(*[F.lit(1.0 / size)] * size)))
-    for level in ("__s", "__d", "__h"):  # a column each, so that no level is computed twice
+    for level in (f"__s{i}" for i in range(len(at))):  # a column each, so that no level is computed twice
         rows = rows.withColumn("__p", shrink(F.coalesce(F.col(level), zero), F.col("__p")))
     markup = F.array(*[F.lit(0.0)] * size)
     for declared, counts in by_markup.items():
@@ -189,22 +212,21 @@ def fuse(evidence: DataFrame, classes: list[str], host: Column, domain: Column,
     best = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("__post", F.col("confidence")).cast("int"))
     rows = rows.withColumn("lang_id", F.when(speaks, best).otherwise(UND))
     rows = rows.withColumn("accepted", (F.col("n_words") > 0) & (F.col("lang_id") != UND) & (F.col("confidence") >= ACCEPT))
-    return rows.drop(*taken, "__h", "__d", "__s", "__p", "__post", "loglik")
+    return rows.drop(*taken, *(f"__s{i}" for i in range(len(at))), "__p", "__post", "loglik")
 
 
 def identify_documents(docs: DataFrame, model: TextModel, keep: list[str] | None = None) -> DataFrame:
     """keep (default: doc_id), lang_id, confidence, accepted, n_words; a document's source stands for its host."""
     keep = keep or ["doc_id"]
     slim = materialise(with_evidence(docs.select(*keep, F.col("source").alias("__source"), F.col("text").alias("__text")), model, [*keep, "__source"], "__text"), "evidence")
-    source = F.coalesce(F.col("__source"), F.lit(""))
-    return fuse(slim, model.classes, source, source, F.lit("")).drop("__source", "declared")
+    return fuse(slim, model.classes, [F.coalesce(F.col("__source"), F.lit(""))]).drop("__source", "declared")
 
 
 def identify_pages(pages: DataFrame, model: TextModel, keep: list[str] | None = None) -> DataFrame:
     """keep (default: page_id, url), lang_id, confidence, accepted, n_words, declared; from a page's html and url."""
     keep = keep or ["page_id", "url"]
     slim = materialise(with_evidence(pages.select(*{*keep, "url"}, "html"), model, list({*keep, "url"}), None, "html"), "evidence")
-    return fuse(slim, model.classes, *address(F.col("url"))).select(*keep, "lang_id", "confidence", "accepted", "n_words", "declared")
+    return fuse(slim, model.classes, address(F.col("url"))).select(*keep, "lang_id", "confidence", "accepted", "n_words", "declared")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

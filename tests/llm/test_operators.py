@@ -109,7 +109,7 @@ def test_language(spark, data):
 
 def test_address(spark):
     rows = spark.createDataFrame([("https://u@A.b.example.FR:80/x",), (None,), ("nonsense",)], "u string")
-    assert [tuple(r) for r in rows.select(*language_id.address(F.col("u"))).collect()] == [("a.b.example.fr", "example.fr", "fr"), ("", "", ""), ("", "", "")]
+    assert [tuple(r) for r in rows.select(*language_id.address(F.col("u"))).collect()] == [("fr", "example.fr", "b.example.fr", "a.b.example.fr"), ("",) * 4, ("",) * 4]
 
 
 def test_markup_and_host_decide(spark, data):
@@ -122,6 +122,28 @@ def test_markup_and_host_decide(spark, data):
     assert (found[90], found[91]) == ("fr", "de")
 
 
+def test_declared_language():
+    found = language_id.declared_language
+    assert found("<!-- " + "x" * 10_000 + " <html lang=de> --><!DOCTYPE html>\n<HTML class='a' xml:lang = 'FR-ca'>") == "fr"
+    assert found("<html data-lang=en><p lang=de>") is None and found("") is None and found("<!-- open <html lang=de>") is None
+
+
+def test_many_languages(spark):
+    rows = spark.createDataFrame([(i * 300 + j, f"l{i:03d}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + i % 26)}q word") for i in range(201) for j in range(3)], "doc_id long, lang string, text string")
+    assert len(language_id.learn(rows).languages) == 201
+    with pytest.raises(ValueError):
+        language_id.learn(rows, most=200)
+    chosen = language_id.sampled(rows.select(F.col("doc_id").alias("k"), F.lit("x").alias("l")).unionAll(rows.select(F.lit(5), F.lit("y"))), 100).groupBy("l").count().collect()
+    assert {r.l: r["count"] for r in chosen} == {"x": 100, "y": 1}
+
+
+def test_language_outside_the_sample(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1 AND text RLIKE '[A-Za-z]'")
+    found = language_id.identify_documents(odd, language_id.learn(even)).join(odd.select("doc_id", "lang"), "doc_id")
+    assert found.agg(F.avg((F.col("lang_id") == F.col("lang")).cast("int"))).first()[0] > 0.97
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 def plain_components(values, linked):
     root = {k: k for k in values}
@@ -253,6 +275,9 @@ def test_mixing(spark, edges, empty):
     assert abs(shares["big"] - 0.5) < 0.02 and abs(shares[None] - 0.5) < 0.02
     weighted = mixing.mix_sources(many, {"big": 1.0}, repeat=80.0).groupBy("source").count().collect()
     assert [r.source for r in weighted] == ["big"] and abs(weighted[0]["count"] / (80 * 20_000) - 1) < 0.02
+    few, rates = many.select("doc_id", "text", "source"), mixing.source_rates(many, None, 0.0, 1.0)
+    salted, plain = (mixing._with_rates(few, rates, "doc_id", most).groupBy("source", "rate").count() for most in (0, 10))
+    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
     assert mixing.mix_sources(edges).columns == [*edges.columns, "copy_no", "shuffle_key"] and mixing.mix_sources(empty).count() == 0
 
 
