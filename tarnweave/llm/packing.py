@@ -32,14 +32,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids (little-endian uint32) of each piece."""
+    """uid (unique in one run), doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids (little-endian uint32) of each piece."""
     import zlib
 
+    from pyspark import TaskContext
+
     end = np.array([end_id], "<u4").tobytes()
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def pieces(batches):
-        encode = encoder(tokenizer_path).encode
+        encode, uid = encoder(tokenizer_path).encode, TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in text_batches(batch, "text"):
                 rows = []
@@ -47,8 +49,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                     ids += end
                     for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), i, start, length, zlib.crc32(own)) + ((own,) if keep_ids else ()))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]).astype({"doc_id": "Int64"})
+                        rows.append((uid, None if pd.isna(doc_id) else int(doc_id), i, start, length, zlib.crc32(own)) + ((own,) if keep_ids else ()))
+                        uid += 1
+                yield pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 + keep_ids]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(pieces, schema)
 
@@ -109,25 +112,26 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """pieces with sequence_id and offset; pieces has a length of 1 to capacity in each row and any other columns.
+    """pieces with sequence_id and offset; pieces has a long `uid` of its own and a length of 1 to capacity in each row, and any other columns.
 
-    pieces is read twice (counted, then dealt out), so it should be a table, not a costly plan.
+    pieces is read up to three times (counted, dealt out, joined), so it should be a table, not a costly plan. Only uids
+    and lengths meet by shard.
     """
     shards = max(1, -(-pieces.count() // shard_pieces))
-    rest = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in rest) + ", sequence_id long, offset long"
 
     def pack(key, pdf):
         number, offset = pack_lengths(pdf["length"].to_numpy(), capacity)
-        return pdf[rest].assign(sequence_id=number + (int(key[0]) << 40), offset=offset)
+        return pdf[["uid"]].assign(sequence_id=number + (int(key[0]) << 40), offset=offset)
 
-    dealt = pieces.select(*rest, F.pmod(F.xxhash64("doc_id", "piece", F.lit(5)), F.lit(shards)).alias("__shard"))
-    return dealt.groupBy("__shard").applyInPandas(pack, schema)
+    dealt = pieces.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(shards)).alias("__shard"))
+    placed = dealt.groupBy("__shard").applyInPandas(pack, "uid long, sequence_id long, offset long")
+    rest = [F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return pieces.select(*rest).join(placed, "uid")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """Packed pieces of docs(doc_id, text): tokenised_pieces' columns, sequence_id, offset."""
-    return pack_pieces(materialise(tokenised_pieces(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces"), capacity)
+    return pack_pieces(materialise(tokenised_pieces(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces"), capacity).drop("uid")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,17 @@ def test_packing_edges(spark, edges, empty, docs, data):
     long = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == 4)
     assert all(n == 2048 for p, _, n in long if p) and [s for _, s, _ in long] == [0, *np.cumsum([n for *_, n in long])[:-1]]
     assert packing.pack_documents(empty, common.byte_bpe_path()).count() == 0
+    kept = packing.pack_documents(edges, common.byte_bpe_path()).where("doc_id = 6").first()
+    assert zlib.crc32(kept.ids) == kept.ids_crc32 and len(kept.ids) == 4 * kept.length
     packed = QUERIES["op5_best_fit_packing"](spark, data).toPandas()
+    own = dict(zip(docs, ids_of(list(docs.values()), 0)))
+    for r in packed.itertuples():
+        assert r.ids_crc32 == zlib.crc32(own[r.doc_id][r.start : r.start + r.length].tobytes())
+    for _, pieces in packed.sort_values("piece").groupby("doc_id"):
+        assert list(pieces.piece) == list(range(len(pieces))) and list(pieces.start) == [0, *pieces.length.cumsum()[:-1]] and (pieces.length[1:] == 2048).all()
+    for _, pieces in packed.sort_values("offset").groupby("sequence_id"):
+        assert list(pieces.offset) == [0, *pieces.length.cumsum()[:-1]]
+    assert packed.sequence_id.nunique() <= packed["length"].sum() / 2048 * 1.02 + 1
     assert packed["length"].sum() == sum(map(len, ids_of(list(docs.values()), 0))) and packed.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
