@@ -24,17 +24,18 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose row number is in kept(row_no); both sides are numbered alike as docs is a table."""
+    """Rows of the numbered docs whose row number is in kept(row_no)."""
     return docs.join(kept, "row_no", "left_semi").select(*COLUMNS)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return _documents(docs).withColumn("row_no", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a row number, as a table: numbers follow the partitions of one run, so they are written once and read everywhere."""
+    return materialise(_documents(docs).withColumn("row_no", F.monotonically_increasing_id()), f"{name}-rows")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; those without a clear language go."""
-    rows = _numbered(docs)
+    rows = _numbered(docs, "language_id")
     # written first: a filter would be pushed below the fusion and repeat its expressions
     found = materialise(identify_documents(rows, learn(docs), ["row_no"]), "languages")
     return _only(rows, found.where("accepted").select("row_no"))
@@ -48,7 +49,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the first row with the smallest doc_id."""
-    rows = _numbered(docs)
+    rows = _numbered(docs, "simhash_dedup")
     classes = near_copy_classes(rows, keep=("doc_id",))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_no"))
     return _only(rows, classes.groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_no"))
@@ -60,8 +61,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces of the documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_documents(docs, byte_bpe_path(), keep_ids=False)
+    """Packed pieces of the documents: doc_id, piece, start, length, ids_crc32, ids (little-endian uint32), sequence_id, offset."""
+    return pack_documents(docs, byte_bpe_path())
 
 
 STAGES = [
