@@ -1,10 +1,11 @@
 """Near copies of documents: groups linked by Jaccard similarity 0.8 or more of five-word shingle sets.
 
-Equal sets are one node. Nodes that share a MinHash band are candidates: a pair at the least similarity shares
-one of BANDS bands of ROWS minima with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999, more similar pairs sooner. Candidates
-are verified by their exact sets. First each node is held against the smallest of each of its bands, then, within
-bands that still span several components, every pair of nodes of different components; so no group is
-compared with itself twice, and no link between two candidates is left out.
+Equal sets are one node. Candidates come from operator 4's ball hashing of SimHash fingerprints over the same shingles, and, as
+sets of similarity 0.8 differ in about ten of 64 bits, beyond the reach of any ball, from MinHash bands as well: a pair at
+the least similarity shares one of BANDS bands of ROWS minima with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999, more
+similar pairs sooner. All candidates are verified by their exact sets. First each node is held against the smallest of its
+ball and of each of its bands, then, within bands that still span several components, every pair of nodes of
+different components; so no group is compared with itself twice, and no link between two candidates is left out.
 
 Words are as in simhash; a shorter text is one shingle; texts without words are equal; nulls are empty.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, text_batches
+from .simhash import ball_links, majority_bits, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: Least similarity of a link, as a fraction of whole numbers.
@@ -28,18 +30,9 @@ FACTORS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint
 SHIFTS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
 
 
-def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
+def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct XXH64 hashes of the text's shingles."""
-    import xxhash
-
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    whole, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(words, len(parts))
-    return np.unique(np.array([digest(whole[a:b], SEED) for a, b in zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64))
+    return np.unique(shingle_hashes(text, SHINGLE_WORDS, SEED))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -60,7 +53,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def with_sketches(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns keep, digest (of the shingle set), n (its size) and bands; the text itself does not travel on."""
+    """Columns keep, digest (of the shingle set), n (its size), fp (SimHash of the shingles) and bands; the text itself does not travel on."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def sketch(batches):
@@ -68,10 +61,11 @@ def with_sketches(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
         for batch in batches:
             for some in text_batches(batch, "__text"):
-                sets = [shingle_set(t) for t in some["__text"].tolist()]
-                yield some.drop(columns="__text").assign(digest=[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], n=[len(s) for s in sets], bands=[bands(s) for s in sets])
+                every = [shingle_hashes(t, SHINGLE_WORDS, SEED) for t in some["__text"].tolist()]
+                sets, fp = [np.unique(h) for h in every], np.array([majority_bits(h) for h in every], np.uint64).view(np.int64)
+                yield some.drop(columns="__text").assign(digest=[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], n=[len(s) for s in sets], fp=fp, bands=[bands(s) for s in sets])
 
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", digest binary, n long, bands array<long>"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", digest binary, n long, fp long, bands array<long>"
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(sketch, schema)
 
 
@@ -99,19 +93,29 @@ def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFra
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def _ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: each node with the smallest of its fingerprint, and these where two fingerprints lie in one ball."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "fingerprints")
+    same = nodes.join(least, "fp").where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = ball_links(least.select("fp"))
+    a, b = least.select(F.col("fp").alias("a"), F.col("hub").alias("x")), least.select(F.col("fp").alias("b"), F.col("hub").alias("y"))
+    return same.unionByName(links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_copy_classes(rows: DataFrame, key: str = "row_no", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, keep and component_id (the smallest key reachable by links) of all rows; key is a long that no two rows share.
 
     rows is read up to three times and should be a table.
     """
     sketches = materialise(with_sketches(rows, text, (key, *keep)), "sketches")
-    nodes = materialise(sketches.groupBy("digest").agg(F.min(key).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialise(sketches.groupBy("digest").agg(F.min(key).alias("node"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
     entries = nodes.select("node", "n", F.explode("bands").alias("band"))
     hubs = entries.groupBy("band").agg(F.count("*").alias("owners"), F.min(F.struct("node", "n")).alias("hub")).where("owners > 1")
     entries = materialise(entries.join(hubs, "band").select("band", "node", "n", "hub"), "bands")
     near = lambda m, n: F.least(m, n) * LEAST[1] >= F.greatest(m, n) * LEAST[0]
     first = entries.where((F.col("hub.node") < F.col("node")) & near(F.col("hub.n"), F.col("n")))
-    first = materialise(first.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
+    first = first.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    first = materialise(first.unionByName(_ball_pairs(nodes)).distinct(), "first-pairs")
     links = materialise(_verified(first, rows, key, text), "first-links")
     parts = connected_components(links)
     owned = entries.select("band", "node", "n").join(parts, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))

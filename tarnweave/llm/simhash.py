@@ -28,29 +28,34 @@ BITS = 64
 OCTETS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def simhash(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Fingerprint of one text, unsigned."""
+def shingle_hashes(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; empty without words."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, white space 09-0D and 20
     if not parts:
-        return 0
-    whole = b" ".join(parts)
+        return np.empty(0, np.uint64)
+    whole, digest = b" ".join(parts), xxhash.xxh64_intdigest
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(parts))
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros((8, 256), np.int64), len(parts) - width + 1
-    for at in range(0, n, 65_536):
-        upto = min(at + 65_536, n)
-        hashes = np.array([digest(whole[a:b], seed) for a, b in zip(starts[at:upto].tolist(), ends[at + width - 1 : upto + width - 1].tolist())], np.uint64)
-        octets = hashes.view(np.uint8).reshape(-1, 8)
-        for i in range(8):
-            counts[i] += np.bincount(octets[:, i], minlength=256)
-    bits = (counts @ OCTETS).reshape(-1) * 2 > n
+    n = len(parts) - width + 1
+    return np.fromiter((digest(whole[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """Unsigned: bits that are set in over half the hashes; 0 for none."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    counts = np.array([np.bincount(octets[:, i], minlength=256) for i in range(8)])
+    bits = (counts @ OCTETS).reshape(-1) * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """Fingerprint of one text, unsigned."""
+    return majority_bits(shingle_hashes(text, words, seed))
+
+
 def with_fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep and fp (the fingerprint's 64 bits as a signed long); the text itself does not travel on."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}

@@ -167,6 +167,23 @@ def test_simhash_links(spark):
     assert found == plain_components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
 
 
+def test_simhash_query(spark, docs, data):
+    """Fingerprints bit by bit in plain Python, links by all pairs."""
+    import re
+
+    import xxhash
+
+    fps = {}
+    for k, text in docs.items():
+        own = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        shingles = [" ".join(own[i : i + 3]) for i in range(max(1, len(own) - 2))] if own else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        fps[k] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    root = plain_components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
+    found = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op4_simhash_near_dedup"](spark, data).collect()}
+    assert found == {k: (f"{fps[k]:016x}", root[k]) for k in fps}
+
+
 def test_simhash_edges(spark, edges, empty):
     prints = common.materialise(simhash.with_fingerprints(edges), "p")
     found = {(r.doc_id, r.fp) for r in prints.collect()}
