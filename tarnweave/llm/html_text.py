@@ -1,19 +1,25 @@
 """Operator 1: main text of web pages by composite text density.
 
 A page is read into a DOM. Each node gets its number of characters, tags, link characters and link tags, and
-from them the composite density (characters per tag, divided by how much of them is links). Regions that are
-boilerplate by element (nav, aside, form, ...) or by the words of their class, id or role (ad, sidebar,
-comments, cookie, ...) are cut first. The main subtree is the article or main element, or else any node,
-whose children's densities have the largest sum; where the page names no article, the smallest density on
-the path from body to that node is the threshold that other subtrees beside the path must reach to be kept.
-
-Null, empty and tag-less html give an empty text or the plain text; repeated rows are extracted each; an
-empty table gives an empty result; other columns are not read.
+from them the composite density: characters per tag, divided by how much of them is links. The main subtree is
+the node whose children's densities have the largest sum; where it lies in an article element, that article. The
+smallest density on the path from body to it is the threshold that other subtrees beside the path must reach
+to be kept; a level-one heading beside the path is kept at any density. What is kept is rendered whole.
+
+What is no text of a page by its element (nav, aside, footer, form, script, ...), by its role, or because it is hidden
+isn't weighed. Neither are nodes whose class or id names a kind of boilerplate and nothing else (`ad-box` and
+`cookie-notice`, not `has-sidebar`, `article-header` or `related-work`), unless they hold an article, a main element
+or a level-one heading that isn't so named itself, or nearly all text of the page.
+
+Null, empty and tag-less html give an empty text or the plain text; repeated rows are extracted each; very long and
+broken html takes time in proportion to its length; an empty table gives an empty result; other columns, also ones named
+text or n_chars, are not read, and may not be in `keep`.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from math import e, log
 
@@ -34,93 +40,171 @@ CUT = frozenset(
     "head nav aside footer form script style noscript template iframe object embed svg canvas button select textarea input dialog menu map audio video title link meta".split()
 )
 HINTS = frozenset(
-    "ad ads adv advert advertisement advertising adbox adsbygoogle sponsor sponsored promo promotion banner sidebar sidebars rail menu menus nav navbar navigation topnav breadcrumb breadcrumbs"
+    "ad ads adv advert adverts advertisement advertising adbox adsbygoogle sponsor sponsored promo promotion banner sidebar sidebars rail menu menus nav navbar navigation topnav breadcrumb breadcrumbs"
     " header masthead footer colophon cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login"
-    " comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations pagination pager widget toolbar skip".split()
+    " comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations pagination pager widget toolbar skip".split()
 )
+#: Words that say nothing beside a hint.
+NEUTRAL = frozenset("site page top bottom left right main primary secondary box wrapper wrap container list item items block section bar area slot unit posts articles links stories news form buttons reader user".split())
+#: Where this share of the page's text or more would go by class and id, the names are of wrappers.
+NEARLY_ALL = 0.9
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: An open element on the left ends at the start of one on the right, unless a boundary lies between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
+#: For an element on the left, the open ones that its start ends.
+STARTS = {new: {old for old, ends in ENDS.items() if new in ends} for new in {new for ends in ENDS.values() for new in ends}}
 INSIDE_P = frozenset("br button".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I) for tag in RAW}
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
+UNQUOTED = re.compile(r"[^\s>]*")
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "cut", "hinted", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.parts, self.cut = tag, parent, [], cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool, hinted: bool = False):
+        self.tag, self.parent, self.parts, self.cut, self.hinted = tag, parent, [], cut, hinted
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+class Tokens:
+    """Text and tags of html in order: (text, None, None) or ('', '/'-led or plain tag name, attributes); each character is looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.at = html, 0
+        self.without: dict[str, int] = {}
+
+    def find(self, what: str, start: int) -> int:
+        """As str.find, but a string that once wasn't found isn't looked for again."""
+        if self.without.get(what, len(self.html) + 1) <= start:
+            return -1
+        found = self.html.find(what, start)
+        if found < 0:
+            self.without[what] = min(start, self.without.get(what, start))
+        return found
+
+    def attributes(self) -> dict[str, str]:
+        """Attributes from here to the tag's end, which is passed."""
+        html, found = self.html, {}
+        while m := ATTRIBUTE.match(html, self.at):
+            self.at, name, value = m.end(), m[1].lower(), ""
+            if m[2]:
+                quote = html[self.at : self.at + 1]
+                end = self.find(quote, self.at + 1) if quote in ("'", '"') else -1
+                if end >= 0:
+                    value, self.at = html[self.at + 1 : end], end + 1
+                else:
+                    value = UNQUOTED.match(html, self.at)[0]
+                    self.at += len(value)
+            found.setdefault(name, value)
+        end = self.find(">", self.at)
+        self.at = end + 1 if end >= 0 else len(html)
+        return found
+
+    def __iter__(self):
+        html = self.html
+        while self.at < len(html):
+            start = html.find("<", self.at)
+            if start < 0:
+                break
+            if start > self.at:
+                yield html[self.at : start], None, None
+            m = NAME.match(html, start + 1)
+            if m:
+                self.at = m.end()
+                yield "", m[0].lower(), self.attributes()
+            elif html.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                self.at = end + 3 if end >= 0 else len(html)
+            elif html.startswith(("<!", "<?", "</"), start):
+                end = self.find(">", start)
+                self.at = end + 1 if end >= 0 else len(html)
+            else:
+                self.at = start + 1
+                yield "<", None, None
+        if self.at < len(html):
+            yield html[self.at :], None, None
+
+    def pass_raw(self, tag: str) -> None:
+        """Go behind the end tag of an element whose content isn't markup."""
+        end = RAW_END[tag].search(self.html, self.at)
+        self.at = end.end() if end else len(self.html)
+
+
+def named_boilerplate(names: str) -> bool:
+    """True where a word of a class or id names boilerplate, and beside that nothing else."""
+    for name in names.lower().split():
+        own = WORDS.findall(name)
+        if not HINTS.isdisjoint(own) and all(w in HINTS or w in NEUTRAL for w in own):
+            return True
+    return False
+
+
+def cut_by_element(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in CUT or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    if not attributes or tag in ("html", "body"):
         return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value, name = (a or b or c).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name == "role" and value in ROLES or name in ("class", "id") and not HINTS.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").lower().replace(" ", "")
+    return hidden or attributes.get("role", "").lower() in ROLES
 
 
 def parse(html: str) -> Node:
     """DOM of a page; text lies in the nodes' parts as plain strings, without what is in cut elements."""
     root = node = Node("#root", None, False)
-    at, articles = 0, 0
-
-    def text(upto: int) -> None:
-        if upto > at and not node.cut:
-            node.parts.append(unescape(html[at:upto]))
+    articles, is_open, tokens = 0, Counter(), Tokens(html)
 
     def close(to: Node) -> None:
         nonlocal node, articles
         while node is not to:
             articles -= node.tag in ("article", "main")
+            is_open[node.tag] -= 1
             node = node.parent
 
-    for m in iter(lambda: TAG.search(html, at), None):
-        text(m.start())
-        at = m.end()
-        ending, tag = m[1], (m[2] or "").lower()
-        if not tag:
+    for text, tag, attributes in tokens:
+        if tag is None:
+            if not node.cut:
+                node.parts.append(unescape(text))
             continue
-        if ending:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
+        if tag[0] == "/":
+            if is_open[tag[1:]]:
+                up = node
+                while up.tag != tag[1:]:
+                    up = up.parent
                 close(up.parent)
             continue
-        if tag in BLOCKS and tag not in INSIDE_P:
+        if tag in BLOCKS and tag not in INSIDE_P and is_open["p"]:
             up = node
             while up is not root and up.tag != "p" and up.tag not in BLOCKS:
                 up = up.parent
             if up.tag == "p":
                 close(up.parent)
-        up = node
-        while up is not root and up.tag not in ("ul", "ol", "dl", "table", "select", "div", "article"):
-            if tag in ENDS.get(up.tag, ()):
-                close(up.parent)
-                break
-            up = up.parent
-        child = Node(tag, node, node.cut or boilerplate(tag, m[3], articles > 0))
+        if tag in STARTS and any(is_open[t] for t in STARTS[tag]):
+            up = node
+            while up is not root and up.tag not in ("ul", "ol", "dl", "table", "select", "div", "article"):
+                if up.tag in STARTS[tag]:
+                    close(up.parent)
+                    break
+                up = up.parent
+        wrapper = tag in ("html", "body", "article", "main")
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}" if attributes else ""
+        hinted = bool(names) and named_boilerplate(names) and (not wrapper or "comment" in names.lower())
+        child = Node(tag, node, node.cut or cut_by_element(tag, attributes, articles > 0), hinted)
         node.parts.append(child)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path")):
+            tokens.pass_raw(tag)
+        elif tag not in VOID:
             node = child
+            is_open[tag] += 1
             articles += tag in ("article", "main")
-    text(len(html))
     return root
 
 
@@ -134,6 +218,8 @@ def ordered(root: Node) -> list[Node]:
 
 def weigh(nodes: list[Node]) -> None:
     """Counts, composite densities and the children's density sums, from the leaves up."""
+    for node in nodes:
+        node.clear()
     for node in reversed(nodes):
         for part in node.parts:
             if isinstance(part, str):
@@ -182,20 +268,55 @@ def rendered(node: Node, keep: set[int] | None) -> str:
     return " ".join(blocks)
 
 
+def cut_named(root: Node) -> None:
+    """Cut the nodes that are named boilerplate, but for wrappers of the page's content."""
+    nodes = ordered(root)
+    weigh(nodes)
+    holds = set()
+    for node in nodes:
+        if node.tag in ("article", "main", "h1") and not node.hinted and node.chars:
+            up = node.parent
+            while up is not None and id(up) not in holds:
+                holds.add(id(up))
+                up = up.parent
+    named = {id(n) for n in nodes if n.hinted and 0 < n.chars < NEARLY_ALL * root.chars and id(n) not in holds}
+    while True:
+        outer, inside = [], set()
+        for node in nodes:  # parents come first
+            if id(node.parent) in inside:
+                inside.add(id(node))
+            elif id(node) in named:
+                inside.add(id(node))
+                outer.append(node)
+        outer.sort(key=lambda n: -n.chars)
+        left = sum(n.chars for n in outer)
+        if left < NEARLY_ALL * root.chars or not outer:
+            break
+        for node in outer:
+            if left < NEARLY_ALL * root.chars:
+                break
+            left -= node.chars
+            named.discard(id(node))
+    for node in outer:
+        node.cut = True
+
+
 def main_text(html: str | None) -> str:
     """Main text of one page; '' for null."""
     if not html:
         return ""
     root = parse(html)
+    cut_named(root)
     nodes = ordered(root)
     weigh(nodes)
-    named = [n for n in nodes if n.tag in ("article", "main") and n.chars]
-    if named:
-        inner = [n for n in named if n.tag == "article"] or named
-        return rendered(max(inner, key=lambda n: (n.total + n.density, n.chars)), None)
     best = max(nodes, key=lambda n: n.total)
     if not best.total:
         return rendered(root, None)
+    up, article = best, None
+    while up is not None:
+        article = up if up.tag == "article" else article
+        up = up.parent
+    best = article or best
     path, up = [], best
     while up is not None:
         path.append(up)
@@ -204,7 +325,7 @@ def main_text(html: str | None) -> str:
     threshold = min(n.density for n in path if n.tag not in ("#root", "html") or n is best)
     keep = {id(best)}
     for node in path[1:]:
-        keep |= {id(p) for p in node.parts if isinstance(p, Node) and not p.cut and id(p) not in on_path and p.density >= threshold}
+        keep |= {id(p) for p in node.parts if isinstance(p, Node) and not p.cut and id(p) not in on_path and (p.density >= threshold or p.tag == "h1")}
     return rendered(root, keep)
 
 

@@ -55,11 +55,58 @@ PAGES = {
 }
 
 
-def test_main_text(spark):
-    pages = spark.createDataFrame([(i, "u", h, "x") for i, h in enumerate(PAGES)], "page_id long, url string, html string, text string")
+LONG_P = "<p>This is a paragraph of the story, which has some length.</p><p>So has this one, and it goes on for a while.</p>"
+STORY = "This is a paragraph of the story, which has some length. So has this one, and it goes on for a while."
+MORE_PAGES = {
+    f"<main><article>{LONG_P}</article><article>{LONG_P}</article></main>": f"{STORY} {STORY}",
+    f"<body><article>Teaser.</article><div>{LONG_P}</div></body>": STORY,
+    f"<main><h1>Title</h1><article>{LONG_P}</article></main>": f"Title {STORY}",
+    f"<article><section id='discussion'><p>Talk.</p></section><div id='related-work'><p>Work.</p></div><header class='entry-header'><h1>A</h1></header><div class='article-header'><h1>B</h1></div>{LONG_P}</article>": f"Talk. Work. A B {STORY}",
+    f"<article><p title='the hidden truth'>One.</p><p data-x=don't>Two.</p>{LONG_P}</article>": f"One. Two. {STORY}",
+    f"<body><div class='has-sidebar'>{LONG_P}</div></body>": STORY,
+    f"<body><div class='sidebar'>{LONG_P}</div></body>": STORY,
+    f"<body><div class='sidebar'><div class='ad-box'>{LONG_P}</div><div class=ads>x</div></div></body>": STORY,
+    # without an article element
+    f"<body><nav>Menu</nav><div class='ad-slot'><p>Buy</p></div><div id=x>{LONG_P}</div><div class='comments-list'>{LONG_P}</div><footer>f</footer></body>": STORY,
+    f"<body><div>{LONG_P}</div><ul><li><a href=1>One link</a><li><a href=2>Other link</a></ul><form><p>Subscribe now</p></form></body>": STORY,
+    f"<body><table><tr><td><a href=1>Home</a><td>{LONG_P}</table><div class=cookie-notice><p>We use cookies.</p></div></body>": STORY,
+    f"<body><div hidden>{LONG_P}</div><section>{LONG_P}</section><aside>{LONG_P}</aside></body>": STORY,
+    f"<body><div id=a><div id=b>{LONG_P}<script>if (a<b) document.write('<p>no</p>')</script></div></div><div role=navigation>Links</div></body>": STORY,
+    f"<body><h1>Head</h1><div>{LONG_P}</div></body>": f"Head {STORY}",
+    "a < b <3 &lt;": "a < b <3 <", "<p>open <b>text": "open text", "<!-- x": "", "text<!-- x": "text",
+}
+
+
+@pytest.mark.parametrize("html", list(MORE_PAGES))
+def test_main_text_of(html):
+    assert html_text.main_text(html) == MORE_PAGES[html]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<div class='", "<p>x<i>", "<li>", "<!--", "<a href=x", "<script>", "<div class=ad>x", "</b><i>"])
+def test_broken_html_takes_linear_time(unit):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_text.main_text(unit * (n // len(unit)))
+        return time.process_time() - began
+
+    assert seconds(1_600_000) < 8 * seconds(400_000) + 1
+
+
+def test_main_text(spark, data):
+    pages = spark.createDataFrame([(i, "u", h, "x", "y") for i, h in enumerate([*PAGES, *PAGES])], "page_id long, url string, html string, text string, n_chars string")
     found = html_text.with_main_text(pages).orderBy("page_id").collect()
-    assert [r.text for r in found] == list(PAGES.values()) and all(r.n_chars == len(r.text) for r in found)
+    assert [r.text for r in found] == [*PAGES.values(), *PAGES.values()] and all(r.n_chars == len(r.text) for r in found)
     assert html_text.with_main_text(pages.where("false")).count() == 0
+    rows = QUERIES["op1_main_text"](spark, data).collect()
+    import re
+    from html import unescape
+
+    for r, p in zip(sorted(rows), spark.read.parquet(f"{data}/pages.parquet").orderBy("page_id").collect(), strict=True):
+        article = re.sub(r"</?(?:p|h1|br)>", "\0", re.search(r"<article>(.*)</article>", p.html, re.S)[1])
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in article.split("\0")]
+        assert (r.page_id, r.url, r.text) == (p.page_id, p.url, " ".join(b for b in blocks if b))
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
