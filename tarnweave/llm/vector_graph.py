@@ -4,9 +4,10 @@ Vectors of a label (and of one length) are dealt to shards of at most about SHAR
 graph of its own, and every shard of the label is queried with every vector of the label, block by block. A
 block's links are audited: AUDIT_ROWS at a time, its vectors are compared with the whole shard until AUDIT_LINKED
 of them have links, and while less than AUDIT_RECALL of a vector's true links, in the mean of these, join vectors
-that the search has joined, the beams are doubled (a beam as wide as the shard is exhaustive). Equal vectors are
-one node of a graph. Links are verified by cosine in double precision, united to components over
-all shards, and the links of a vector are then counted exactly inside its component, block against block.
+that the search has joined, the beams are doubled; once a beam would be EXACT_SHARE of the shard, all its vectors are
+compared instead. The recall measured (null where the audited vectors have no links) is written beside the links. Equal
+vectors are one node. Links are verified by cosine in double precision, united to components over all shards, and the
+links of a node are then counted exactly inside its component, block against block, each node as often as it has vectors.
 
 A null label, a null or empty vector, a zero vector, and one with null or non-finite components link with
 nothing; repeated rows are rows of their own that link with each other; a null vec_id stays a row without
@@ -17,13 +18,14 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import pickle
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, table
+from .common import connected_components, filesystem, materialise, new_path, table
 
 THRESHOLD = 0.98
 SHARD_ROWS = 16_384
@@ -36,8 +38,10 @@ EXPAND = 4
 AUDIT_ROWS, AUDIT_RECALL = 128, 0.99
 #: Vectors with links that an audit is to see, and the most vectors it compares for that.
 AUDIT_LINKED, AUDIT_MOST = 32, 2048
-#: Rows of a block in the exact count.
-COUNT_ROWS = 4096
+#: Share of a shard beyond which comparing everything is cheaper than a beam.
+EXACT_SHARE = 0.25
+#: Nodes of a block in the exact count.
+COUNT_ROWS = 2048
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -197,8 +201,14 @@ def verified(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray,
     return keep
 
 
-def linked(graph: Graph, indexed: np.ndarray, queries: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, float]:
-    """Root of each node (queries first, then indexed; of the same vectors if same), and the audit's recall. Arguments of double precision and length one."""
+def near_pairs(queries: np.ndarray, indexed: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs with the cosine."""
+    found = [(at + a, b) for at in range(0, len(queries), 512) for a, b in [np.nonzero(queries[at : at + 512] @ indexed.T >= threshold)]]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
+
+
+def linked(graph: Graph, indexed: np.ndarray, queries: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, float | None]:
+    """Root of each node (queries first, then indexed; of the same vectors if same), and the audit's recall, None without links. Arguments of double precision and length one."""
     shift = 0 if same else len(queries)
     n = shift + len(indexed)
     order = np.random.default_rng(len(queries)).permutation(len(queries))
@@ -217,71 +227,96 @@ def linked(graph: Graph, indexed: np.ndarray, queries: np.ndarray, same: bool, t
     _, place, links = np.unique(true_a, return_inverse=True, return_counts=True)
     beam = BEAM
     while True:
-        ids, sims = graph.search(queries.astype(np.float32), beam, np.arange(len(queries)) if same else None)
-        a, k = np.nonzero(sims >= threshold - 1e-4)
-        b = ids[a, k]
-        keep = verified(queries, indexed, a, b, threshold)
-        root = roots_of(a[keep], b[keep] + shift, n)
+        exact = beam >= EXACT_SHARE * len(indexed)
+        if exact:
+            a, b = near_pairs(queries, indexed, threshold)
+        else:
+            ids, sims = graph.search(queries.astype(np.float32), beam, np.arange(len(queries)) if same else None)
+            a, k = np.nonzero(sims >= threshold - 1e-4)
+            b = ids[a, k]
+            keep = verified(queries, indexed, a, b, threshold)
+            a, b = a[keep], b[keep]
+        root = roots_of(a, b + shift, n)
         # each vector counts once, however many links it has
-        recall = float((np.bincount(place, root[true_a] == root[true_b + shift]) / links).mean()) if len(links) else 1.0
-        if recall >= AUDIT_RECALL or beam >= len(indexed):
+        recall = float((np.bincount(place, root[true_a] == root[true_b + shift]) / links).mean()) if len(links) else None
+        if exact or recall is None or recall >= AUDIT_RECALL:
             return root, recall
         beam *= 2
 
 
 def vector_links(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) that join all vectors found near each other; rows: uid long, label, dim, vector array<double>, read twice. The table written also holds each block's recall, in rows of null links."""
+    """Links (a, b) that join all vectors found near each other; rows: uid long, label, dim, vector array<double>, read twice. The table also holds each block's recall, in rows of null links (audit_of)."""
     sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
     dealt = rows.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")))
 
+    folder = new_path(rows.sparkSession, "graph-files")
+
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         graph = Graph(vectors.astype(np.float32))
-        blob = pickle.dumps((pdf["uid"].to_numpy(), vectors, graph.links, graph.top, graph.entry), 5)
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "index": [blob]})
+        path = f"{folder}/{uuid.uuid4().hex}"  # a repeated task writes another file; the table names those that count
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        with filesystem(path)[0].open_output_stream(filesystem(path)[1]) as out:
+            out.write(pickle.dumps((pdf["uid"].to_numpy(), vectors, graph.links, graph.top, graph.entry), 5))
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "path": [path]})
 
     label = rows.schema["label"].dataType.simpleString()
-    indexes = materialise(dealt.drop("shards").groupBy("label", "dim", "shard").applyInPandas(build, f"label {label}, dim int, shard long, index binary"), "graphs")
-    blocks = indexes.select("label", "dim", F.col("shard").alias("block"), F.col("index").alias("queries"))
+    indexes = materialise(dealt.drop("shards").groupBy("label", "dim", "shard").applyInPandas(build, f"label {label}, dim int, shard long, path string"), "graphs")
+    blocks = indexes.select("label", "dim", F.col("shard").alias("block"), F.col("path").alias("queries"))
+
+    def load(path: str):
+        fs, place = filesystem(path)
+        with fs.open_input_stream(place) as data:
+            return pickle.loads(data.read())
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        uids, vectors, links, top, entry = pickle.loads(pdf["index"].iloc[0])
+        uids, vectors, links, top, entry = load(pdf["path"].iloc[0])
         graph = Graph.__new__(Graph)
         graph.points, graph.links, graph.top, graph.entry = vectors.astype(np.float32), links, top, entry
         same = pdf["shard"].iloc[0] == pdf["block"].iloc[0]
-        own_uids, own = (uids, vectors) if same else pickle.loads(pdf["queries"].iloc[0])[:2]
+        own_uids, own = (uids, vectors) if same else load(pdf["queries"].iloc[0])[:2]
         root, recall = linked(graph, vectors, own, same, threshold)
         names = own_uids if same else np.concatenate([own_uids, uids])
         moved = np.flatnonzero(root != np.arange(len(root)))
         links = pd.DataFrame({"a": pd.array(names[moved], "Int64"), "b": pd.array(names[root[moved]], "Int64"), "recall": np.nan})
-        audit = pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "recall": [recall]})
+        audit = pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "recall": [np.nan if recall is None else recall]})
         return pd.concat([audit, links])[["a", "b", "recall"]].assign(label=pdf["label"].iloc[0], dim=pdf["dim"].iloc[0], shard=pdf["shard"].iloc[0], block=pdf["block"].iloc[0])
 
-    # every shard of a label meets every block of its vectors; a row here is a shard and a block
-    pairs = indexes.join(blocks, ["label", "dim"]).withColumn("queries", F.when(F.col("shard") != F.col("block"), F.col("queries")))
+    # every shard of a label meets every block of its vectors; a row here is a shard and a block, by the names of their files
+    pairs = indexes.join(blocks, ["label", "dim"])
     found = pairs.groupBy("label", "dim", "shard", "block").applyInPandas(search, f"a long, b long, recall double, label {label}, dim int, shard long, block long")
-    return materialise(found, "links").where("a IS NOT NULL").select("a", "b")
+    return materialise(found, "links")
+
+
+def audit_of(found: DataFrame) -> DataFrame:
+    """label, dim, shard, block and recall of each block searched, from vector_links' table; recall is null where no audited vector had links."""
+    return found.where("a IS NULL").select("label", "dim", "shard", "block", F.nanvl("recall", F.lit(None).cast("double")).alias("recall"))
 
 
 def count_links(members: DataFrame, threshold: float = THRESHOLD, block_rows: int = COUNT_ROWS) -> DataFrame:
-    """uid, n_links of all members(uid, component, vector): exact, in each component block against block."""
+    """uid and n_near (vectors near it, its own among them) of all members(uid, component, n, vector), n being a node's vectors: exact, in each component block against block."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.select("component", F.col("own").alias("i"), others.alias("j"), "uid", "vector")
-    right = dealt.select(F.col("component").alias("of"), others.alias("at"), F.col("own").alias("with"), F.col("uid").alias("mate"), F.col("vector").alias("beside"))
+    left = dealt.select("component", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), "uid", "n", "vector")
+    right = dealt.select(F.col("component").alias("of"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("at"), F.col("own").alias("with"), F.col("uid").alias("mate"), F.col("n").alias("m"), F.col("vector").alias("beside"))
 
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def count(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"uid": np.array([], np.int64), "n": np.array([], np.int64)})
         x, y = (np.stack(p.to_numpy()).astype(np.float64) for p in (a["vector"], b["beside"]))
         x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-        n = np.concatenate([(x[at : at + 512] @ y.T >= threshold).sum(1) for at in range(0, len(x), 512)])
-        n -= np.isin(a["uid"].to_numpy(), b["mate"].to_numpy())  # itself
-        return pd.DataFrame({"uid": a["uid"], "n": n})
+        n, m = a["n"].to_numpy(), b["m"].to_numpy()
+        of_x, of_y = [], np.zeros(len(y), np.int64)
+        for at in range(0, len(x), 512):
+            near = x[at : at + 512] @ y.T >= threshold
+            of_x.append(near @ m)
+            of_y += n[at : at + 512] @ near
+        found = pd.DataFrame({"uid": a["uid"], "n": np.concatenate(of_x)})
+        return found if key[1] == key[2] else pd.concat([found, pd.DataFrame({"uid": b["mate"], "n": of_y})])
 
-    return left.groupBy("component", "i", "j").cogroup(right.groupBy("of", "at", "with")).applyInPandas(count, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n_links"))
+    return left.groupBy("component", "i", "j").cogroup(right.groupBy("of", "at", "with")).applyInPandas(count, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n_near"))
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -294,13 +329,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
     rows = materialise(slim.select(key, "label", "good", F.size(wide).alias("dim"), F.when(F.col("good"), scaled).alias("vector")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     # equal vectors are one node, so that no beam fills with a vector's own copies
     kin = ["label", "dim", "vector"]
-    nodes = materialise(rows.where("good").groupBy(*kin).agg(F.min("uid").alias("uid")), "nodes")
-    copies = rows.where("good").join(nodes.withColumnRenamed("uid", "a"), kin).where("uid <> a").select("a", F.col("uid").alias("b"))
-    parts = materialise(connected_components(vector_links(nodes.select("uid", *kin), threshold, shard_rows).unionByName(copies)), "components")
-    members = rows.join(parts, rows["uid"] == parts["node"]).select("uid", key, "component", "vector")
-    least = members.groupBy("component").agg(F.min(key).alias("component_id"))
-    found = count_links(members, threshold).join(members.select("uid", "component"), "uid").join(least, "component").select("uid", "n_links", "component_id")
-    out = rows.select("uid", key).join(found, "uid", "left").select(F.col(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", key).cast("long").alias("component_id"))
+    nodes = materialise(rows.where("good").groupBy(*kin).agg(F.min("uid").alias("uid"), F.count("*").alias("n"), F.min(key).alias("least")), "nodes")
+    owners = rows.where("good").join(nodes.select(*kin, F.col("uid").alias("node")), kin).select("uid", "node")
+    links = vector_links(nodes.select("uid", *kin), threshold, shard_rows).where("a IS NOT NULL").select("a", "b")
+    parts = materialise(connected_components(links), "components").withColumnRenamed("node", "uid")
+    near = count_links(nodes.join(parts, "uid").select("uid", "component", "n", "vector"), threshold)
+    named = nodes.select("uid", "n", "least").join(parts, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = named.join(least, "component").join(near, "uid", "left").select(F.col("uid").alias("node"), (F.coalesce("n_near", "n") - 1).alias("n_links"), "component_id")
+    found = materialise(found, "found")
+    out = rows.select("uid", key).join(owners.join(found, "node").drop("node"), "uid", "left").select(F.col(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", key).cast("long").alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 

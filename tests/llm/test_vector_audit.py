@@ -2,6 +2,7 @@
 
 import numpy as np
 from tarnweave.llm import vector_graph
+from tarnweave.llm.common import materialise
 
 
 class Narrow:
@@ -33,3 +34,20 @@ def test_groups_of_copies_join(spark):
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     found = {r.vec_id: r for r in vector_graph.near_duplicate_vectors(df).collect()}
     assert {found[i].component_id for i in range(120)} == {0} and {found[i].n_links for i in range(120)} == {119}
+
+
+def test_exact_beyond_a_share_of_the_shard():
+    v = np.random.default_rng(5).normal(size=(90, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    root, recall = vector_graph.linked(Narrow(v.astype(np.float32)), v, v, True, 0.6)
+    assert recall == 1 and (root == vector_graph.roots_of(*np.nonzero(v @ v.T >= 0.6), 90)).all()
+
+
+def test_recall_is_written_for_each_block(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 16))
+    v[200:300] = v[:100] + 0.01 * rng.normal(size=(100, 16))
+    rows = materialise(spark.createDataFrame([(i, 1 if i < 300 else 2, 16, x.tolist()) for i, x in enumerate(v)], "uid long, label int, dim int, vector array<double>"), "v")
+    found = vector_graph.audit_of(vector_graph.vector_links(rows, shard_rows=150)).collect()
+    assert sorted((r.label, r.shard, r.block) for r in found) == [(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1), (2, 0, 0)]
+    assert all(r.recall is None if r.label == 2 else r.recall >= 0.9 for r in found)
