@@ -9,17 +9,19 @@ A sharded table is a folder:
 Arrivals are appended as small shards. Shards whose sizes lie in the same tier (powers of FACTOR) are merged,
 once there are FAN_IN of them, into files of about TARGET_BYTES; shards of half that and more are left alone.
 Readers see a version whole or not at all: a commit is one rename that fails if the version exists, in which
-case the writer starts from the newer version. Lost executors cost repeated tasks only, and what an ended
-writer leaves behind is in no manifest.
+case the writer starts from the newer version (the file system's rename must be atomic, as HDFS's and local ones are and
+plain object stores' is not). Old versions stay readable until expire() drops those that were replaced long enough ago.
+Lost executors cost repeated tasks only, and what an ended writer leaves behind is in no manifest.
 
-Null values, empty texts, repeated rows and extra columns pass through unchanged; an empty arrival commits a
-version without new shards.
+Null values, empty texts, repeated rows and extra columns, clashing names among them, pass through unchanged; shards of
+equal size are merged in the order of their paths; an empty arrival commits a version without new shards.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,10 @@ TIER_BYTES, FACTOR, FAN_IN = 1 << 20, 4, 4
 ARRIVAL_ROWS = 5000
 #: Shards that one merging job names; more are merged by further jobs.
 FILES_A_JOB = 10_000
+#: Seconds for which a replaced version stays readable.
+RETENTION = 7 * 86_400
+#: Arrivals in which the query appends its table.
+ARRIVALS = 4
 MANIFEST = "path string, n_bytes long, n_rows long"
 
 
@@ -72,7 +78,7 @@ class ShardedTable:
         fs.mkdirs(self._path("commits"))
         written = self._path(f"commits/.{uuid.uuid4().hex}")
         out = fs.create(written)
-        out.write(bytearray(json.dumps({"manifest": name, "schema": schema.json()}).encode()))
+        out.write(bytearray(json.dumps({"manifest": name, "schema": schema.json(), "time": time.time()}).encode()))
         out.close()
         context = self.jvm.FileContext.getFileContext(written.toUri(), self.conf)
         kind = getattr(self.jvm, "Options$Rename")
@@ -143,7 +149,7 @@ class ShardedTable:
     def compact_all(self) -> int:
         """Merge until no tier has enough shards; the newest version."""
         while self.compact() is not None:
-            self.expire()
+            pass
         return max(self.versions(), default=0)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -153,31 +159,34 @@ class ShardedTable:
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def expire(self, keep: int = 1) -> None:
-        """Drop all but the newest `keep` versions, and the shards that only they had."""
+    def expire(self, older: float = RETENTION) -> None:
+        """Drop the versions that a newer one replaced more than `older` seconds ago, and the shards that only they had."""
         versions = self.versions()
-        old, kept = versions[:-keep], versions[-keep:]
+        commits = {v: self.commit_of(v) for v in versions}
+        now = time.time()
+        old = [v for v, newer in zip(versions, versions[1:]) if now - commits[newer]["time"] > older]
         if not old:
             return
         alive = None
-        for v in kept:
+        for v in versions[len(old) :]:
             alive = self.manifest(v) if alive is None else alive.unionByName(self.manifest(v))
         fs = self._fs()
         for v in old:
             dead = self.manifest(v).select("path").join(alive, "path", "left_anti").distinct().collect()
-            manifest = self.commit_of(v)["manifest"]
             fs.delete(self._path(f"commits/{v:012d}.json"), False)
-            fs.delete(self._path(manifest), True)
+            fs.delete(self._path(commits[v]["manifest"]), True)
             for r in dead:
                 fs.delete(self.jvm.Path(r["path"]), False)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents appended, compacted and read back through the manifest: doc_id, lang, source, n_chars, text_md5."""
+    """All documents appended in ARRIVALS arrivals, compacted and read back through the manifest: doc_id, lang, source, n_chars, text_md5, compacted (a merge has written the newest version)."""
     shards = ShardedTable(spark, new_path(spark, "shards"))
-    shards.append(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
-    shards.compact_all()
-    return shards.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    appended = [shards.append(docs.where(arrival == i)) for i in range(ARRIVALS)]
+    newest = shards.compact_all()
+    return shards.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.lit(newest > appended[-1]).alias("compacted"))
 
 
-ORACLE = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+ORACLE = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, TRUE AS compacted FROM documents"
