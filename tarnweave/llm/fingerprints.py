@@ -79,7 +79,7 @@ def _buckets(spark: SparkSession, ids: DataFrame) -> tuple[Column, list]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, digest, next_text, next_digest: the next row by (doc_id, text), the first after the last.
+    """doc_id, text, form, digest, next_text, next_digest: the next row by (doc_id, text), the first after the last.
 
     Rows go once to ranges of doc_id; inside a range, a window looks one row ahead. A range's last row finds
     the next range's first row as a marked guest at its end, so no task holds more than a range and one row.
@@ -96,32 +96,52 @@ def with_next(docs: DataFrame) -> DataFrame:
     follows = ranges.select("bucket", F.lag("bucket").over(order).alias("prev"), F.max("bucket").over(W.partitionBy()).alias("last"))
     guests = heads.join(F.broadcast(follows), "bucket").select(F.lit(None).cast("long").alias("doc_id"), "text", F.coalesce("prev", "last").alias("bucket"), F.lit(True).alias("guest"))
     rows = docs.withColumn("guest", F.lit(False)).unionByName(guests)
-    rows = rows.withColumn("form", canonical(F.col("text"))).withColumn("digest", digest(F.col("form"))).drop("form")
+    rows = rows.withColumn("form", canonical(F.col("text"))).withColumn("digest", digest(F.col("form")))
     after = W.partitionBy("bucket").orderBy("guest", "doc_id", "text")
-    return rows.select("doc_id", "text", "digest", "guest", F.lead("text").over(after).alias("next_text"), F.lead("digest").over(after).alias("next_digest")).where("NOT guest").drop("guest")
+    return rows.select("doc_id", "text", "form", "digest", "guest", F.lead("text").over(after).alias("next_text"), F.lead("digest").over(after).alias("next_digest")).where("NOT guest").drop("guest")
 
 
-def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, as the contract of this query states.
+def clashing_digests(forms: DataFrame) -> DataFrame:
+    """digest of those that different canonical forms of forms(digest, form) share, byte for byte compared.
 
-    Likeness of two exact digests is 1 for equal canonical forms and 0 otherwise.
+    Only digests that several rows share carry their forms on, and each task sends at most two of a digest.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = forms.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    ends = forms.join(shared, "digest", "left_semi").groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high"))
+    return ends.where("low <> high").select("digest")
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """Fingerprints of docs(doc_id, text) and of their edited texts, as op10_document_fingerprints states."""
     n, k = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = with_next(docs).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k)))
     rows = rows.withColumn("edited_form", canonical(F.col("edited")))
-    path = new_path(spark, "fingerprints")
+    path = new_path(docs.sparkSession, "fingerprints")
     rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("digest").alias("fingerprint"),
-        digest(F.col("edited_form")).alias("edited_fingerprint"), "next_digest", F.xxhash64("text").alias("text_hash"),
-    ).write.parquet(path)
-    found = spark.read.parquet(path)
-    # byte comparison inside digests that several rows share
-    shared = found.select("fingerprint").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fingerprint").alias("digest"))
-    forms = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), canonical(F.col("text")).alias("form")).withColumn("digest", digest(F.col("form")))
-    ranks = materialise(collision_ranks(forms.join(shared, "digest", "left_semi").select("digest", "form")), "ranks")
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("digest").alias("fingerprint"), "form",
+        digest(F.col("edited_form")).alias("edited_fingerprint"), "edited_form", F.col("next_digest").alias("next_fingerprint"), F.xxhash64("text", "next_text").alias("both"),
+    ).write.option("compression", "zstd").parquet(path)
+    found = docs.sparkSession.read.parquet(path)
+    forms = found.select(F.col("fingerprint").alias("digest"), "form").unionByName(found.select(F.col("edited_fingerprint").alias("digest"), F.col("edited_form").alias("form")))
+    clash = materialise(clashing_digests(forms), "clashes")
+    if not clash.isEmpty():
+        ranks = materialise(collision_ranks(forms.join(clash, "digest", "left_semi")), "ranks")
+        # the next document's form isn't kept: as its own row's, which the texts of both name
+        after = with_next(docs).select("doc_id", F.xxhash64("text", "next_text").alias("both"), F.col("next_digest").alias("digest"), canonical(F.col("next_text")).alias("form"))
+        marks = after.join(ranks, ["digest", "form"]).select("doc_id", "both", F.col("rank").alias("next_rank")).distinct()
+        for name, form in (("fingerprint", "form"), ("edited_fingerprint", "edited_form")):
+            found = found.join(ranks.select(F.col("digest").alias(name), F.col("form").alias(form), F.col("rank").alias(f"{name}_rank")), [name, form], "left")
+        same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.both") == F.col("b.both"))
+        found = found.alias("a").join(marks.alias("b"), same, "left").select("a.*", F.col("b.next_rank").alias("next_fingerprint_rank"))
+        for name in ("fingerprint", "edited_fingerprint", "next_fingerprint"):
+            found = found.withColumn(name, F.concat(name, F.coalesce(F.concat(F.lit("-"), f"{name}_rank"), F.lit(""))))
     alike = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    if not ranks.isEmpty():
-        marks = forms.join(ranks, ["digest", "form"]).select("doc_id", "text_hash", "rank").distinct()
-        found = found.join(marks, ["doc_id", "text_hash"], "left").withColumn("fingerprint", F.concat("fingerprint", F.coalesce(F.concat(F.lit("-"), "rank"), F.lit(""))))
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("fingerprint", "edited_fingerprint").alias("near_edited"), alike("fingerprint", "next_digest").alias("near_next"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("fingerprint", "edited_fingerprint").alias("near_edited"), alike("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, as the contract of this query states.
+
+    Likeness of two exact digests is 1 for equal canonical forms and 0 otherwise.
+    """
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -300,6 +300,8 @@ def test_sharding(spark, edges, empty):
     with pytest.raises(sharding.VersionTaken):
         shards._commit(6, shards.manifest(), edges.schema)
     shards.expire()
+    assert shards.versions() == [1, 2, 3, 4, 5, 6] and shards.read(3).count() == 3 * len(EDGES)  # readable after the merge
+    shards.expire(older=-1)
     assert shards.versions() == [6] and shards.read().count() == 4 * len(EDGES)
     assert sharding.ShardedTable(spark, common.new_path(spark, "s")).compact() is None
 
@@ -373,6 +375,25 @@ def test_fingerprints(spark, docs, data):
         assert all((rows[j].fingerprint == r.fingerprint) == (canonical(docs[j]) == canonical(text)) for j in keys[:40])
 
 
+def test_fingerprints_with_forced_collisions(spark, monkeypatch):
+    """With a digest of 16 values, bytes decide for documents, edited texts and next documents alike."""
+    monkeypatch.setattr(fingerprints, "digest", lambda form: F.substring(F.md5(form), 1, 1))
+    texts = [f"{'abcdefghij'[i % 10] * 3} {i % 23}" for i in range(60)] + ["same  Text"] * 4 + ["", None, "A", "a"]
+    df = spark.createDataFrame([(i // 2 if i > 62 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = fingerprints.edited_fingerprints(df).collect()
+    order = sorted(((i // 2 if i > 62 else i, t or "") for i, t in enumerate(texts)))
+    assert len(rows) == len(order)
+    want, forms = [], {}
+    for i, (k, text) in enumerate(order):
+        after, cut = order[(i + 1) % len(order)][1], len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        want.append((k, len(text), hashlib.sha256(edited.encode()).hexdigest(), float(canonical(text) == canonical(edited)), float(canonical(text) == canonical(after))))
+        forms[(k, want[-1][2], len(text))] = canonical(text), canonical(edited)
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in rows) == sorted(want)
+    pairs = {(forms[(r.doc_id, r.edited_sha256, r.n_chars)][0], r.fingerprint) for r in rows} | {(forms[(r.doc_id, r.edited_sha256, r.n_chars)][1], r.edited_fingerprint) for r in rows}
+    assert len({f for f, _ in pairs}) == len({p for _, p in pairs}) == len(pairs)
+
+
 def test_fingerprint_edges(spark, edges, empty):
     found = fingerprints.exact_fingerprints(edges.withColumn("fingerprint", F.lit("x"))).collect()
     by = {r.doc_id: r.fingerprint for r in found}
