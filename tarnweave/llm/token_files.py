@@ -34,6 +34,8 @@ MAGIC = b"TWPLANE1"
 BLOCK_IDS = 65_536
 #: A task goes on to another file after so many ids (1 GiB before compression).
 FILE_IDS = 268_435_456
+#: And after so many documents, whose list lies in memory.
+FILE_DOCS = 500_000
 END_ID = 2
 MANIFEST = "part int, file_no int, path string, n_docs long, n_ids long"
 
@@ -157,19 +159,26 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             fs.move(temporary, f"{root}/{name}")
             rows.append((part, len(rows), f"{folder}/{name}", len(writer.docs), writer.n_ids))
 
-        for batch in batches:
-            for some in text_batches(batch, "text"):
-                for doc_id, ids in zip(some["doc_id"].tolist(), encode(some["text"].tolist())):
-                    if writer is None:
-                        temporary = f"{root}/.{part:06d}-{uuid.uuid4().hex}"
-                        out = fs.open_output_stream(temporary)
-                        writer = PlaneWriter(out, bits)
-                    writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
-                    if writer.n_ids >= FILE_IDS:
-                        finish()
-                        writer = None
-        if writer is not None:
-            finish()
+        try:
+            for batch in batches:
+                for some in text_batches(batch, "text"):
+                    for doc_id, ids in zip(some["doc_id"].tolist(), encode(some["text"].tolist())):
+                        if writer is None:
+                            temporary = f"{root}/.{part:06d}-{uuid.uuid4().hex}"
+                            out = fs.open_output_stream(temporary)
+                            writer = PlaneWriter(out, bits)
+                        writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
+                        if writer.n_ids >= FILE_IDS or len(writer.docs) >= FILE_DOCS:
+                            finish()
+                            writer = None
+            if writer is not None:
+                finish()
+                writer = None
+        except BaseException:
+            if writer is not None:  # the attempt that repeats this task writes its own file
+                out.close()
+                fs.delete_file(temporary)
+            raise
         yield pd.DataFrame(rows, columns=["part", "file_no", "path", "n_docs", "n_ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
