@@ -6,7 +6,8 @@ documents. run() applies them to the documents of sf_dir, each stage written and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnweave.llm.common import byte_bpe_path, materialise, table
@@ -17,6 +18,8 @@ from tarnweave.llm.packing import pack_documents
 from tarnweave.llm.toxicity import THRESHOLD, fit_on, with_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Files whose names are broadcast to number their rows.
+MOST_FILES = 100_000
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -29,7 +32,20 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a row number, as a table: numbers follow the partitions of one run, so they are written once and read everywhere."""
+    """docs with a number of its own for each row, the same however and how often it is read.
+
+    The rows of Parquet files are numbered by file and place in it. Other plans, and tables of more than MOST_FILES files, are written
+    once with a running number, which follows the partitions of that run.
+    """
+    try:
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        placed = None
+    if placed is not None:
+        files = materialise(placed.select("__file").distinct(), f"{name}-files")
+        if files.count() <= MOST_FILES:
+            numbers = files.withColumn("__no", F.row_number().over(Window.orderBy("__file")).cast("long"))
+            return placed.join(F.broadcast(numbers), "__file").select(*COLUMNS, (F.shiftleft("__no", 40) + F.col("__at")).alias("row_no"))
     return materialise(_documents(docs).withColumn("row_no", F.monotonically_increasing_id()), f"{name}-rows")
 
 
