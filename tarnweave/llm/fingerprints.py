@@ -20,6 +20,8 @@ from .common import materialise, new_path, shuffle_partitions, table
 
 #: Buckets of the ordered pass for each shuffle partition: enough that their sizes even out.
 BUCKETS_A_PARTITION = 8
+#: Bits of the bitmap of shared digests (2 MB).
+BITMAP_BITS = 1 << 24
 
 
 def canonical(text: Column) -> Column:
@@ -104,10 +106,16 @@ def with_next(docs: DataFrame) -> DataFrame:
 def clashing_digests(forms: DataFrame) -> DataFrame:
     """digest of those that different canonical forms of forms(digest, form) share, byte for byte compared.
 
-    Only digests that several rows share carry their forms on, and each task sends at most two of a digest.
+    The digests that several rows share set bits of a bitmap of fixed size, which is broadcast; only forms whose digest meets a
+    set bit are sent on, and of each digest at most two from a task.
     """
-    shared = forms.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    ends = forms.join(shared, "digest", "left_semi").groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high"))
+    place = F.pmod(F.xxhash64("digest"), F.lit(BITMAP_BITS))
+    bucket, bit = F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32_767)
+    shared = forms.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    bitmaps = materialise(shared.select(bucket, bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "shared")
+    octet = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = forms.withColumn("bucket", bucket).join(F.broadcast(bitmaps), "bucket").where(octet.bitwiseAND(F.pow(F.lit(2.0), bit % 8).cast("long")) > 0)
+    ends = met.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high"))
     return ends.where("low <> high").select("digest")
 
 
