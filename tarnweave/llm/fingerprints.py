@@ -107,7 +107,7 @@ def clashing_digests(forms: DataFrame) -> DataFrame:
     """digest of those that different canonical forms of forms(digest, form) share, byte for byte compared.
 
     The digests that several rows share set bits of a bitmap of fixed size, which is broadcast; only forms whose digest meets a
-    set bit are sent on, and of each digest at most two from a task.
+    set bit are sent on, and each distinct one once from a task.
     """
     place = F.pmod(F.xxhash64("digest"), F.lit(BITMAP_BITS))
     bucket, bit = F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32_767)
@@ -115,8 +115,7 @@ def clashing_digests(forms: DataFrame) -> DataFrame:
     bitmaps = materialise(shared.select(bucket, bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "shared")
     octet = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     met = forms.withColumn("bucket", bucket).join(F.broadcast(bitmaps), "bucket").where(octet.bitwiseAND(F.pow(F.lit(2.0), bit % 8).cast("long")) > 0)
-    ends = met.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high"))
-    return ends.where("low <> high").select("digest")
+    return met.select("digest", "form").distinct().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -126,21 +125,24 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited_form", canonical(F.col("edited")))
     path = new_path(docs.sparkSession, "fingerprints")
     rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("digest").alias("fingerprint"), "form",
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("digest").alias("fingerprint"),
         digest(F.col("edited_form")).alias("edited_fingerprint"), "edited_form", F.col("next_digest").alias("next_fingerprint"), F.xxhash64("text", "next_text").alias("both"),
     ).write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.parquet(path)
-    forms = found.select(F.col("fingerprint").alias("digest"), "form").unionByName(found.select(F.col("edited_fingerprint").alias("digest"), F.col("edited_form").alias("form")))
+    # the documents' own forms come from another scan rather than from this table: a digest costs less than a text on disk
+    own = docs.select(canonical(F.col("text")).alias("form")).select(digest(F.col("form")).alias("digest"), "form")
+    forms = own.unionByName(found.select(F.col("edited_fingerprint").alias("digest"), F.col("edited_form").alias("form")))
     clash = materialise(clashing_digests(forms), "clashes")
     if not clash.isEmpty():
         ranks = materialise(collision_ranks(forms.join(clash, "digest", "left_semi")), "ranks")
-        # the next document's form isn't kept: as its own row's, which the texts of both name
-        after = with_next(docs).select("doc_id", F.xxhash64("text", "next_text").alias("both"), F.col("next_digest").alias("digest"), canonical(F.col("next_text")).alias("form"))
-        marks = after.join(ranks, ["digest", "form"]).select("doc_id", "both", F.col("rank").alias("next_rank")).distinct()
-        for name, form in (("fingerprint", "form"), ("edited_fingerprint", "edited_form")):
-            found = found.join(ranks.select(F.col("digest").alias(name), F.col("form").alias(form), F.col("rank").alias(f"{name}_rank")), [name, form], "left")
+        rank_of = lambda name: F.col("rank").alias(f"{name}_rank")
+        again = with_next(docs).select("doc_id", F.xxhash64("text", "next_text").alias("both"), "digest", "form", "next_digest", canonical(F.col("next_text")).alias("next_form"))
+        first = again.join(ranks, ["digest", "form"], "left").withColumnRenamed("rank", "fingerprint_rank").drop("digest", "form")
+        after = ranks.select(F.col("digest").alias("next_digest"), F.col("form").alias("next_form"), rank_of("next_fingerprint"))
+        marks = first.join(after, ["next_digest", "next_form"], "left").select("doc_id", "both", "fingerprint_rank", "next_fingerprint_rank").distinct()
+        found = found.join(ranks.select(F.col("digest").alias("edited_fingerprint"), F.col("form").alias("edited_form"), rank_of("edited_fingerprint")), ["edited_fingerprint", "edited_form"], "left")
         same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.both") == F.col("b.both"))
-        found = found.alias("a").join(marks.alias("b"), same, "left").select("a.*", F.col("b.next_rank").alias("next_fingerprint_rank"))
+        found = found.alias("a").join(marks.alias("b"), same, "left").select("a.*", "b.fingerprint_rank", "b.next_fingerprint_rank")
         for name in ("fingerprint", "edited_fingerprint", "next_fingerprint"):
             found = found.withColumn(name, F.concat(name, F.coalesce(F.concat(F.lit("-"), f"{name}_rank"), F.lit(""))))
     alike = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
