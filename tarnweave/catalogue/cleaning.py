@@ -11,12 +11,13 @@ from .registry import registry
 
 QUERIES, ORACLE_SQL, register = registry()
 
-WHITE = r"[\t\n\x0B\f\r ]"
-register("clean_text", lambda t: t.documents.where("lang = 'en'").select("doc_id", clean.clean_text(F.regexp_replace("text", r"[^\x00-\x7f]", "")).alias("cleaned")), rf"""
-SELECT doc_id, CASE WHEN length(c) > 500 THEN c[:500] || '...' ELSE c END AS cleaned FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7f]', '', 'g'),
-  '^{WHITE}+|{WHITE}+$', '', 'g'), '{WHITE}+', ' ', 'g'), '[^a-zA-Z0-9 .,!?():]', '', 'g') AS c FROM documents WHERE lang = 'en')""")
-register("clean_html", lambda t: t.pages.select("page_id", clean.clean_html(F.regexp_replace("html", r"[^\x00-\x7f]", "")).alias("cleaned")), rf"""
-SELECT page_id, CASE WHEN length(c) > 2000 THEN c[:2000] || '...' ELSE c END AS cleaned FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[^\x00-\x7f]', '', 'g'), '<[^>]+>', '', 'g'),
+# Unicode's white space
+WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+register("clean_text", lambda t: t.documents.select("doc_id", clean.clean_text(F.col("text")).alias("cleaned")), rf"""
+SELECT doc_id, CASE WHEN length(c) > 500 THEN c[:500] || '...' ELSE c END AS cleaned FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+  '^{WHITE}+|{WHITE}+$', '', 'g'), '{WHITE}+', ' ', 'g'), '[^\x{{4e00}}-\x{{9fff}}a-zA-Z0-9 .,!?():]', '', 'g') AS c FROM documents)""")
+register("clean_html", lambda t: t.pages.select("page_id", clean.clean_html(F.col("html")).alias("cleaned")), rf"""
+SELECT page_id, CASE WHEN length(c) > 2000 THEN c[:2000] || '...' ELSE c END AS cleaned FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'),
   '^{WHITE}+|{WHITE}+$', '', 'g'), '{WHITE}+', ' ', 'g') AS c FROM pages)""")
 PRICE_TEXT = "CASE p_size % 4 WHEN 0 THEN '¥' || CAST(p_size AS STRING) || '.5 起' WHEN 1 THEN CAST(p_size AS STRING) || '元 - ' || CAST(p_size + 9 AS STRING) || '元' WHEN 2 THEN 'RMB ' || CAST(p_size AS STRING) ELSE 'none' END"
 register("extract_prices", lambda t: t.part.select("p_partkey", clean.extract_prices(F.expr(PRICE_TEXT)).alias("p")).select("p_partkey", F.size("p").alias("n"), F.array_min("p").alias("low"), F.array_max("p").alias("high")), """

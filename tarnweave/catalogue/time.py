@@ -75,24 +75,31 @@ register("running_total", lambda t: series.running_total(t.view("logs").select("
 register("counter_rate", lambda t: series.counter_rate(points(t), "user_id", "timestamp", "current", "id").select("id", F.round("rate", 6).alias("rate")), f"SELECT id, round((id - lag(id) OVER w) / ({SECONDS.format('timestamp')} - lag({SECONDS.format('timestamp')}) OVER w), 6) AS rate FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, id)")
 register("sustained_condition", lambda t: series.sustained(t.view("logs"), "user_id", "timestamp", F.col("value") > 20, 7200).select("id", "firing"), "SELECT id, bool_and(value > 20) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(timestamp)) AS BIGINT) RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS firing FROM logs")
 register("rate_limit_accepted", lambda t: series.accepted_requests(t.view("logs"), "user_id", "timestamp", "id", limit=2, window_s=86400.0))
-register("alert_cooldown", lambda t: series.sent_alerts(t.view("logs").where("level = 'ERROR'"), "error_type", "timestamp", "id", cooldown_s=7200.0))
+register("alert_cooldown", lambda t: series.sent_alerts(t.view("logs").where("level = 'ERROR'"), "error_type", "timestamp", "id", cooldown_s=7200.0), """
+WITH RECURSIVE a AS (SELECT id, error_type, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY error_type ORDER BY timestamp, id) AS n FROM logs WHERE level = 'ERROR'),
+r AS (SELECT id, error_type, n, true AS sent, t AS last FROM a WHERE n = 1
+  UNION ALL SELECT a.id, a.error_type, a.n, a.t - r.last >= 7200000000, CASE WHEN a.t - r.last >= 7200000000 THEN a.t ELSE r.last END FROM r JOIN a ON a.n = r.n + 1 AND a.error_type IS NOT DISTINCT FROM r.error_type)
+SELECT id, error_type, sent FROM r""")
 
 
 def stream_folder(spark: SparkSession) -> str:
     """A new folder in the shared one, or where none is set (local runs) in the temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tarnweave-shared")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or os.path.join(tempfile.gettempdir(), "tarnweave-shared")
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def streamed(t, build, mode="append"):
-    return stream.run_to_end(build(stream.event_stream(t.spark, t.folder)), mode, stream_folder(t.spark))
+def streamed(t, build, mode="append", keys=None):
+    return stream.run_to_end(build(stream.event_stream(t.spark, t.folder)), mode, stream_folder(t.spark), keys)
 
 
 START = lambda df: df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
-register("stream_tumbling_counts", lambda t: START(streamed(t, stream.tumbling_counts, "complete")), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
-register("stream_sliding_means", lambda t: START(streamed(t, stream.sliding_means, "complete")), f"""
+register("stream_tumbling_counts", lambda t: START(streamed(t, stream.tumbling_counts, "update", ["start", "event_type"])), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
+register("stream_sliding_means", lambda t: START(streamed(t, stream.sliding_means, "update", ["start", "event_type"])), f"""
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS n, {avg('value', 6)} AS avg_value FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s, event_type, value FROM events) GROUP BY 1, 2""")
 register("stream_sessions", lambda t: START(streamed(t, stream.sessions, "complete")), """
 SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, COUNT(*) AS n FROM (SELECT *, SUM(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""")
 register("stream_first_seen", lambda t: streamed(t, lambda s: stream.first_seen(s, "event_id").select("event_id", "user_id")), "SELECT event_id, user_id FROM events")
-register("stream_error_state", lambda t: streamed(t, stream.error_state, "complete").select("user_id", "n"), "SELECT user_id, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+register("stream_error_state", lambda t: streamed(t, stream.error_state, "update", ["user_id"]).select("user_id", "n"), "SELECT user_id, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")

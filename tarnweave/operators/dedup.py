@@ -130,8 +130,10 @@ def equal_name_or_phone(suppliers: DataFrame) -> DataFrame:
 
 
 def first_seen(df: DataFrame, order: list[str], *keys: str) -> DataFrame:
-    """Rows that are the first of each key in turn; a row dropped by one key doesn't count for the next."""
+    """Rows that are the first of each key in turn, and all with a null key; a row dropped by one key doesn't count for the next."""
     for key in keys:
-        first = W.partitionBy(key).orderBy(*order)
+        # rows without the key all stay, so they needn't meet
+        apart = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*order), F.lit(10_000)))
+        first = W.partitionBy(key, apart).orderBy(*order)
         df = df.withColumn("__n", F.row_number().over(first)).where(F.col("__n").eqNullSafe(1) | F.col(key).isNull()).drop("__n")
     return df

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,44 +79,60 @@ def error_trend(logs: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     return out.withColumn("trend", F.when(F.col("recent") > 1.2 * F.col("previous"), "increasing").when(F.col("recent") < 0.8 * F.col("previous"), "decreasing").otherwise("stable"))
 
 
-def accepted_requests(requests: DataFrame, key: str, at: str, tie: str, limit: int = 10, window_s: float = 60.0) -> DataFrame:
-    """tie, key, accepted: a request is accepted while fewer than `limit` accepted ones lie within the window before it.
+def in_order(rows: DataFrame, key: str, at: str, tie: str, column: str, decider) -> DataFrame:
+    """tie, key and a boolean column that decider() gives for one time of a key after the other.
 
-    Whether one counts depends on all before it, so a key's requests meet in order; keys are clients.
+    Rows are sorted inside partitions and read batch by batch; only the decider of the current key is held, so a key
+    may have any number of rows. Rows of a null key are one key's.
     """
-    types = dict(requests.dtypes)
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__t", tie])
-        kept, out = deque(), []
-        for t in pdf["__t"]:
-            while kept and kept[0] <= t - window_s:
-                kept.popleft()
-            ok = len(kept) < limit
+    types = dict(rows.dtypes)
+
+    def decide(batches):
+        current, decider_of = (), None
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key].where(pdf[key].notna(), None).tolist(), pdf["__t"].tolist()):
+                if decider_of is None or k != current:
+                    current, decider_of = k, decider()
+                out.append(decider_of(t))
+            yield pdf[[tie, key]].assign(**{column: out})
+
+    ordered = rows.select(tie, key, seconds(at).alias("__t")).repartition(key).sortWithinPartitions(key, "__t", tie)
+    return ordered.mapInPandas(decide, f"{tie} {types[tie]}, {key} {types[key]}, {column} boolean")
+
+
+def accepted_requests(requests: DataFrame, key: str, at: str, tie: str, limit: int = 10, window_s: float = 60.0) -> DataFrame:
+    """tie, key, accepted: a request is accepted while fewer than `limit` accepted ones lie within the window before it."""
+
+    def decider():
+        kept = deque(maxlen=limit)
+
+        def accept(t: float) -> bool:
+            ok = len(kept) < limit or kept[0] <= t - window_s
             if ok:
                 kept.append(t)
-            out.append(ok)
-        return pdf[[tie, key]].assign(accepted=out)
+            return ok
+
+        return accept
 
-    rows = requests.select(tie, key, seconds(at).alias("__t"))
-    return rows.groupBy(key).applyInPandas(decide, f"{tie} {types[tie]}, {key} {types[key]}, accepted boolean")
+    return in_order(requests, key, at, tie, "accepted", decider)
 
 
 def sent_alerts(alerts: DataFrame, key: str, at: str, tie: str, cooldown_s: float = 300.0) -> DataFrame:
     """tie, key, sent: an alert is sent if none of its rule was sent within the cooldown before it."""
-    types = dict(alerts.dtypes)
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__t", tie])
-        last, out = float("-inf"), []
-        for t in pdf["__t"]:
-            ok = t - last >= cooldown_s
-            last = t if ok else last
-            out.append(ok)
-        return pdf[[tie, key]].assign(sent=out)
-
-    rows = alerts.select(tie, key, seconds(at).alias("__t"))
-    return rows.groupBy(key).applyInPandas(decide, f"{tie} {types[tie]}, {key} {types[key]}, sent boolean")
+
+    def decider():
+        last = [float("-inf")]
+
+        def send(t: float) -> bool:
+            ok = t - last[0] >= cooldown_s
+            if ok:
+                last[0] = t
+            return ok
+
+        return send
+
+    return in_order(alerts, key, at, tie, "sent", decider)
 
 
 def running_total(points: DataFrame, key: str, at: str, value: str, tie: str) -> DataFrame:

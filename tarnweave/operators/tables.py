@@ -7,14 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def last_of(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last update of each key."""
-    return updates.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(order)))).where("__n = 1").drop("__n")
+def one_of(updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One update of each key: the last by `order`, and of equal ones (or without an order) the largest in its other columns, in their order."""
+    rest = [c for c in updates.columns if c not in keys]
+    by = F.struct(*([order] if order else []), *[c for c in rest if c != order])
+    return updates.groupBy(*keys).agg(F.max(F.struct(by.alias("__by"), F.struct(*rest).alias("__row")))["__row"].alias("__row")).select(*keys, "__row.*")
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """base with its rows replaced by updates of the same keys, and the other updates added."""
-    new = last_of(updates, keys, order) if order else updates.dropDuplicates(keys)
+    new = one_of(updates, keys, order)
     return base.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*base.columns))
 
 
@@ -24,8 +26,8 @@ def insert_missing(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
 
 
 def coalescing_upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """base overlaid by updates, of which only non-empty fields overwrite."""
-    kinds = dict(base.dtypes)
+    """base overlaid by updates, of which only non-empty fields overwrite; of repeated keys one update counts (one_of)."""
+    kinds, updates = dict(base.dtypes), one_of(updates, [key])
     given = lambda c: F.nullif(F.col(f"u.{c}"), F.lit("")) if kinds[c] == "string" else F.col(f"u.{c}")
     joined = base.alias("b").join(updates.alias("u"), F.col(f"b.{key}") == F.col(f"u.{key}"), "full_outer")
     return joined.select(*[F.coalesce(given(c) if c in updates.columns else F.lit(None), F.col(f"b.{c}")).alias(c) for c in base.columns])
@@ -38,9 +40,9 @@ def update_where(df: DataFrame, where: Column, values: dict[str, object]) -> Dat
 
 
 def update_by_key(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """base with the non-null fields of updates(key, ...) of the same key."""
+    """base with the non-null fields of updates(key, ...) of the same key; of repeated keys one update counts (one_of)."""
     changed = [c for c in updates.columns if c != key and c in base.columns]
-    new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in changed])
+    new = one_of(updates.select(key, *changed), [key]).select(key, *[F.col(c).alias(f"__{c}") for c in changed])
     return base.join(new, key, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in changed else F.col(c) for c in base.columns])
 
 
@@ -81,8 +83,8 @@ TRANSITIONS = {"pending": ("running", "cancelled"), "running": ("completed", "fa
 
 
 def transition(tasks: DataFrame, wanted: DataFrame, key: str = "task_id") -> DataFrame:
-    """tasks in the state that wanted(key, status) asks for where it may follow theirs, with `accepted`."""
-    new = wanted.select(key, F.col("status").alias("__new"))
+    """tasks in the state that wanted(key, status) asks for where it may follow theirs, with `accepted`; of several requests for a task the largest counts."""
+    new = wanted.groupBy(key).agg(F.max("status").alias("__new"))
     allowed = F.lit(False)
     for old, following in TRANSITIONS.items():
         if following:

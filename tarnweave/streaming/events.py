@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DELAY = "10 minutes"
 
@@ -44,7 +45,7 @@ def first_seen(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def error_state(events: DataFrame) -> DataFrame:
-    """Errors by user so far (update or complete mode)."""
+    """Errors by user so far (update mode): one row of state for each user with errors."""
     return events.where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
 
 
@@ -53,14 +54,25 @@ def alerts(events: DataFrame, threshold: float) -> DataFrame:
     return events.where((F.col("event_type") == "error") | (F.col("value") > threshold))
 
 
-def run_to_end(stream: DataFrame, mode: str, path: str) -> DataFrame:
-    """Run a stream over what there is now into Parquet in path (append), or in memory for complete mode, and read the result."""
+def run_to_end(stream: DataFrame, mode: str, path: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what there is now and read its result from Parquet in path.
+
+    append: rows as they become final; update: each batch adds the rows that it changed, and the last of each of `keys`
+    is read, so state ends with the watermark and nothing but files leaves the executors; complete: the last batch.
+    """
     spark = stream.sparkSession
     name = f"tarnweave_{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/{name}-state")
     if mode == "append":
-        query = writer.format("parquet").option("path", f"{path}/{name}").start()
-    else:  # complete: aggregates of a bounded number of keys
-        query = writer.format("memory").queryName(name).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/{name}") if mode == "append" else spark.table(name)
+        writer.format("parquet").option("path", f"{path}/{name}").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/{name}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{name}/batch={0 if mode == 'complete' else number}")  # a repeated batch replaces itself
+
+    writer.foreachBatch(write).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/{name}")
+    if mode == "complete":
+        return rows.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*")

@@ -98,3 +98,52 @@ def test_streams_equal_batch(spark, data):
     for build in (events.tumbling_counts, events.sliding_means, events.sessions):
         stream = events.run_to_end(build(events.event_stream(spark, data)), "complete", spark.conf.get("spark.checkpoint.dir"))
         assert sorted(map(repr, stream.collect())) == sorted(map(repr, build(batch).collect()))
+
+
+def test_repeated_keys_of_updates(spark):
+    """Updates, requests and upserts with a repeated key change a row once."""
+    from tarnweave.operators import tables
+
+    base = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id long, title string, price double")
+    new = spark.createDataFrame([(1, "x", 5.0), (1, "y", 4.0), (1, "y", 4.0), (3, "z", 1.0), (3, "z", None)], "id long, title string, price double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(tables.update_by_key(base, new, "id")) == [(1, "y", 4.0), (2, "b", 2.0)]
+    assert rows(tables.coalescing_upsert(base, new, "id")) == [(1, "y", 4.0), (2, "b", 2.0), (3, "z", 1.0)]
+    assert rows(tables.upsert(base, new, ["id"], "price")) == [(1, "x", 5.0), (2, "b", 2.0), (3, "z", 1.0)]
+    assert rows(tables.upsert(base, new, ["id"])) == [(1, "y", 4.0), (2, "b", 2.0), (3, "z", 1.0)]
+    tasks = spark.createDataFrame([(1, "running")], "task_id long, status string")
+    wanted = spark.createDataFrame([(1, "failed"), (1, "failed"), (1, "completed")], "task_id long, status string")
+    assert rows(tables.transition(tasks, wanted)) == [(1, "failed", True)]
+
+
+def test_limits_over_batches_and_null_keys(spark):
+    """Against plain Python, with a hot key, null keys and batches of few rows."""
+    import random
+    from datetime import datetime, timedelta
+
+    from tarnweave.operators import series
+
+    r = random.Random(3)
+    given = [(i, r.choice(["hot"] * 6 + ["a", None]), datetime(2024, 1, 1) + timedelta(seconds=r.randrange(3000))) for i in range(600)]
+    df = spark.createDataFrame(given, "id long, key string, at timestamp")
+    accepted, sent, kept, last = {}, {}, {}, {}
+    for i, k, t in sorted(given, key=lambda x: (x[2], x[0])):
+        accepted[i] = sum(t - timedelta(seconds=60) < x for x in kept.setdefault(k, [])) < 3
+        if accepted[i]:
+            kept[k].append(t)
+        sent[i] = k not in last or (t - last[k]).total_seconds() >= 90
+        if sent[i]:
+            last[k] = t
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {x.id: x.accepted for x in series.accepted_requests(df, "key", "at", "id", limit=3).collect()} == accepted
+        assert {x.id: x.sent for x in series.sent_alerts(df, "key", "at", "id", cooldown_s=90.0).collect()} == sent
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_first_seen_keeps_null_keys(spark):
+    from tarnweave.operators import dedup
+
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "id long, k string")
+    assert sorted(x.id for x in dedup.first_seen(df, ["id"], "k").collect()) == [1, 2, 3]
