@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, records, relational, time
+from . import cleaning, operations, records, relational, time
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (relational, records, cleaning, time):
+for _part in (relational, records, cleaning, time, operations):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

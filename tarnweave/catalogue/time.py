@@ -23,8 +23,8 @@ register("metric_summary", lambda t: mon.metric_summary(t.view("logs"), "event_t
 register("metric_percentiles", lambda t: mon.percentiles(t.view("logs"), "event_type").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("median", "p95", "p99")]), "SELECT event_type, COUNT(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM logs GROUP BY 1")
 register("metric_nearest_rank", lambda t: mon.nearest_rank(t.view("logs"), "event_type", {"p50": 0.5, "p95": 0.95}), "SELECT event_type, COUNT(*) AS n, list_sort(list(value))[CAST(floor(COUNT(*) * CAST(0.5 AS DOUBLE)) AS INT) + 1] AS p50, list_sort(list(value))[CAST(floor(COUNT(*) * CAST(0.95 AS DOUBLE)) AS INT) + 1] AS p95 FROM logs GROUP BY 1")
 requests = lambda t: t.view("logs").select("id", "timestamp", "user_id", F.col("event_type").alias("endpoint"), F.col("value").alias("response_time"), F.when(F.col("id") % 50 == 0, 500).when(F.col("id") % 20 == 0, 404).otherwise(200).alias("status_code"))
-register("request_stats_by_endpoint", lambda t: mon.request_statistics(requests(t), "endpoint").withColumn("p95_time", F.round("p95_time", 6)), f"""
-SELECT event_type AS endpoint, COUNT(*) AS n, {avg('value', 6)} AS avg_time, round(quantile_cont(value, 0.95), 6) AS p95_time, COUNT(*) FILTER (id % 50 <> 0 AND id % 20 <> 0) AS succeeded, MAX(value) AS max_time, COUNT(*) FILTER (id % 50 <> 0 AND id % 20 <> 0) * CAST(100 AS DOUBLE) / COUNT(*) AS success_percent FROM logs GROUP BY 1""")
+register("request_stats_by_endpoint", lambda t: mon.request_statistics(requests(t), "endpoint").withColumns({c: F.round(c, 6) for c in ("p95_time", "p99_time")}), f"""
+SELECT event_type AS endpoint, COUNT(*) AS n, {avg('value', 6)} AS avg_time, round(quantile_cont(value, 0.95), 6) AS p95_time, round(quantile_cont(value, 0.99), 6) AS p99_time, COUNT(*) FILTER (id % 50 <> 0 AND id % 20 <> 0) AS succeeded, MAX(value) AS max_time, COUNT(*) FILTER (id % 50 <> 0 AND id % 20 <> 0) * CAST(100 AS DOUBLE) / COUNT(*) AS success_percent FROM logs GROUP BY 1""")
 register("request_alerts", lambda t: mon.request_alerts(requests(t), 100.0).select("id", "reason"), "SELECT id, CASE WHEN id % 50 = 0 THEN 'server_error' ELSE 'slow' END AS reason FROM logs WHERE id % 50 = 0 OR value > 100")
 PATTERN = r"lower(regexp_replace(message, '\d+', '{N}', 'g'))"
 register("log_patterns", lambda t: mon.log_patterns(t.view("logs")).select("pattern", "n", "errors"), f"SELECT {PATTERN} AS pattern, COUNT(*) AS n, COUNT(*) FILTER (level = 'ERROR') AS errors FROM logs GROUP BY 1 HAVING COUNT(*) >= 5 ORDER BY n DESC, 1 LIMIT 1000")

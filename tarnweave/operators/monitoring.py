@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model import percent
 from ..functions.text import error_fingerprint, log_pattern
+from . import ranks
 from .statistics import ERRORS, exact_avg
 
 #: Detail keys of a performance log that hold metrics.
@@ -23,25 +24,36 @@ def metric_summary(points: DataFrame, *keys: str) -> DataFrame:
 
 
 def percentiles(points: DataFrame, *keys: str) -> DataFrame:
-    """Median, 95th and 99th percentile with linear interpolation, exactly."""
-    found = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return points.groupBy(*keys).agg(F.count("value").alias("n"), found.alias("p")).select(*keys, "n", *[F.col("p")[i].alias(name) for i, name in enumerate(("median", "p95", "p99"))])
+    """Median, 95th and 99th percentile with linear interpolation, exactly; keys without values are left out."""
+    return ranks.percentiles(points, list(keys), {"median": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def nearest_rank(points: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:
     """Value number floor(n * share), from 0, of each key's sorted values."""
-    place = W.partitionBy(key).orderBy("value", "id")
-    ranked = points.where("value IS NOT NULL").select(key, "value", "id").withColumn("__r", F.row_number().over(place) - 1)
-    sized = points.where("value IS NOT NULL").groupBy(key).agg(F.count("*").alias("__n"))
-    joined = ranked.join(sized, key)
-    return joined.groupBy(key).agg(F.first("__n").alias("n"), *[F.max(F.when(F.col("__r") == F.least(F.floor(F.col("__n") * F.lit(s)), F.col("__n") - 1), F.col("value"))).alias(name) for name, s in shares.items()])
+    return ranks.nearest_ranks(points, [key], shares)
 
 
 def request_statistics(requests: DataFrame, *keys: str) -> DataFrame:
-    """Requests, mean and 95th percentile response time and share of statuses 200 to 399."""
+    """Requests, mean, longest, 95th and 99th percentile response time and share of statuses 200 to 399."""
     ok = F.col("status_code").between(200, 399)
-    out = requests.groupBy(*keys).agg(F.count("*").alias("n"), exact_avg("response_time", 6).alias("avg_time"), F.percentile("response_time", 0.95).alias("p95_time"), F.count_if(ok).alias("succeeded"), F.max("response_time").alias("max_time"))
-    return out.withColumn("success_percent", percent(F.col("succeeded"), F.col("n")))
+    out = requests.groupBy(*keys).agg(
+        F.count("*").alias("n"), exact_avg("response_time", 6).alias("avg_time"), F.count_if(ok).alias("succeeded"), F.max("response_time").alias("max_time")
+    )
+    out = out.withColumn("success_percent", percent(F.col("succeeded"), F.col("n")))
+    tails = ranks.percentiles(requests, list(keys), {"p95_time": 0.95, "p99_time": 0.99}, "response_time").drop("n")
+    tails = tails.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return out.join(tails, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True)), "left").drop(*[f"__{k}" for k in keys])
+
+
+def request_report(requests: DataFrame, as_of: str, minutes: int, *keys: str) -> DataFrame:
+    """request_statistics of the last minutes, with requests a minute and status_codes: how often each status came."""
+    recent = requests.where(F.col("timestamp") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(minutes)} MINUTES"))
+    by_status = recent.groupBy(*keys, "status_code").agg(F.count("*").alias("__n"))
+    codes = by_status.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.col("status_code").cast("string"), F.col("__n").cast("string")))), ",").alias("status_codes")
+    )
+    out = request_statistics(recent, *keys).withColumn("requests_per_minute", F.col("n") / F.lit(float(minutes)))
+    return out.join(codes, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True)), "left").drop(*[f"__{k}" for k in keys])
 
 
 def request_alerts(requests: DataFrame, slow: float = 5.0) -> DataFrame:
