@@ -49,7 +49,15 @@ SELECT p.id, CAST(COUNT(f.id) + CASE WHEN COUNT(f.id) > 0 THEN 1 ELSE 0 END AS I
 register("validate_suppliers", lambda t: validate.field_summary(validate.validate_suppliers(t.view("suppliers"))), "SELECT f AS field, l AS level, COUNT(*) AS n FROM (SELECT id, unnest(['overall', 'email', 'address']) AS f, unnest(['warning', 'warning', 'info']) AS l FROM suppliers WHERE email = 'no mail' UNION ALL SELECT id, 'address', 'info' FROM suppliers WHERE email <> 'no mail') GROUP BY 1, 2")
 
 register("html_extract", lambda t: pages.extract_items(t.pages).select("page_id", "title", F.size("links").alias("n_links"), F.size("image_urls").alias("n_images"), "product_id"))
-register("page_links", lambda t: pages.page_links(pages.extract_items(t.pages)))
+register(
+    "page_links",
+    lambda t: pages.page_links(pages.extract_items(t.pages)),
+    r"""WITH found AS (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a\s[^>]*?href="([^"]+)"', 1) AS l FROM pages)),
+absolute AS (SELECT page_id, i, CASE WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN 'https://www.example.com' || href WHEN starts_with(href, 'http') THEN href END AS link FROM found)
+SELECT * FROM (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY MIN(i)) - 1 AS INT) AS place, link FROM absolute WHERE link IS NOT NULL GROUP BY page_id, link) WHERE place < 40""",
+)
+register("page_requests", lambda t: pages.requests_of(pages.extract_items(t.pages)))
+register("crawl_counters", lambda t: pages.crawl_counters(pages.extract_items(t.pages)))
 register("crawl_items", lambda t: pages.distinct_items(pages.checked_items(pages.clean_items(pages.extract_items(t.pages).withColumn("price", F.when(F.col("page_id") % 2 == 0, F.col("page_id") + 1.0)))), ["page_id"]).select("page_id", "title", "rejected"))
 raw = lambda t: t.view("products").select("id", "source_id", "title", "description", F.concat(F.lit("¥"), F.col("price_min").cast("string")).alias("price_text"), "currency", "main_image_url", "category_name", F.col("sales_count").cast("string").alias("sales_count"), F.when(F.col("id") % 10 != 0, F.col("rating").cast("string")).otherwise("n/a").alias("rating"))
 register("clean_products", lambda t: clean.clean_products(raw(t)).groupBy("currency", F.col("rating").isNull().alias("unrated")).agg(F.count("*").alias("n"), F.sum("sales_count").alias("sales")), "SELECT currency, id % 10 = 0 AS unrated, COUNT(*) AS n, CAST(SUM(sales_count) AS BIGINT) AS sales FROM products GROUP BY 1, 2")

@@ -239,8 +239,8 @@ register(
 )
 register(
     "checkpoints_removed",
-    lambda t: rec.without_checkpoints(checkpoints(t), t.view("syncs").where("id % 7 = 0").select("task_id"), "task_id").select("checkpoint_id", "progress_data"),
-    f"WITH {CHECKPOINTS} SELECT checkpoint_id, progress_data FROM checkpoints WHERE task_id NOT IN (SELECT task_id FROM syncs WHERE id % 7 = 0)",
+    lambda t: rec.without_checkpoints(checkpoints(t), t.view("syncs").where("id % 50 < 5").select("task_id"), "task_id").select("checkpoint_id", "progress_data"),
+    f"WITH {CHECKPOINTS} SELECT checkpoint_id, progress_data FROM checkpoints WHERE task_id NOT IN (SELECT task_id FROM syncs WHERE id % 50 < 5)",
 )
 register(
     "checkpoint_statistics",

@@ -4,32 +4,97 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.model import percent
 from ..functions.text import crawl_text, is_image_url, product_id_of_url, truncate_right
 from ..operators.dedup import first_seen
 
-# Classes that hold a field, most telling first; sizes of small pictures and what names them.
-TITLE_CLASSES = ("d-title", "offer-title", "title-main", "product-title", "detail-title")
-PRICE_CLASSES = ("d-price", "offer-price", "price-current", "price-display", "price", "value")
+# Selectors of each field, in the order in which they are tried; steps stand inside one another, the last holds the text.
+TITLE = (".d-title h1", ".d-title .title-text", ".offer-title h1", ".offer-title .title", ".title-main h1", ".product-title h1", ".detail-title h1", "h1")
+PRICE = (
+    ".d-price .price", ".d-price .value", ".offer-price .price", ".offer-price .value", ".price-current .price", ".price-current .value",
+    ".price-display .price", ".price-display .value", ".price", ".value",
+)
+ORIGINAL_PRICE = (".d-price .price-del", ".offer-price .price-del", ".price-original .price", ".price-del")
+TEXTS = {
+    "description": (".d-detail .description", ".offer-description", ".desc-content"),
+    "brand": (".d-brand .brand-name", ".offer-brand", ".brand"),
+    "seller": (".d-seller .seller-name", ".offer-seller", ".seller"),
+    "location": (".d-seller .location", ".offer-location", ".location"),
+}
+SELLER_ID = ((".d-seller .seller-name", "data-id"), (".offer-seller", "data-seller-id"), (".seller-info", "data-id"), (".company-info", "data-id"))
+SELLER_LINK, MEMBER = ".seller-name a", re.compile(r"member/(\d+)")
+SHOWS_PRODUCT = (".d-title", ".d-price", ".offer-title", ".offer-price", ".title-main", "h1")
+LISTED = (
+    ".sm-widget-offer .sm-offer-content .sm-offer-title a", ".sm-offer .sm-offer-title a", ".offer-item .offer-title a", ".product-item .product-title a",
+    ".grid-item .item-title a", ".list-item .title a",
+)
+CATEGORIES = ((".sm-widget-market .sm-offer-title a", ""), (".category-list a", "chanpin"), (".nav-category a", "chanpin"), (".s-market-card a", "chanpin"))
+NEXT_PAGE, NEXT_OF_SEARCH, NEXT_OF_CATEGORY = (".ui-page-next a", ".next-page a"), "beginPage={}", ".pagination .next a"
+# Classes around specifications and tags; sizes of small pictures and what names them; most of each.
 SPEC_CLASSES = ("d-attributes", "offer-attributes", "product-attributes", "specifications", "detail-attributes", "attribute-list")
 TAG_CLASSES = ("d-tags", "offer-tags", "tags")
 SMALL_NAMES, SMALL_SIZES = ("icon", "logo", "avatar", "small", "thumb"), ("50x50", "60x60", "80x80")
-MOST_IMAGES, MOST_LINKS = 20, 40
+MOST_IMAGES, MOST_LINKS, MOST_CATEGORIES = 20, 40, 10
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-ITEM = "title string, price double, image_urls array<string>, links array<string>, specifications map<string,string>, tags array<string>"
+ITEM = {
+    "title": "string", "price": "double", "original_price": "double", "description": "string", "brand": "string", "seller": "string", "location": "string", "seller_id": "string",
+    "shows_product": "boolean", "image_urls": "array<string>", "links": "array<string>", "specifications": "map<string,string>", "tags": "array<string>",
+    "product_links": "array<string>", "category_links": "array<struct<name:string,url:string>>", "next_of_search": "string", "next_of_category": "string",
+}
+
+
+def _fits(step: str, element: tuple) -> bool:
+    return step[1:] in element[1] if step.startswith(".") else step == element[0]
+
+
+def _inside(chain: list[tuple], steps: list[str]) -> bool:
+    """Whether the innermost element fits the last step and elements around it the others, in order."""
+    if not chain or not _fits(steps[-1], chain[-1]):
+        return False
+    left = steps[:-1]
+    for element in reversed(chain[:-1]):
+        if left and _fits(left[-1], element):
+            left = left[:-1]
+    return not left
+
+
+class Watched:
+    """Selectors by their last step, so that an element is held against few of them."""
+
+    def __init__(self, selectors: set[str]):
+        self.by_last: dict[str, list[tuple[str, list[str]]]] = {}
+        for selector in sorted(selectors):
+            steps = selector.split()
+            self.by_last.setdefault(steps[-1], []).append((selector, steps))
+
+    def of(self, chain: list[tuple]) -> list[str]:
+        if not chain:
+            return []
+        tag, classes = chain[-1]
+        last = [tag, *(f".{c}" for c in classes)]
+        return [selector for step in last for selector, steps in self.by_last.get(step, ()) if _inside(chain, steps)]
+
+
+WATCHED = Watched(
+    {*TITLE, *PRICE, *ORIGINAL_PRICE, *(s for group in TEXTS.values() for s in group), *(s for s, _ in SELLER_ID), SELLER_LINK, *SHOWS_PRODUCT, *LISTED, *(s for s, _ in CATEGORIES), *NEXT_PAGE, NEXT_OF_CATEGORY}
+)
 
 
 class ItemParser(HTMLParser):
-    """Collects a product page's texts by the classes they stand in."""
+    """Collects a page's texts, links and attributes by the selectors that their elements fit."""
 
-    def __init__(self, base_url: str):
+    def __init__(self, base_url: str, page_url: str = ""):
         super().__init__(convert_charrefs=True)
-        self.base, self.open, self.links, self.images = base_url, [], [], []
-        self.headings, self.prices, self.cells, self.tags, self.rows = [], [], [], [], []
+        self.base, self.page_url, self.open, self.links, self.images = base_url, page_url, [], [], []
+        self.texts: dict[str, list[str]] = {}
+        self.elements: dict[str, list[dict]] = {}
+        self.cells, self.tags, self.rows = [], [], []
 
     def handle_starttag(self, tag, attrs):
         own = dict(attrs)
@@ -37,8 +102,12 @@ class ItemParser(HTMLParser):
             self.links.append(own["href"])
         if tag == "img":
             self.images += [own[k] for k in ("src", "data-src") if own.get(k)]
+        element = (tag, set((own.get("class") or "").split()))
+        own["__text"] = ""
+        for selector in WATCHED.of([*self.open, element]):
+            self.elements.setdefault(selector, []).append(own)
         if tag not in VOID:
-            self.open.append((tag, set((own.get("class") or "").split())))
+            self.open.append((*element, own))
         if tag == "tr":
             self.rows.append([])
         if tag == "td" and self.rows:
@@ -51,35 +120,70 @@ class ItemParser(HTMLParser):
                 break
 
     def handle_data(self, data):
-        tags = [t for t, _ in self.open]
+        tags = [e[0] for e in self.open]
         if "script" in tags or "style" in tags:
             return
-        classes = set().union(*(c for _, c in self.open)) if self.open else set()
-        if tags and tags[-1] == "h1":
-            rank = next((i for i, c in enumerate(TITLE_CLASSES) if c in classes), len(TITLE_CLASSES))
-            self.headings.append((rank, data))
-        for i, c in enumerate(PRICE_CLASSES):
-            if c in classes:
-                self.prices.append((i, data))
-                break
+        for selector in WATCHED.of([e[:2] for e in self.open]):
+            self.texts.setdefault(selector, []).append(data)
+        if self.open:
+            self.open[-1][2]["__text"] = self.open[-1][2]["__text"] or data
+        classes = set().union(*(e[1] for e in self.open)) if self.open else set()
         if tags and tags[-1] == "td" and self.rows and self.rows[-1] and classes & set(SPEC_CLASSES):
             self.rows[-1][-1] = self.rows[-1][-1] or data
         if self.open and "tag" in self.open[-1][1] and classes & set(TAG_CLASSES) and data.strip():
             self.tags.append(data.strip())
 
+    def first(self, selectors: tuple[str, ...]) -> str:
+        return next((self.texts[s][0].strip() for s in selectors if self.texts.get(s)), "")
+
+    def title(self) -> str:
+        found = [self.texts[s] for s in TITLE if self.texts.get(s)]
+        short = (texts[0].strip() for texts in found)
+        plain = next((t for t in short if len(t) > 5 and not t.startswith("1")), "")
+        return plain or next((t for t in (" ".join(texts).strip() for texts in found) if len(t) > 5), "")
+
+    def seller_id(self) -> str | None:
+        for selector, attribute in SELLER_ID:
+            own = self.elements.get(selector)
+            if own and own[0].get(attribute):
+                return own[0][attribute].strip()
+        found = (MEMBER.search(own.get("href") or "") for own in self.elements.get(SELLER_LINK, ()))
+        return next((m.group(1) for m in found if m), None)
+
+    def categories(self) -> list[tuple[str, str]]:
+        groups = ([own for own in self.elements.get(s, ()) if part in (own.get("href") or "")] for s, part in CATEGORIES)
+        links = next((g for g in groups if g), [])
+        return [(own["__text"].strip(), self.joined(own["href"])) for own in links[:MOST_CATEGORIES] if own.get("href") and own["__text"]]
+
+    def next_page(self, selectors: tuple[str, ...]) -> str | None:
+        hrefs = (own[0].get("href") for s in selectors if (own := self.elements.get(s)))
+        return next((self.joined(h) for h in hrefs if h), None)
+
+    def next_of_search(self) -> str | None:
+        at = re.search(r"beginPage=(\d+)", self.page_url)
+        number = NEXT_OF_SEARCH.format(int(at.group(1)) + 1 if at else 2)
+        return self.next_page(NEXT_PAGE) or next((self.joined(h) for h in self.links if number in h), None)
+
+    def joined(self, href: str) -> str:
+        try:
+            return urljoin(self.page_url or self.base, href)
+        except ValueError:  # brackets that aren't an address
+            return href
+
     def item(self) -> tuple:
-        headings = [t.strip() for _, t in sorted(self.headings, key=lambda h: h[0])]
-        title = next((t for t in headings if len(t) > 5 and not t.startswith("1")), "")
-        if not title:
-            joined = " ".join(headings).strip()
-            title = joined if len(joined) > 5 else ""
-        price = next((p for _, t in sorted(self.prices, key=lambda x: x[0]) if (p := price_of(t)) is not None), None)
+        price = next((p for s in PRICE for t in self.texts.get(s, ()) if (p := price_of(t)) is not None), None)
+        before = next((p for s in ORIGINAL_PRICE if self.texts.get(s) and (p := number_of(self.texts[s][0])) is not None), None)
         specs = {}
         for row in self.rows:
             if len(row) >= 2 and row[0].strip() and row[1].strip():
                 specs[row[0].strip().replace("：", "").replace(":", "")] = row[1].strip()
         images = list(dict.fromkeys(u for u in map(self.absolute, self.images) if u and not small(u)))
-        return title, price, images[:MOST_IMAGES], [u for u in map(self.absolute, self.links) if u], specs, self.tags
+        listed = next((self.elements[s] for s in LISTED if self.elements.get(s)), [])
+        return (
+            self.title(), price, before, *(self.first(selectors) for selectors in TEXTS.values()), self.seller_id(), any(s in self.elements for s in SHOWS_PRODUCT),
+            images[:MOST_IMAGES], [u for u in map(self.absolute, self.links) if u], specs, self.tags,
+            [self.joined(own["href"]) for own in listed[:MOST_LINKS] if own.get("href")], self.categories(), self.next_of_search(), self.next_page((*NEXT_PAGE, NEXT_OF_CATEGORY)),
+        )
 
     def absolute(self, url: str) -> str | None:
         if url.startswith("//"):
@@ -89,12 +193,16 @@ class ItemParser(HTMLParser):
         return url if url.startswith("http") else None
 
 
-def price_of(text: str) -> float | None:
+def number_of(text: str) -> float | None:
     try:
-        price = float(re.sub(r"[^\d.]", "", text))
+        return float(re.sub(r"[^\d.]", "", text))
     except ValueError:
         return None
-    return price if 0 < price < 100_000 else None
+
+
+def price_of(text: str) -> float | None:
+    price = number_of(text)
+    return price if price is not None and 0 < price < 100_000 else None
 
 
 def small(url: str) -> bool:
@@ -102,19 +210,20 @@ def small(url: str) -> bool:
 
 
 def extract_items(pages: DataFrame, base_url: str = "https://www.example.com") -> DataFrame:
-    """page_id, url, product_id and ITEM's fields of each page(page_id, url, html)."""
+    """page_id, url, product_id and ITEM's fields of each page(page_id, url, html); a null html has no field."""
 
     def extract(batches):
         for batch in batches:
             rows = []
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-                parser = ItemParser(base_url)
+                parser = ItemParser(base_url, url or "")
                 parser.feed(html or "")
                 parser.close()
                 rows.append((page_id, url, *parser.item()))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "price", "image_urls", "links", "specifications", "tags"])
+            yield pd.DataFrame(rows, columns=["page_id", "url", *ITEM])
 
-    found = pages.select("page_id", "url", "html").mapInPandas(extract, f"page_id long, url string, {ITEM}")
+    schema = ", ".join(f"{name} {kind}" for name, kind in ITEM.items())
+    found = pages.select("page_id", "url", "html").mapInPandas(extract, f"page_id long, url string, {schema}")
     return found.withColumn("product_id", product_id_of_url(F.col("url")))
 
 
@@ -123,6 +232,24 @@ def page_links(items: DataFrame, most: int = MOST_LINKS) -> DataFrame:
     return items.select("page_id", F.posexplode(F.slice(F.array_distinct("links"), 1, most)).alias("place", "link"))
 
 
+def requests_of(items: DataFrame) -> DataFrame:
+    """page_id, kind (product, category, next_of_search, next_of_category), place, name, link: the pages that a page leads to."""
+    at = lambda kind, c, name: F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), name(x).alias("name"), (x if kind == "product" else x["url"]).alias("link")))
+    none = F.lit(None).cast("string")
+    one = lambda c: F.array(F.struct(F.lit(c).alias("kind"), F.lit(0).alias("place"), none.alias("name"), F.col(c).alias("link")))
+    every = F.concat(at("product", "product_links", lambda x: none), at("category", "category_links", lambda x: x["name"]), one("next_of_search"), one("next_of_category"))
+    return items.select("page_id", F.inline(every)).where("link IS NOT NULL")
+
+
+def crawl_counters(items: DataFrame) -> DataFrame:
+    """One row: pages, those that show a product, items kept and rejected by reason, pictures, share kept in percent."""
+    out = checked_items(items).agg(
+        F.count("*").alias("pages"), F.count_if("shows_product").alias("products"), F.count_if(F.col("rejected").isNull()).alias("items"),
+        *[F.count_if(F.col("rejected") == r).alias(r) for r in ("no_title", "no_price", "bad_price")], F.coalesce(F.sum(F.size("image_urls")), F.lit(0)).alias("images"),
+    )
+    return out.withColumn("kept_percent", percent(F.col("items"), F.col("pages")))
+
+
 def image_requests(items: DataFrame) -> DataFrame:
     """page_id, place, url, image_type: the first picture is the main one."""
     some = items.select("page_id", F.posexplode(F.filter("image_urls", is_image_url)).alias("place", "url"))
