@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import monitoring as mon
 from ..operators import operations as ops
 from ..operators import recovery as rec
+from ..operators import rows
 from .registry import registry
 from .relational import avg
 from .views import AS_OF_LOGS
@@ -320,3 +321,76 @@ register(
     lambda t: rec.all_tasks(t.view("syncs").where("status = 'running'").select("id", "task_id", "start_time"), t.view("syncs").where("status <> 'running'").select("id", "task_id", "duration")),
     "SELECT id, task_id, CASE WHEN status = 'running' THEN start_time END AS start_time, CASE WHEN status <> 'running' THEN duration END AS duration FROM syncs",
 )
+
+register(
+    "rows_serialised",
+    lambda t: rows.serialised(t.view("logs").select("id", "timestamp", "level", "message"), "message"),
+    "SELECT id, CASE WHEN date_part('microsecond', timestamp) % 1000000 = 0 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S') ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp, level FROM logs",
+)
+register(
+    "rows_updated",
+    lambda t: rows.updated_from(t.view("products").select("id", "title", "status"), t.view("products").where("id % 3 = 0").select("id", F.lit("changed").alias("status"), F.lit(1).alias("unknown")), "id", AS_OF_LOGS).select("id", "title", "status", text_time("updated_at")),
+    f"SELECT id, title, CASE WHEN id % 3 = 0 THEN 'changed' ELSE status END AS status, CASE WHEN id % 3 = 0 THEN '{AS_OF_LOGS}' END AS updated_at FROM products",
+)
+register(
+    "sync_performance",
+    lambda t: rows.sync_performance(t.view("syncs")).select("id", "task_id", "success_rate", "records_per_second", "progress_percent", "remaining_s"),
+    f"""SELECT id, task_id, {RATE.format('success_count', 2)} AS success_rate, CASE WHEN duration > 0 THEN processed_count // duration ELSE 0 END AS records_per_second,
+  processed_count * CAST(100 AS DOUBLE) / total_count AS progress_percent, CAST(0 AS BIGINT) AS remaining_s FROM syncs""",
+)
+register(
+    "log_entries",
+    lambda t: rows.log_entries(t.view("logs"), ("task_id", "user_id"), ("error_type",)),
+    """SELECT id, '{"timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '","level":"' || level || '","message":"' || message || '","context":{"task_id":"' || task_id || '","user_id":' || user_id || '}'
+  || CASE WHEN error_type IS NULL THEN '' ELSE ',"error":{"error_type":"' || error_type || '"}' END || '}' AS entry FROM logs""",
+)
+register(
+    "failure_logs",
+    lambda t: rows.failure_logs(t.view("products").where("status = 'inactive'").select(F.create_map(F.lit("id"), "source_id").alias("item"), F.col("brand").alias("reason")), AS_OF_LOGS, "crawl").select("task_id", "level", "message", F.col("details")["id"].alias("item"), "success"),
+    f"SELECT 'crawl_' || strftime(TIMESTAMP '{AS_OF_LOGS}', '%Y%m%d_%H%M%S') AS task_id, 'ERROR' AS level, 'save failed: ' || brand AS message, source_id AS item, false AS success FROM products WHERE status = 'inactive'",
+)
+
+
+def responses(t):
+    status = F.when(F.col("id") % 11 == 0, 404).otherwise(200)
+    return t.view("images").select("id", F.col("id").cast("string").alias("url"), "product_id", "image_type", status.alias("http_status"), F.when(F.col("id") % 7 == 0, "text/html").otherwise("image/PNG").alias("content_type"), "size", F.md5(F.col("id").cast("string")).alias("checksum"))
+
+
+RESPONSES = """r AS (SELECT id, CAST(product_id AS VARCHAR) AS p, image_type, size, CASE WHEN id % 11 = 0 THEN 'HTTP 404' WHEN id % 7 = 0 THEN 'not a picture: text/html' WHEN size > 40000 THEN 'too large: ' || size END AS error FROM images)"""
+register(
+    "download_results",
+    lambda t: rows.download_results(responses(t), 40_000).select("id", "status", "path", "error", "image_type"),
+    f"WITH {RESPONSES} SELECT id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, CASE WHEN error IS NULL THEN p[1:2] || '/' || p || '/' || md5(CAST(id AS VARCHAR)) || '.png' END AS path, error, image_type FROM r",
+)
+register(
+    "batch_rollup",
+    lambda t: rows.batch_rollup(rows.download_results(responses(t), 40_000).select("image_type", (F.col("status") == "completed").alias("success"), F.col("size").alias("bytes_before"), (F.col("size") - F.col("id") % 1000).alias("bytes_after")), "image_type")
+    .withColumn("avg_saved_percent", F.round("avg_saved_percent", 4)),
+    f"""WITH {RESPONSES} SELECT image_type, COUNT(*) AS total, COUNT(*) FILTER (error IS NULL) AS successful, COUNT(*) FILTER (error IS NOT NULL) AS failed, coalesce(CAST(SUM(id % 1000) FILTER (error IS NULL) AS BIGINT), 0) AS bytes_saved,
+  round(CAST(SUM(CAST((id % 1000) * CAST(100 AS DOUBLE) / size AS DECIMAL(18,6))) FILTER (error IS NULL) AS DOUBLE) / COUNT(*) FILTER (error IS NULL), 4) AS avg_saved_percent,
+  COUNT(*) FILTER (error IS NULL) * CAST(100 AS DOUBLE) / COUNT(*) AS success_percent FROM r GROUP BY 1""",
+)
+register(
+    "pool_advice",
+    lambda t: rows.pool_advice(t.view("syncs").select("id", F.lit(100).alias("size"), F.col("processed_count").alias("used"), F.greatest(F.col("failed_count") - 15, F.lit(0)).alias("overflow"))).select("id", F.array_join("advice", ",").alias("advice")),
+    """SELECT id, concat_ws(',', CASE WHEN u > 0.8 THEN 'grow' WHEN u < 0.2 THEN 'shrink' END, CASE WHEN o > 0 THEN 'raise_overflow' END) AS advice
+FROM (SELECT id, greatest(failed_count - 15, 0) AS o, CAST(processed_count AS DOUBLE) / (100 + greatest(failed_count - 15, 0)) AS u FROM syncs)""",
+)
+register(
+    "performance_advice",
+    lambda t: rows.performance_advice(t.view("syncs").select("id", F.col("processed_count").alias("memory_percent"), F.col("success_count").alias("cpu_percent"), (F.col("processed_count") / 100).alias("hit_rate"), (F.col("duration") / 400).alias("avg_query_s")))
+    .select("id", F.array_join(F.transform("advice", lambda a: a["category"]), ",").alias("advice")),
+    """SELECT id, concat_ws(',', CASE WHEN processed_count > 80 THEN 'memory' END, CASE WHEN success_count > 80 THEN 'cpu' END, CASE WHEN processed_count < 50 THEN 'cache' END, CASE WHEN duration > 400 THEN 'database' END) AS advice FROM syncs""",
+)
+register(
+    "duplicate_statistics",
+    lambda t: rows.duplicate_statistics(t.view("products").groupBy("brand", "category_name").agg(F.count("*").alias("size")).where("size > 1").withColumn("similarity", F.lit(1.0) / F.col("size"))),
+    """WITH g AS (SELECT COUNT(*) AS size FROM products GROUP BY brand, category_name HAVING COUNT(*) > 1)
+SELECT COUNT(*) AS total_groups, coalesce(CAST(SUM(size) AS BIGINT), 0) AS total_records, coalesce(CAST(SUM(size) AS BIGINT), 0) - COUNT(*) AS duplicate_records, coalesce(CAST(SUM(size) - COUNT(*) AS DOUBLE) / SUM(size), 0) AS duplicate_ratio,
+  coalesce(round(CAST(SUM(CAST(CAST(1 AS DOUBLE) / size AS DECIMAL(18,6))) AS DOUBLE) / COUNT(*), 3), 0) AS average_similarity FROM g""",
+)
+register(
+    "missing_ids",
+    lambda t: rows.missing_ids(t.lineitem.select(F.col("l_partkey").alias("id")), t.view("products").where("status = 'active'"), "id"),
+    "SELECT COUNT(*) AS wanted, COUNT(id) AS found, COUNT(*) = COUNT(id) AS complete FROM (SELECT DISTINCT l_partkey FROM lineitem) LEFT JOIN (SELECT id FROM products WHERE status = 'active') ON l_partkey = id",
+)
