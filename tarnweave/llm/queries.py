@@ -13,6 +13,7 @@ from .simhash import op4_simhash_near_dedup
 from .token_files import op2_token_planes
 from .toxicity import op6_toxicity
 from .vector_graph import op8_embedding_near_dedup
+from .word_runs import op13_word_runs
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +28,7 @@ QUERIES = {
         op8_embedding_near_dedup,
         op9_source_mixing,
         op10_document_fingerprints,
+        op13_word_runs,
     )
 }
 
