@@ -13,6 +13,7 @@ from .simhash import op4_simhash_near_dedup
 from .token_files import op2_token_planes
 from .toxicity import op6_toxicity
 from .vector_graph import op8_embedding_near_dedup
+from .window_packing import op11_window_packing
 from .word_runs import op13_word_runs
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
         op8_embedding_near_dedup,
         op9_source_mixing,
         op10_document_fingerprints,
+        op11_window_packing,
         op13_word_runs,
     )
 }
