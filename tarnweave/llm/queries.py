@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import hard_negatives, mixing, sharding
 from .fingerprints import op10_document_fingerprints
+from .hard_negatives import op12_hard_negatives
 from .html_text import op1_main_text
 from .language_id import op3_language_id
 from .mixing import op9_source_mixing
@@ -30,8 +31,9 @@ QUERIES = {
         op9_source_mixing,
         op10_document_fingerprints,
         op11_window_packing,
+        op12_hard_negatives,
         op13_word_runs,
     )
 }
 
-ORACLE_SQL = {"op7_sharding": sharding.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op7_sharding": sharding.ORACLE, "op9_source_mixing": mixing.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
