@@ -17,6 +17,7 @@ text of any length is cut whole, other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -24,53 +25,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, materialise, table, text_batches, tokenizer
+from .common import LETTERS, NUMBERS, UNUSUAL, kept, materialise, table, text_batches, tokenizer
 
 CAPACITY = 2048
 END_ID = 1
 SHARD_PIECES = 50_000
 #: Ids of padding that a window may keep.
 SLACK = 16
-#: A character that is a token of its own between spaces.
-MARK = "\x01"
+#: The tokenizer's own split of a lower-case text of usual characters; white space is dropped.
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: A letter whose small form has two characters.
+LONGER = "\u0130"
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, memoised by word.
+    """Ids of whole texts as little-endian uint32 bytes, memoised by piece (letters, a digit, signs).
 
-    The tokenizer drops white space and never joins what it separates, so words between ASCII white space are encoded by
-    themselves; many new ones at a time, as one text with marks between.
+    New pieces are encoded many at a time, as one text with spaces between: each ends with the only token of it that ends a
+    word. Texts with unusual characters are encoded in one go instead.
     """
 
     def __init__(self, path: str, memo: int = 700_000):
         self.tok, self.memo, self.ids = tokenizer(path), memo, {}
-        self.mark = int(np.frombuffer(self.whole([MARK])[0], "<u4")[0])
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a piece
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        own = [w for w in words if MARK.encode() in w]
-        self.ids.update(zip(own, self.whole([w.decode() for w in own])))
-        words = [w for w in words if MARK.encode() not in w]
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            ids = np.frombuffer(self.whole([f" {MARK} ".join([w.decode() for w in some])])[0], "<u4")
-            ends = (4 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist()
-            flat, start = ids.tobytes(), 0
-            for word, end in zip(some, ends, strict=True):
-                self.ids[word] = flat[start:end]
-                start = end + 4
+    def learn(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 20_000):
+            some = pieces[i : i + 20_000]
+            flat = self.whole([" ".join(some)])[0]
+            ends = (4 * (np.flatnonzero(self.ends[np.frombuffer(flat, "<u4")]) + 1)).tolist()
+            start = 0
+            for piece, end in zip(some, ends, strict=True):
+                self.ids[piece] = flat[start:end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [text.encode().split() for text in texts]
-        missing = set().union(*words) - self.ids.keys()
+        unusual = [UNUSUAL.search(text) is not None or LONGER in text for text in texts]
+        odd = iter(self.whole([text for text, u in zip(texts, unusual) if u]))
+        plain = [None if u else PIECE.findall(text.lower()) for text, u in zip(texts, unusual)]
+        missing = set().union(*(pieces for pieces in plain if pieces)) - self.ids.keys()
         if len(self.ids) + len(missing) > self.memo:
             self.ids = {}
-            missing = set().union(*words)
+            missing = set().union(*(pieces for pieces in plain if pieces))
         self.learn(list(missing))
         get = self.ids.__getitem__
-        return [b"".join(map(get, own)) for own in words]
+        return [next(odd) if pieces is None else b"".join(map(get, pieces)) for pieces in plain]
 
 
 def word_encoder(path: str) -> WordEncoder:
