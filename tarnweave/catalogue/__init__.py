@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, operations, records, relational, time
+from . import cleaning, operations, records, relational, streams, time
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (relational, records, cleaning, time, operations):
+for _part in (relational, records, cleaning, time, operations, streams):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
