@@ -34,7 +34,7 @@ register("state_transition", lambda t: tables.transition(t.view("syncs").select(
 SELECT CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status, status = 'running' AS accepted, COUNT(*) AS n FROM syncs GROUP BY 1, 2""")
 register("latest_state_by_user", lambda t: tables.latest_state(t.view("logs").select("user_id", "id", "timestamp", "level"), "user_id", "timestamp").select("user_id", "id", "level"), "SELECT user_id, id, level FROM logs QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, id DESC) = 1")
 register("newest_per_task", lambda t: tables.newest(t.view("logs"), ["task_id"], "timestamp", 100, "id").select("task_id", "id", "place"), "SELECT task_id, id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY timestamp DESC, id DESC) AS INT) AS place FROM logs QUALIFY place <= 100")
-register("batch_numbers", lambda t: tables.batch_numbers(t.view("products").select("id"), "id", 64), "SELECT id, CAST(floor(id / 64) AS BIGINT) AS batch FROM products")
+register("batch_numbers", lambda t: tables.batch_numbers(t.view("products").select("id"), "id", 64), "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 64) AS BIGINT) AS batch FROM products")
 register("resumable_tasks", lambda t: tables.resumable(t.view("syncs").select("task_id", "id", "status"), t.view("logs").select("task_id")).select("id"), "SELECT id FROM syncs WHERE status = 'failed' AND task_id IN (SELECT task_id FROM logs)")
 
 

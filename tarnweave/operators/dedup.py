@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.clean import text_or_empty
 from ..functions.text import comparable, group_id
+from . import graph
 
 # Field weights, the fields compared as text, and thresholds.
 PRODUCT_WEIGHTS = {"title": 0.4, "price_min": 0.3, "price_max": 0.2, "category_name": 0.1}
@@ -61,24 +62,8 @@ def similar_pairs(df: DataFrame, block: Column, weights: dict[str, float], thres
 
 
 def greedy_groups(df: DataFrame, block: Column, weights: dict[str, float], threshold: float, key: str = "id") -> DataFrame:
-    """Groups by first seed in key order inside each block: seed_id, id, similarity (to the seed; the seed's own is 1).
-
-    A block's pairs are scored by Spark; only its links then meet in one place to be taken in order.
-    """
-    links = similar_pairs(df, block, weights, threshold, key)
-    of_block = df.select(F.col(key).alias("left_id"), block.alias("block"))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for seed, own in pdf.sort_values(["left_id", "right_id"]).groupby("left_id", sort=True):
-            mates = own[~own["right_id"].isin(taken)]
-            if seed in taken or mates.empty:
-                continue
-            taken |= {seed, *mates["right_id"]}
-            rows += [(seed, seed, 1.0), *zip([seed] * len(mates), mates["right_id"], mates["similarity"])]
-        return pd.DataFrame(rows, columns=["seed_id", "id", "similarity"]).astype({"seed_id": "int64", "id": "int64", "similarity": "float64"})
-
-    return links.join(of_block, "left_id").groupBy("block").applyInPandas(take, "seed_id long, id long, similarity double")
+    """Groups by first seed in key order inside each block: seed_id, id, similarity (to the seed; the seed's own is 1)."""
+    return graph.greedy_groups(similar_pairs(df, block, weights, threshold, key))
 
 
 def describe_groups(groups: DataFrame) -> DataFrame:
@@ -121,7 +106,7 @@ def same_fields(members: DataFrame, group: list[str], fields: list[str]) -> Data
 
 
 def equal_name_or_phone(suppliers: DataFrame) -> DataFrame:
-    """(left_id, right_id) of suppliers with equal names or phones: a union of equi-joins instead of an OR."""
+    """(left_id, right_id) of suppliers with equal names or phones: a union of equi-joins instead of an OR. All pairs: for values of few owners."""
     def on(field: str) -> DataFrame:
         rows = suppliers.select("id", F.col(field).alias("v")).where("v IS NOT NULL")
         return rows.alias("a").join(rows.alias("b"), (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
@@ -129,6 +114,21 @@ def equal_name_or_phone(suppliers: DataFrame) -> DataFrame:
     return on("name").union(on("phone")).distinct()
 
 
+def equal_value_links(df: DataFrame, fields: tuple[str, ...], key: str = "id") -> DataFrame:
+    """field, value, a (a row), b (the value's first row), owners: each row of a shared value is linked to the first, so links grow with rows; null and empty values link nothing."""
+    parts = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("a"), F.inline(F.array(*parts))).where("value <> ''").distinct()
+    shared = rows.groupBy("field", "value").agg(F.min("a").alias("b"), F.count("*").alias("owners")).where("owners > 1")
+    return rows.join(shared, ["field", "value"])
+
+
+def equal_value_groups(df: DataFrame, fields: tuple[str, ...], key: str = "id") -> DataFrame:
+    """key, component_id (the smallest key reachable by equal values) and size, of rows that share a value of some field with another."""
+    found = graph.components(equal_value_links(df, fields, key).select("a", "b"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    return found.join(sizes, "component").select(F.col("node").alias(key), F.col("component").alias("component_id"), "size")
+
+
 def first_seen(df: DataFrame, order: list[str], *keys: str) -> DataFrame:
     """Rows that are the first of each key in turn, and all with a null key; a row dropped by one key doesn't count for the next."""
     for key in keys:

@@ -119,3 +119,10 @@ def without_ignored(errors: DataFrame, fingerprints: DataFrame, types: list[str]
     out = errors.join(fingerprints.select("fingerprint"), "fingerprint", "left_anti")
     out = out.where(~F.coalesce(F.col("error_type").isin(types), F.lit(False))) if types else out
     return out.where(~contains_any(["message"], phrases[0])) if len(phrases) == 1 else reduce(lambda d, p: d.where(~contains_any(["message"], p)), phrases, out)
+
+
+def locale_order(df: DataFrame, column: str, descending: bool = False, collation: str = "UNICODE", tie: str | None = None) -> list[Column]:
+    """Sort order as people read: text by the collation's letters (accents after the plain letter, small before capital), nulls last ascending and first descending."""
+    key = F.collate(column, collation) if dict(df.dtypes)[column].startswith("string") else F.col(column)
+    first = key.desc_nulls_first() if descending else key.asc_nulls_last()
+    return [first, *([F.col(tie)] if tie else [])]

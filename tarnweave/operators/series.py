@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import running
+
 #: Anomalies lie further than so many standard deviations from the mean.
 Z_LIMIT = 2.0
 BASELINE_ERROR_RATE = 0.05
@@ -136,9 +138,8 @@ def sent_alerts(alerts: DataFrame, key: str, at: str, tie: str, cooldown_s: floa
 
 
 def running_total(points: DataFrame, key: str, at: str, value: str, tie: str) -> DataFrame:
-    """points with `total`: a counter's value after each of its increments."""
-    order = W.partitionBy(key).orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
-    return points.withColumn("total", F.sum(value).over(order))
+    """points with `total`: a counter's value after each of its increments; a hot key is scanned in ranges."""
+    return running(points, key, [at, tie], total=("sum", F.col(value)))
 
 
 def counter_rate(points: DataFrame, key: str, at: str, value: str, tie: str) -> DataFrame:
@@ -150,6 +151,14 @@ def counter_rate(points: DataFrame, key: str, at: str, value: str, tie: str) ->
 
 
 def sustained(points: DataFrame, key: str, at: str, holds: Column, span_s: int) -> DataFrame:
-    """points with `firing`: the condition has held at every point of the last span_s seconds."""
-    over = W.partitionBy(key).orderBy("__t").rangeBetween(-span_s, 0)
-    return points.withColumn("__t", F.unix_timestamp(F.col(at).cast("timestamp"))).withColumn("firing", F.min(holds.cast("int")).over(over) == 1).drop("__t")
+    """points with `firing`: the condition has held at every point of the last span_s seconds, unknown values aside; null where all are unknown.
+
+    Each key's last breach and last known value up to a second are running maxima over its seconds, so a hot key is scanned in ranges.
+    """
+    second = F.unix_timestamp(F.col(at).cast("timestamp"))
+    seen = points.groupBy(F.col(key).alias("__k"), second.alias("__t")).agg(F.max(F.when(~holds, second)).alias("__bad"), F.max(F.when(holds.isNotNull(), second)).alias("__known"))
+    last = running(seen, "__k", ["__t"], bad=("max", F.col("__bad")), known=("max", F.col("__known")))
+    fires = F.when(F.col("known") >= F.col("__t") - span_s, ~F.coalesce(F.col("bad") >= F.col("__t") - span_s, F.lit(False)))
+    marks = last.select("__k", "__t", fires.alias("firing"))
+    rows = points.withColumn("__s", second)
+    return rows.join(marks, F.col(key).eqNullSafe(F.col("__k")) & F.col("__s").eqNullSafe(F.col("__t"))).select(*points.columns, "firing")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import batches
+
 
 def one_of(updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """One update of each key: the last by `order`, and of equal ones (or without an order) the largest in its other columns, in their order."""
@@ -100,8 +102,15 @@ def latest_state(events: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def batch_numbers(df: DataFrame, key: str, size: int) -> DataFrame:
-    """df with `batch`, counted by ranges of `size` keys of a dense integer key: no global sort."""
-    return df.withColumn("batch", F.floor(F.col(key) / size).cast("long"))
+    """df with `batch`, of `size` rows each in order of a key of any type, gaps and repeats included; rows of equal keys are in an order of their own."""
+    return batches(df, size, key)
+
+
+def batch_tasks(df: DataFrame, key: str, size: int) -> DataFrame:
+    """batch, total_batches, items, first and last key of the tasks that batches of rows become."""
+    numbered = batch_numbers(df.select(key), key, size).groupBy("batch").agg(F.count("*").alias("items"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+    total = df.agg(F.ceil(F.count("*") / size).cast("long").alias("total_batches"))  # one row
+    return numbered.join(F.broadcast(total))
 
 
 def resumable(tasks: DataFrame, checkpoints: DataFrame) -> DataFrame:
