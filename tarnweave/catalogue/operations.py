@@ -275,7 +275,7 @@ config AS (SELECT * FROM (VALUES ('crawler', 5, 30, 1.5, 'resume', true), ('imag
 f AS (SELECT id, task_id, CASE id % 5 WHEN 0 THEN 'crawler' WHEN 1 THEN 'image_processing' WHEN 2 THEN 'data_sync' WHEN 3 THEN 'batch_processing' ELSE 'default' END AS task_type FROM syncs WHERE status = 'failed'),
 j AS (SELECT id, task_type, coalesce(tries, 0) AS tries, coalesce(has_checkpoint, false) AS has_checkpoint, most, delay, factor, own, uses FROM f LEFT JOIN tries USING (task_id) LEFT JOIN saved USING (task_id) JOIN config USING (task_type))
 SELECT id, task_type, tries, has_checkpoint, CASE WHEN id % 3 = 1 THEN 'stop' WHEN tries >= most THEN 'give_up' WHEN uses AND has_checkpoint THEN 'resume' WHEN id % 3 = 0 THEN 'retry' ELSE own END AS strategy,
-  delay * pow(CAST(factor AS DOUBLE), tries) AS delay_s FROM j""",
+  least(delay * pow(CAST(factor AS DOUBLE), tries), 3600) AS delay_s FROM j""",
 )
 register(
     "due_retries",

@@ -188,3 +188,16 @@ def clean_suppliers(raw: DataFrame) -> DataFrame:
         *[clean_text(get(name)).alias(name) for name in ("province", "city", "address", "company_name")],
         clean_date(get("established_date")).alias("established_date"), clean_capital(get("registered_capital")).alias("registered_capital"), clean_certifications(get("certifications")).alias("certifications"),
     )
+
+
+def put(c: Column, key: str, value: Column) -> Column:
+    """A map with one entry set: the old one of that key goes; a null map counts as empty."""
+    held = F.coalesce(c, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(held, lambda k, _: k != key), F.create_map(F.lit(key), value.cast("string")))
+
+
+def supplier_blocks(clean: DataFrame) -> DataFrame:
+    """Clean suppliers with contact_info, address_info and business_info: maps of what is given."""
+    block = lambda names: F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))]), lambda _, v: F.coalesce(v != "", F.lit(False)))
+    parts = {"contact_info": ("phone", "email", "qq", "wechat"), "address_info": ("province", "city", "address"), "business_info": ("company_name", "established_date", "registered_capital")}
+    return clean.withColumns({name: block(fields) for name, fields in parts.items()})

@@ -60,7 +60,12 @@ def count_rules(get: Callable[[str], Column]) -> list[Column]:
 
 def media_rules(get: Callable[[str], Column], images: Column | None) -> list[Column]:
     rules = [finding((get(f) != "") & ~is_url(get(f)), "warning", f, "not a URL") for f in ("main_image_url", "video_url")]
-    return rules + ([finding(F.exists(images, lambda u: ~is_url(u)), "warning", "detail_images", "holds what isn't a URL")] if images is not None else [])
+    if images is None:
+        return rules
+    bad = F.filter(F.transform(images, lambda u, i: F.when(~F.coalesce(is_url(u), F.lit(False)), i)), lambda i: i.isNotNull())
+    said = F.concat(F.lit("not a URL at "), F.array_join(bad.cast("array<string>"), ", "))
+    found = F.struct(F.lit("warning").alias("level"), F.lit("detail_images").alias("field"), said.alias("message"))
+    return [*rules, F.when(F.size(bad) > 0, found).otherwise(F.lit(None).cast(FINDING))]
 
 
 def valid_phone(c: Column) -> Column:

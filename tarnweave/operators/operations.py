@@ -173,8 +173,8 @@ def log_rule(logs: DataFrame, as_of: str, span_s: int, at_least: int, level: str
 
 
 def error_rule(errors: DataFrame, as_of: str, span_s: int, at_least: int, error_type: str | None = None, severity: str | None = None) -> DataFrame:
-    """One row, n and firing: errors in whole hours of the span, of a type, else of a severity, else all."""
-    match = since("timestamp", as_of, span_s // 3600 * 3600)
+    """One row, n and firing: errors of the last span_s seconds, of a type, else of a severity, else all."""
+    match = since("timestamp", as_of, span_s)
     if error_type is not None:
         match = match & (F.col("error_type") == error_type)
     elif severity is not None:

@@ -84,9 +84,10 @@ def uniqueness(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return df.agg((reduce(lambda a, b: a + b, map(one, keys)) / len(keys)).alias("value"))
 
 
-def quality_report(metrics: dict[str, DataFrame]) -> DataFrame:
+def quality_report(metrics: dict[str, DataFrame], thresholds: dict[str, float] | None = None) -> DataFrame:
     """metric, value, threshold, level of each metric, and the weighted `overall` one; metrics' frames have one row with value."""
-    rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(THRESHOLDS[name]).alias("threshold"), F.lit(SCORE_WEIGHTS[name]).alias("w")) for name, df in metrics.items()])
+    limits = THRESHOLDS | (thresholds or {})
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(limits[name]).alias("threshold"), F.lit(SCORE_WEIGHTS[name]).alias("w")) for name, df in metrics.items()])
     overall = rows.agg(F.sum(F.col("value") * F.col("w")).alias("v"), F.sum("w").alias("w")).select(F.lit("overall").alias("metric"), (F.col("v") / F.col("w")).alias("value"), F.lit(0.80).alias("threshold"))
     out = rows.drop("w").unionByName(overall)
     return out.withColumn("level", level_of(F.col("value"), F.col("threshold")))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of values of a key; one of them, counted by value, is sorted in a task.
 RANGES = 256
+#: Different values of a key that one task may hold, counted.
+FEW_VALUES = 100_000
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -54,7 +56,15 @@ def values_at(points: DataFrame, keys: list[str], ranks: dict[str, Callable[[Col
 
 
 def percentiles(points: DataFrame, keys: list[str], shares: dict[str, float], value: str = "value") -> DataFrame:
-    """keys, n and for each name the percentile of that share, between the two nearest values in proportion."""
+    """keys, n and for each name the percentile of that share, between the two nearest values in proportion.
+
+    Where no key has more than FEW_VALUES different values, by a sketch, one aggregation counts them by value; else ranges are used.
+    """
+    known = points.where(F.col(value).isNotNull())
+    most = known.groupBy(*keys).agg(F.approx_count_distinct(value).alias("d")).agg(F.max("d")).first()[0] or 0
+    if most <= FEW_VALUES:
+        at = F.percentile(value, F.array(*[F.lit(float(s)) for s in shares.values()])).alias("__at")
+        return known.groupBy(*keys).agg(F.count("*").alias("n"), at).select(*keys, "n", *[F.col("__at")[i].alias(name) for i, name in enumerate(shares)])
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, share in shares.items():
         ranks[f"__{name}_low"] = lambda n, s=share: F.floor((n - 1) * F.lit(s))

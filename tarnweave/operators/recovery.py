@@ -17,6 +17,8 @@ RECOVERY = {
 }
 STATUSES = {"PENDING": "pending", "STARTED": "started", "SUCCESS": "success", "FAILURE": "failure", "RETRY": "retry", "REVOKED": "revoked", "PROGRESS": "progress"}
 DONE = ("success", "failure")
+#: Fixed value: an hour.
+LONGEST_DELAY_S = 3600.0
 
 
 def task_status(name: Column) -> Column:
@@ -87,6 +89,7 @@ def recovery_plan(failures: DataFrame, attempts: DataFrame, checkpoints: DataFra
 
     stop: the exception is one of stop_on; give_up: as many tries (attempts that aren't skips) as the type allows; resume: a checkpoint is
     there and used; retry: the exception is one of retry_on; else the type's strategy. Unknown types go by the defaults 3 tries, retry, checkpoints.
+    delay_s grows by the type's factor with each try, to LONGEST_DELAY_S at most.
     """
     tries = attempts.where("strategy <> 'skip'").groupBy("task_id").agg(F.count("*").alias("tries"))
     saved = checkpoints.select("task_id").distinct().withColumn("has_checkpoint", F.lit(True))
@@ -99,7 +102,7 @@ def recovery_plan(failures: DataFrame, attempts: DataFrame, checkpoints: DataFra
         F.when(has(stop_on), "stop").when(F.col("tries") >= setting(0, 3), "give_up").when(setting(4, True) & F.col("has_checkpoint"), "resume")
         .when(has(retry_on), "retry").otherwise(setting(3, "retry"))
     )
-    delay = setting(1, 60) * F.pow(setting(2, 2.0), F.col("tries"))
+    delay = F.least(setting(1, 60) * F.pow(setting(2, 2.0), F.col("tries")), F.lit(LONGEST_DELAY_S))
     return out.withColumn("strategy", strategy).withColumn("delay_s", delay)
 
 

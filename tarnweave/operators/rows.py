@@ -26,13 +26,13 @@ def serialised(df: DataFrame, *without: str) -> DataFrame:
     return df.select(*[iso(f.name) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(f.name) for f in kept])
 
 
-def updated_from(rows: DataFrame, changes: DataFrame, key: str, as_of: str, protected: tuple[str, ...] = PROTECTED) -> DataFrame:
+def updated_from(rows: DataFrame, changes: DataFrame, key: str, as_of: str, protected: tuple[str, ...] = PROTECTED, order: str | None = None) -> DataFrame:
     """rows with the fields that changes has too, for keys with a change, and updated_at there; protected fields and unknown ones stay out.
 
-    A null in changes is a value like others. Of several changes of a key the greatest row counts.
+    A null in changes is a value like others. Of several changes of a key the last by the column `order` counts, and of equal ones the greatest row.
     """
     fields = [c for c in changes.columns if c in rows.columns and c != key and c not in protected]
-    last = changes.groupBy(key).agg(F.max(F.struct(*fields)).alias("__new"))
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*([order] if order else []), *fields)).alias("__new"))
     out = rows.join(last, key, "left")
     there = F.col("__new").isNotNull()
     old = F.col("updated_at") if "updated_at" in rows.columns else F.lit(None).cast("timestamp")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -49,36 +51,24 @@ ITEM = {
 }
 
 
-def _fits(step: str, element: tuple) -> bool:
-    return step[1:] in element[1] if step.startswith(".") else step == element[0]
-
-
-def _inside(chain: list[tuple], steps: list[str]) -> bool:
-    """Whether the innermost element fits the last step and elements around it the others, in order."""
-    if not chain or not _fits(steps[-1], chain[-1]):
-        return False
-    left = steps[:-1]
-    for element in reversed(chain[:-1]):
-        if left and _fits(left[-1], element):
-            left = left[:-1]
-    return not left
-
-
 class Watched:
-    """Selectors by their last step, so that an element is held against few of them."""
+    """Selectors by their steps. Which of them an element fits is told from its parent alone: a path carries how many leading steps of each it has met."""
 
     def __init__(self, selectors: set[str]):
-        self.by_last: dict[str, list[tuple[str, list[str]]]] = {}
+        self.last: dict[str, list[tuple[str, int]]] = {}
+        self.leading: dict[str, list[tuple[str, int]]] = {}
         for selector in sorted(selectors):
-            steps = selector.split()
-            self.by_last.setdefault(steps[-1], []).append((selector, steps))
+            *before, last = selector.split()
+            self.last.setdefault(last, []).append((selector, len(before)))
+            for place, step in enumerate(before):
+                self.leading.setdefault(step, []).append((selector, place))
 
-    def of(self, chain: list[tuple]) -> list[str]:
-        if not chain:
-            return []
-        tag, classes = chain[-1]
-        last = [tag, *(f".{c}" for c in classes)]
-        return [selector for step in last for selector, steps in self.by_last.get(step, ()) if _inside(chain, steps)]
+    def enter(self, met: dict[str, int], tag: str, classes: set[str]) -> tuple[list[str], dict[str, int]]:
+        """Selectors that an element fits, and what the path with it has met; met: of the path above it, which isn't changed."""
+        own = [tag, *(f".{c}" for c in classes)]
+        fits = [selector for step in own for selector, before in self.last.get(step, ()) if met.get(selector, 0) >= before]
+        new = {selector: place + 1 for step in own for selector, place in self.leading.get(step, ()) if met.get(selector, 0) == place}
+        return fits, met | new if new else met
 
 
 WATCHED = Watched(
@@ -86,12 +76,26 @@ WATCHED = Watched(
 )
 
 
+class Open(NamedTuple):
+    """An open element: its attributes, the selectors it fits, what its path has met, and what it lies in."""
+
+    tag: str
+    is_tag: bool
+    own: dict
+    fits: list[str]
+    met: dict[str, int]
+    in_specs: bool
+    in_tags: bool
+
+
 class ItemParser(HTMLParser):
     """Collects a page's texts, links and attributes by the selectors that their elements fit."""
 
     def __init__(self, base_url: str, page_url: str = ""):
         super().__init__(convert_charrefs=True)
-        self.base, self.page_url, self.open, self.links, self.images = base_url, page_url, [], [], []
+        self.base, self.page_url, self.links, self.images = base_url, page_url, [], []
+        self.open: list[Open] = []
+        self.n_open: Counter[str] = Counter()
         self.texts: dict[str, list[str]] = {}
         self.elements: dict[str, list[dict]] = {}
         self.cells, self.tags, self.rows = [], [], []
@@ -102,35 +106,38 @@ class ItemParser(HTMLParser):
             self.links.append(own["href"])
         if tag == "img":
             self.images += [own[k] for k in ("src", "data-src") if own.get(k)]
-        element = (tag, set((own.get("class") or "").split()))
+        classes = set((own.get("class") or "").split())
         own["__text"] = ""
-        for selector in WATCHED.of([*self.open, element]):
+        above = self.open[-1] if self.open else None
+        fits, met = WATCHED.enter(above.met if above else {}, tag, classes)
+        for selector in fits:
             self.elements.setdefault(selector, []).append(own)
         if tag not in VOID:
-            self.open.append((*element, own))
+            in_specs, in_tags = (bool(classes & set(names)) for names in (SPEC_CLASSES, TAG_CLASSES))
+            self.open.append(Open(tag, "tag" in classes, own, fits, met, in_specs or bool(above and above.in_specs), in_tags or bool(above and above.in_tags)))
+            self.n_open[tag] += 1
         if tag == "tr":
             self.rows.append([])
         if tag == "td" and self.rows:
             self.rows[-1].append("")
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        while self.n_open[tag]:
+            closed = self.open.pop().tag
+            self.n_open[closed] -= 1
+            if closed == tag:
                 break
 
     def handle_data(self, data):
-        tags = [e[0] for e in self.open]
-        if "script" in tags or "style" in tags:
+        if self.n_open["script"] or self.n_open["style"] or not self.open:
             return
-        for selector in WATCHED.of([e[:2] for e in self.open]):
+        here = self.open[-1]
+        for selector in here.fits:
             self.texts.setdefault(selector, []).append(data)
-        if self.open:
-            self.open[-1][2]["__text"] = self.open[-1][2]["__text"] or data
-        classes = set().union(*(e[1] for e in self.open)) if self.open else set()
-        if tags and tags[-1] == "td" and self.rows and self.rows[-1] and classes & set(SPEC_CLASSES):
+        here.own["__text"] = here.own["__text"] or data
+        if here.tag == "td" and self.rows and self.rows[-1] and here.in_specs:
             self.rows[-1][-1] = self.rows[-1][-1] or data
-        if self.open and "tag" in self.open[-1][1] and classes & set(TAG_CLASSES) and data.strip():
+        if here.is_tag and here.in_tags and data.strip():
             self.tags.append(data.strip())
 
     def first(self, selectors: tuple[str, ...]) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import one_of
+
 LOG = "timestamp string, level string, message string, context map<string,string>, details map<string,string>, error map<string,string>, duration_ms double, stack_trace string"
 
 
@@ -44,9 +46,9 @@ def storage_statistics(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("n_bytes").alias("n_bytes"))
 
 
-def import_new(existing: DataFrame, incoming: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
-    """existing with the incoming rows of unknown keys; overwrite: incoming rows replace those of the same key."""
-    new = incoming.dropDuplicates([key])
+def import_new(existing: DataFrame, incoming: DataFrame, key: str, overwrite: bool = False, order: str | None = None) -> DataFrame:
+    """existing with the incoming rows of unknown keys; overwrite: incoming rows replace those of the same key. Of repeated keys the last by `order` counts, then the greatest row."""
+    new = one_of(incoming, [key], order)
     if overwrite:
         return existing.join(new.select(key), key, "left_anti").unionByName(new.select(*existing.columns))
     return existing.unionByName(new.join(existing.select(key), key, "left_anti").select(*existing.columns))
