@@ -4,7 +4,7 @@ A sharded table is a folder:
 
     data/<uuid>/part-*.parquet     immutable shards, written by Spark's committer
     manifests/<uuid>/              Parquet: path, n_bytes, n_rows of each shard of a version
-    commits/<version>.json         names the version's manifest; moved into place, never over another
+    commits/<version>.json         names the version's manifest and schema; moved into place, never over another
 
 Arrivals are appended as small shards. Shards whose sizes lie in the same tier (powers of FACTOR) are merged,
 once there are FAN_IN of them, into files of about TARGET_BYTES; shards of half that and more are left alone.
@@ -13,8 +13,12 @@ case the writer starts from the newer version (the file system's rename must be
 plain object stores' is not). Old versions stay readable until expire() drops those that were replaced long enough ago.
 Lost executors cost repeated tasks only, and what an ended writer leaves behind is in no manifest.
 
-Null values, empty texts, repeated rows and extra columns, clashing names among them, pass through unchanged; shards of
-equal size are merged in the order of their paths; an empty arrival commits a version without new shards.
+A table's schema is the union of its arrivals': rows without a column read as null in it, whatever arrives or is merged later. An
+arrival whose type of a column is narrower than the table's is widened; any other change of type, or a name that differs from another in
+case only, is refused before anything is written.
+
+Null values, empty texts, repeated rows and extra columns pass through unchanged; shards of equal size are merged in the order of
+their paths; an empty arrival commits a version without new shards.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import math
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +52,25 @@ class VersionTaken(Exception):
     pass
 
 
+#: Types that another takes in without loss, by name.
+WIDER = {"byte": ("short", "integer", "long"), "short": ("integer", "long"), "integer": ("long",), "float": ("double",), "date": ("timestamp_ntz",)}
+
+
+def merged_schema(known: T.StructType, new: T.StructType) -> T.StructType:
+    """known with the columns that only new has; every column may be null. ValueError where new can't be read as that."""
+    by_name = {f.name: f for f in known.fields}
+    by_case = {name.lower(): name for name in by_name}
+    for f in new.fields:
+        old = by_name.get(f.name)
+        if old is None and f.name.lower() in by_case:
+            raise ValueError(f"column {f.name} differs from {by_case[f.name.lower()]} in case only")
+        if old is not None and old.dataType != f.dataType and old.dataType.typeName() not in WIDER.get(f.dataType.typeName(), ()):
+            raise ValueError(f"column {f.name} is {old.dataType.simpleString()} in the table, {f.dataType.simpleString()} in the arrival")
+        by_name.setdefault(f.name, f)
+        by_case.setdefault(f.name.lower(), f.name)
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in by_name.values()])
+
+
 class ShardedTable:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, tier_bytes: int = TIER_BYTES, factor: int = FACTOR, fan_in: int = FAN_IN):
         self.spark, self.root = spark, root.rstrip("/")
@@ -107,16 +130,44 @@ class ShardedTable:
         files = self.spark.read.schema(df.schema).parquet(folder).groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("n_rows"))
         return files.select(F.col("file_path").alias("path"), F.col("file_size").alias("n_bytes"), "n_rows")
 
-    def append(self, df: DataFrame, shard_rows: int = ARRIVAL_ROWS) -> int:
-        """Write df as new shards of at most shard_rows rows and commit them; the new version."""
-        files = self._write(df, maxRecordsPerFile=shard_rows)
+    def schema(self, version: int | None = None) -> T.StructType:
+        version = version if version is not None else max(self.versions(), default=None)
+        return T.StructType() if version is None else T.StructType.fromJson(json.loads(self.commit_of(version)["schema"]))
+
+    def _fitted(self, df: DataFrame) -> DataFrame:
+        """df with the table's types where its own are narrower; ValueError where they don't fit."""
+        kinds = {f.name: f.dataType for f in merged_schema(self.schema(), df.schema).fields}
+        return df.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in df.columns])
+
+    def _add(self, files: DataFrame, schema: T.StructType) -> int:
         while True:
             base = max(self.versions(), default=0)
+            whole = merged_schema(self.schema(base) if base else T.StructType(), schema)
             try:
-                return self._commit(base + 1, self.manifest().unionByName(files) if base else files, df.schema)
+                return self._commit(base + 1, self.manifest(base).unionByName(files) if base else files, whole)
             except VersionTaken:
                 continue
 
+    def append(self, df: DataFrame, shard_rows: int = ARRIVAL_ROWS) -> int:
+        """Write df as new shards of at most shard_rows rows and commit them; the new version."""
+        df = self._fitted(df)
+        return self._add(self._write(df, maxRecordsPerFile=shard_rows), df.schema)
+
+    def append_each(self, df: DataFrame, arrival: Column, shard_rows: int = ARRIVAL_ROWS) -> list[int]:
+        """Append the rows of each value of `arrival` (a long) as an arrival of its own, in order; df is read and written once. The new versions."""
+        df = self._fitted(df)
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        df.withColumn("__arrival", arrival.cast("long")).write.partitionBy("__arrival").option("maxRecordsPerFile", shard_rows).parquet(folder)
+        back = self.spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__arrival", T.LongType())])).parquet(folder)
+        files = back.groupBy("__arrival", "_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("n_rows"))
+        name = f"{self.root}/manifests/{uuid.uuid4().hex}"
+        files.select("__arrival", F.col("file_path").alias("path"), F.col("file_size").alias("n_bytes"), "n_rows").write.parquet(name)
+        files = self.spark.read.schema(f"__arrival long, {MANIFEST}").parquet(name)
+        arrivals = [r[0] for r in files.select("__arrival").distinct().orderBy("__arrival").collect()]
+        versions = [self._add(files.where(F.col("__arrival") == a).drop("__arrival"), df.schema) for a in arrivals]
+        self._fs().delete(self.jvm.Path(name), True)
+        return versions
+
     def tiers(self) -> DataFrame:
         """The newest manifest with each shard's tier; null for shards that have reached half the target."""
         tier = F.floor(F.log(F.greatest(F.col("n_bytes") / self.tier_bytes, F.lit(1.0))) / math.log(self.factor)).cast("int")
@@ -132,7 +183,7 @@ class ShardedTable:
             return None
         # names of files, not data: one for TIER_BYTES and more each; a job takes FILES_A_JOB of them
         run = self.tiers().where(F.col("tier") == full["tier"]).orderBy("n_bytes", "path").limit(FILES_A_JOB).collect()
-        schema = T.StructType.fromJson(json.loads(self.commit_of(base)["schema"]))
+        schema = self.schema(base)
         count = max(1, round(sum(r["n_bytes"] for r in run) / self.target_bytes))
         merged = self._write(self.spark.read.schema(schema).parquet(*[r["path"] for r in run]).coalesce(count))
         gone = self.spark.createDataFrame([(r["path"],) for r in run], "path string")
@@ -142,7 +193,7 @@ class ShardedTable:
             if self.manifest().join(gone, "path", "left_semi").count() != len(run):
                 return base  # another writer has merged some of them; its version stands
             try:
-                return self._commit(base + 1, rest.unionByName(merged), schema)
+                return self._commit(base + 1, rest.unionByName(merged), self.schema(base))
             except VersionTaken:
                 continue
 
@@ -155,7 +206,7 @@ class ShardedTable:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
         version = version if version is not None else max(self.versions())
-        schema = T.StructType.fromJson(json.loads(self.commit_of(version)["schema"]))
+        schema = self.schema(version)
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -183,8 +234,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents appended in ARRIVALS arrivals, compacted and read back through the manifest: doc_id, lang, source, n_chars, text_md5, compacted (a merge has written the newest version)."""
     shards = ShardedTable(spark, new_path(spark, "shards"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
-    appended = [shards.append(docs.where(arrival == i)) for i in range(ARRIVALS)]
+    appended = shards.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))) or [shards.append(docs)]
     newest = shards.compact_all()
     return shards.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.lit(newest > appended[-1]).alias("compacted"))
 
