@@ -5,8 +5,9 @@ number of times that one of its documents must appear to reach it; a document's
 Poisson distribution with that mean at a uniform number hashed from the seed and the document. Documents are
 exploded by their counts and dealt out by a hash, so the whole corpus is in random order.
 
-Null sources form one source, a null or empty text counts as one character, repeated rows draw the same
-count (they have the same key), an empty table gives an empty result. Columns of the input pass through,
+Null sources form one source, a null or empty text counts as one character, rows of one key draw the same
+count (repeated rows among them), a row without a key draws by its text, an empty table gives an empty result. Rows of equal order keys are
+dealt out by their texts too, so that no key fills a partition. Columns of the input pass through,
 but for `copy_no` and `shuffle_key`, which the operator sets.
 """
 
@@ -25,9 +26,14 @@ CDF_LENGTH = 110
 BROADCAST_SOURCES = 20_000
 
 
+def drawn_by(key: str) -> Column:
+    """What a row is drawn by: its key, or without one its text."""
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def uniform(seed: int, key: Column, piece: Column) -> Column:
     """Uniform in [0, 1) from 52 bits of md5("seed:key:piece")."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")), piece.cast("string"))
+    text = F.concat_ws(":", F.lit(str(seed)), key, piece.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -71,13 +77,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, expone
     start = F.exp(-F.col("mean"))
     cdf = F.aggregate(F.sequence(F.lit(1), F.lit(CDF_LENGTH)), F.struct(start.alias("p"), start.alias("cdf"), F.array(start).alias("all")), step, lambda a: a["all"])
     rates = rates.withColumn("pieces", pieces).withColumn("mean", F.col("rate") / F.col("pieces")).select("__source", F.col("rate").alias("__rate"), F.col("pieces").alias("__pieces"), cdf.alias("__cdf"))
-    count = poisson_count(F.col("__rate"), F.col("__cdf"), F.col("__pieces"), seed, F.col(key))
+    count = poisson_count(F.col("__rate"), F.col("__cdf"), F.col("__pieces"), seed, drawn_by(key))
     rates = materialise(rates, "rates")
     drawn = _with_rates(docs, rates, key).withColumn("__count", count)
     copies = drawn.where("__count > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    order = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit("order"), F.col("copy_no").cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(f"{seed}"), drawn_by(key), F.lit("order"), F.col("copy_no").cast("string")))
     copies = copies.select(*[F.col(f"`{c}`") for c in kept], "copy_no", order.alias("shuffle_key"))
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.repartition("shuffle_key", F.xxhash64("text")).sortWithinPartitions("shuffle_key")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
