@@ -13,8 +13,9 @@ learned from a bounded sample: at most SAMPLE_DOCS labelled documents of each la
 smallest hashes of their ids. Every label is a language; more labels than `most` are refused with an error.
 
 A null or empty text, or one without letters, has language `und` unless markup or address speak, and is never
-accepted; null addresses share one host; repeated rows get the same posterior; without labelled rows every
-row is `und`; an empty table gives an empty result; other columns pass through where named in `keep`.
+accepted; null addresses share one host; repeated rows get the same posterior; of languages of equal confidence the
+first in the alphabet is given; a text of any length is read whole; without labelled rows every row is `und`; an empty table gives an empty
+result; other columns pass through where named in `keep`, except those that the result has itself (MADE), which are replaced.
 """
 
 from __future__ import annotations
@@ -35,12 +36,16 @@ SAMPLE_DOCS = 2000
 #: More labels than this aren't languages: learning refuses them.
 LANGUAGES = 1000
 UND = "und"
+#: Columns that the result has itself; those of these names in `keep` are replaced.
+MADE = ("n_words", "declared", "loglik", "own", "lang_id", "confidence", "accepted")
 ALPHA = 0.5
 DEPENDENCE = 50.0
 #: Rows that a level's parent counts for in the address prior, and markup's pseudo-counts.
 STRENGTH, MARKUP_STRENGTH = 10.0, 5.0
 ACCEPT = 0.5
 MEMO = 200_000
+#: Numbers of a class and row that are fused together in memory.
+ROW_NUMBERS = 1_000_000
 WORD = re.compile(r"[^\W\d_]+")
 #: The first html start tag outside comments, and the language in its attributes.
 HTML_TAG = re.compile(r"<!--.*?(?:-->|$)|<html\b([^>]*)", re.I | re.S)
@@ -134,7 +139,7 @@ def learn(labelled: DataFrame, text: str = "text", language: str = "lang", key:
 
 
 def with_evidence(rows: DataFrame, model: TextModel, keep: list[str], text: str | None, html: str | None = None) -> DataFrame:
-    """keep, n_words, declared and loglik (array by class) of each row; the text is that column, or a page's main text."""
+    """keep, n_words, declared, loglik (array by class) and own (the text's own posterior, null without words) of each row; the text is that column, or a page's main text."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     shared = rows.sparkSession.sparkContext.broadcast(model)  # trigrams of a bounded sample
 
@@ -148,16 +153,16 @@ def with_evidence(rows: DataFrame, model: TextModel, keep: list[str], text: str
                     declared = [declared_language(c) for c in contents]
                     contents = [main_text(c) for c in contents]
                 found = [own.evidence(c) for c in contents]
-                yield some.drop(columns="__content").assign(n_words=[n for n, _ in found], declared=pd.Series(declared, index=some.index, dtype=object), loglik=[x.tolist() for _, x in found])
+                yield some.drop(columns="__content").assign(n_words=[n for n, _ in found], declared=pd.Series(declared, index=some.index, dtype=object), loglik=[x.tolist() for _, x in found], own=[softmax(x).tolist() if n else None for n, x in found])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_words long", "declared string", "loglik array<double>"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_words long", "declared string", "loglik array<double>", "own array<double>"])
     return rows.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(html or text), F.lit("")).alias("__content")).mapInPandas(score, schema)
 
 
-def softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+def softmax(logs: np.ndarray) -> np.ndarray:
+    """Along the last axis."""
+    powers = np.exp(logs - logs.max(axis=-1, keepdims=True))
+    return powers / powers.sum(axis=-1, keepdims=True)
 
 
 def address(url: Column) -> list[Column]:
@@ -173,12 +178,11 @@ def fuse(evidence: DataFrame, classes: list[str], levels: list[Column]) -> DataF
     host of a third of all rows costs one row from each task; the join back carries short rows only.
     """
     at = [f"__l{i}" for i in range(len(levels))]
-    taken = [*at, "__declared", "__own"]
     names = [f"s{i}" for i in range(len(classes))]
     known = F.when(F.col("declared").isin(classes), F.col("declared")).when(F.col("declared").isNotNull(), F.lit("other"))
-    rows = evidence.select("*", *[c.alias(a) for c, a in zip(levels, at)], known.alias("__declared"), F.when(F.col("n_words") > 0, softmax(F.col("loglik"))).alias("__own"))
-    sums = lambda: [F.coalesce(F.sum(F.col("__own")[i]), F.lit(0.0)).alias(c) for i, c in enumerate(names)]
-    counted = rows.where("__own IS NOT NULL")
+    rows = evidence.select("*", *[c.alias(a) for c, a in zip(levels, at)], known.alias("__declared"))
+    sums = lambda: [F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)).alias(c) for i, c in enumerate(names)]
+    counted = rows.where("own IS NOT NULL")
     hosts = counted.groupBy(*at).agg(*sums())
     up = lambda df, keys: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
     # one row of all, and at most a row for each class and `other`
@@ -189,42 +193,52 @@ def fuse(evidence: DataFrame, classes: list[str], levels: list[Column]) -> DataF
         priors = priors.join(up(hosts, [at[i]]).select(at[i], F.array(*names).alias(f"__s{i}")), at[i])
     rows = rows.join(priors, at, "left")
 
-    size, zero = len(classes), F.array(*[F.lit(0.0)] * len(classes))
-    own = F.coalesce(F.col("__own"), zero)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
-
-    def shrink(counts: Column, parent: Column) -> Column:
-        """Shares of a level without the row itself, its parent's shares counting as STRENGTH rows."""
-        rest = F.zip_with(counts, own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        return F.transform(F.zip_with(rest, parent, lambda a, b: a + STRENGTH * b), lambda x: x / (total(rest) + STRENGTH))
-
-    rows = rows.withColumn("__p", shrink(F.array(*[F.lit(x) for x in everything]), F.array(*[F.lit(1.0 / size)] * size)))
-    for level in (f"__s{i}" for i in range(len(at))):  # a column each, so that no level is computed twice
-        rows = rows.withColumn("__p", shrink(F.coalesce(F.col(level), zero), F.col("__p")))
-    markup = F.array(*[F.lit(0.0)] * size)
-    for declared, counts in by_markup.items():
-        of_class = np.array(everything)
-        spread = (np.array(counts) + MARKUP_STRENGTH / (size + 1)) / (of_class + MARKUP_STRENGTH)
-        markup = F.when(F.col("__declared") == declared, F.array(*[F.lit(float(x)) for x in np.log(spread)])).otherwise(markup)
-    logs = F.zip_with(F.zip_with(F.col("loglik"), F.col("__p"), lambda a, p: a + F.log(p + 1e-12)), markup, lambda a, b: a + b)
-    rows = rows.withColumn("__post", softmax(logs)).withColumn("confidence", F.array_max("__post"))
-    speaks = (F.col("n_words") > 0) | F.col("declared").isNotNull()
-    best = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("__post", F.col("confidence")).cast("int"))
-    rows = rows.withColumn("lang_id", F.when(speaks, best).otherwise(UND))
-    rows = rows.withColumn("accepted", (F.col("n_words") > 0) & (F.col("lang_id") != UND) & (F.col("confidence") >= ACCEPT))
-    return rows.drop(*taken, *(f"__s{i}" for i in range(len(at))), "__p", "__post", "loglik")
+    size, of_all = len(classes), np.array(everything)
+    # at most a row of `size` numbers for each class and `other`, so a broadcast of at most LANGUAGES squared numbers
+    spread = [(declared, np.log((np.array(counts) + MARKUP_STRENGTH / (size + 1)) / (of_all + MARKUP_STRENGTH)).tolist()) for declared, counts in by_markup.items()]
+    rows = rows.join(F.broadcast(evidence.sparkSession.createDataFrame(spread, "__declared string, __markup array<double>")), "__declared", "left")
+    counts = [f"__s{i}" for i in range(len(at))]
+    names = [c for c in evidence.columns if c not in ("loglik", "own")]
+    schema = ", ".join([*(f"`{c}` {evidence.schema[c].dataType.simpleString()}" for c in names), "lang_id string", "confidence double", "accepted boolean"])
+    step = max(1, ROW_NUMBERS // size)
+
+    def table_of(column: pd.Series) -> np.ndarray:
+        return np.stack([np.zeros(size) if x is None else x for x in column])
+
+    def posterior(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = table_of(pdf["own"])
+
+        def shrink(of: np.ndarray, parent: np.ndarray) -> np.ndarray:
+            """Shares of a level without the row itself, its parent's shares counting as STRENGTH rows."""
+            rest = np.maximum(of - own, 0)
+            return (rest + STRENGTH * parent) / (rest.sum(axis=1, keepdims=True) + STRENGTH)
+
+        prior = shrink(of_all, np.full((1, size), 1 / size))
+        for level in counts:
+            prior = shrink(table_of(pdf[level]), prior)
+        found = softmax(table_of(pdf["loglik"]) + np.log(prior + 1e-12) + table_of(pdf["__markup"]))
+        confidence, worded = found.max(axis=1), pdf["n_words"].to_numpy() > 0
+        languages = np.where(worded | pdf["declared"].notna().to_numpy(), np.array(classes, dtype=object)[found.argmax(axis=1)], UND)
+        return pdf[names].assign(lang_id=languages, confidence=confidence, accepted=worded & (languages != UND) & (confidence >= ACCEPT))
+
+    def fused(batches):
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                yield posterior(batch.iloc[start : start + step])
+
+    return rows.select(*[F.col(f"`{c}`") for c in names], "loglik", "own", "__markup", *counts).mapInPandas(fused, schema)
 
 
 def identify_documents(docs: DataFrame, model: TextModel, keep: list[str] | None = None) -> DataFrame:
     """keep (default: doc_id), lang_id, confidence, accepted, n_words; a document's source stands for its host."""
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in MADE]
     slim = materialise(with_evidence(docs.select(*keep, F.col("source").alias("__source"), F.col("text").alias("__text")), model, [*keep, "__source"], "__text"), "evidence")
     return fuse(slim, model.classes, [F.coalesce(F.col("__source"), F.lit(""))]).drop("__source", "declared")
 
 
 def identify_pages(pages: DataFrame, model: TextModel, keep: list[str] | None = None) -> DataFrame:
     """keep (default: page_id, url), lang_id, confidence, accepted, n_words, declared; from a page's html and url."""
-    keep = keep or ["page_id", "url"]
+    keep = [c for c in keep or ["page_id", "url"] if c not in MADE]
     slim = materialise(with_evidence(pages.select(*{*keep, "url"}, "html"), model, list({*keep, "url"}), None, "html"), "evidence")
     return fuse(slim, model.classes, address(F.col("url"))).select(*keep, "lang_id", "confidence", "accepted", "n_words", "declared")
 

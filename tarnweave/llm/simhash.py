@@ -57,7 +57,8 @@ def simhash(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns keep and fp (the fingerprint's 64 bits as a signed long); the text itself does not travel on."""
+    """Columns keep (a column fp among them is replaced) and fp (the fingerprint's 64 bits as a signed long); the text itself does not travel on."""
+    keep = tuple(c for c in keep if c != "fp")
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def prints(batches):
@@ -66,7 +67,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
                 values = np.array([simhash(t) for t in some["__text"].tolist()], np.uint64).view(np.int64)
                 yield some.drop(columns="__text").assign(fp=values)
 
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", fp long"
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "fp long"])
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(prints, schema)
 
 
