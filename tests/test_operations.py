@@ -73,7 +73,7 @@ def test_checkpoints_written_and_verified(spark, tmp_path):
     assert recovery.checkpoint_statistics(read).first().bytes > 0
 
 
-PAGE = """<div class="category-list"><a href="/x">no</a><a href="/chanpin/1.html"> Rings </a></div><div class="d-title"><h1>1688</h1><span class="title-text">A blue ring</span></div>
+PAGE = """<div class="category-list"><a href="/x">no</a><a href="/chanpin/1.html"> Rings </a></div><div class="d-title"><h1>1234</h1><span class="title-text">A blue ring</span></div>
 <span class="price">7</span><div class="d-price"><b class="price">¥ 12.5</b><s class="price-del">¥20</s></div><div class="d-seller" ><a class="seller-name" data-id=" 77 ">Ann &amp; Co</a><i class="location"> Oslo</i></div>
 <p class="offer-brand">Blau</p><p class="desc-content">A ring<br>of glass</p><div class="offer-item"><p class="offer-title"><a href="p/1.html">1</a><a href="https://x/2.html">2</a></p></div>
 <div class="list-item"><p class="title"><a href="/never">n</a></p></div><div class="pagination"><b class="next"><a href="?page=3">next</a></b></div><a href="/s?beginPage=3">3</a>"""
