@@ -74,7 +74,12 @@ FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, id), v AS (PARTI
 register("running_total", lambda t: series.running_total(t.view("logs").select("id", "user_id", "timestamp", F.lit(1).alias("one")), "user_id", "timestamp", "one", "id").select("id", "total"), "SELECT id, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, id) AS total FROM logs")
 register("counter_rate", lambda t: series.counter_rate(points(t), "user_id", "timestamp", "current", "id").select("id", F.round("rate", 6).alias("rate")), f"SELECT id, round((id - lag(id) OVER w) / ({SECONDS.format('timestamp')} - lag({SECONDS.format('timestamp')}) OVER w), 6) AS rate FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, id)")
 register("sustained_condition", lambda t: series.sustained(t.view("logs"), "user_id", "timestamp", F.col("value") > 20, 7200).select("id", "firing"), "SELECT id, bool_and(value > 20) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(timestamp)) AS BIGINT) RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS firing FROM logs")
-register("rate_limit_accepted", lambda t: series.accepted_requests(t.view("logs"), "user_id", "timestamp", "id", limit=2, window_s=86400.0))
+register("rate_limit_accepted", lambda t: series.accepted_requests(t.view("logs"), "user_id", "timestamp", "id", limit=2, window_s=86400.0), """
+WITH RECURSIVE a AS (SELECT id, user_id, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, id) AS n FROM logs),
+r AS (SELECT id, user_id, n, true AS accepted, CAST(NULL AS BIGINT) AS older, t AS newer FROM a WHERE n = 1
+  UNION ALL SELECT a.id, a.user_id, a.n, r.older IS NULL OR r.older <= a.t - 86400000000, CASE WHEN r.older IS NULL OR r.older <= a.t - 86400000000 THEN r.newer ELSE r.older END,
+    CASE WHEN r.older IS NULL OR r.older <= a.t - 86400000000 THEN a.t ELSE r.newer END FROM r JOIN a ON a.n = r.n + 1 AND a.user_id = r.user_id)
+SELECT id, user_id, accepted FROM r""")
 register("alert_cooldown", lambda t: series.sent_alerts(t.view("logs").where("level = 'ERROR'"), "error_type", "timestamp", "id", cooldown_s=7200.0), """
 WITH RECURSIVE a AS (SELECT id, error_type, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY error_type ORDER BY timestamp, id) AS n FROM logs WHERE level = 'ERROR'),
 r AS (SELECT id, error_type, n, true AS sent, t AS last FROM a WHERE n = 1
