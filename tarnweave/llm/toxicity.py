@@ -1,8 +1,7 @@
 """Operator 6: toxicity by compression distance.
 
 Two zstandard dictionaries are trained on windows of labelled texts, one on ordinary and one on toxic text; a
-window is a run of WINDOW words, a new one begins every STEP words (and one ends with the text), so that they
-overlap. All of a document's windows are compressed with either: what a
+window is a run of WINDOW words, and windows overlap. A document's windows are compressed with either: what a
 window saves when the toxic dictionary stands behind the ordinary one, against the ordinary one alone, says how
 much toxic language it holds, as all that the two share costs the same. zstandard counts whole bytes, of which
 a short window has few, so text is widened before it is compressed: each character becomes 8 bytes hashed from it
@@ -16,8 +15,7 @@ by ordinary windows that the toxic one would have shortened.
 
 A few counts of a document's savings are turned into a score from 0 to 1 by a logistic curve, fitted on texts that
 the dictionaries at work there have not seen (two halves score each other), and moved so that THRESHOLD lies where
-it makes the fewest errors there, a missed text and a false hit counting the same. Constants were chosen by
-cross-validation among rows that aren't held out.
+it makes the fewest errors there. Constants were chosen by cross-validation among rows that aren't held out.
 
 Fitting reads a bounded sample, in one task: at most SAMPLE_DOCS labelled documents of each label, those with the
 smallest hashes of their ids, and of a text longer than SAMPLE_CHARS evenly spaced stretches of that many characters
@@ -31,11 +29,11 @@ are not learned from; of several labels of one doc_id the largest holds. Columns
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import random
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,7 +45,7 @@ from .common import kept, materialise, table, text_batches
 SAMPLE_DOCS, SAMPLE_CHARS, STRETCH = 4000, 20_000, 1000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-WINDOW, STEP = 3, 2
+WINDOW = 3
 #: Characters that a widened symbol depends on.
 CONTEXT = 9
 #: Sizes of the dictionaries before widening: ordinary, its extension, toxic. zstandard's segment and pattern lengths.
@@ -61,10 +59,8 @@ POORLY, CLEARLY, ROUNDS = 0.9, 0.99, 3
 LEAST, EXTENDS = 8, 20
 #: Savings, in bytes, at which windows are counted; a saving below the first counts for nothing.
 STEPS = (6, 10, 16, 22, 28, 40)
-#: Windows widened at a time.
-SLICE = 20_000
-#: An odd multiplier (fixed value).
-FACTOR = 0x9E3779B97F4A7C15
+#: Distinct words that a worker remembers the widened form of.
+MEMO = 300_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,38 +77,31 @@ def windows(own: list[str], step: int = 1) -> list[list[str]]:
     return [own[i : i + WINDOW] for i in range(0, max(1, len(own) - WINDOW + 1), step)] if own else []
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The finishing steps of splitmix64, which spread each number over 64 bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def symbols(word: str) -> list[bytes]:
+    """8 bytes for each character of the word and for the space after it."""
+    padded = f" {word} "
+    return [hashlib.blake2b(padded[max(0, i - CONTEXT + 1) : i + 1].encode("utf-8", "surrogatepass"), digest_size=8).digest() for i in range(1, len(padded))]
 
 
-def widened(own: list[str]) -> tuple[bytes, np.ndarray]:
-    """8 bytes for each character of the words and for the space after each; where in these each word begins, and their end."""
-    if not own:
-        return b"", np.zeros(1, np.int64)
-    code = np.frombuffer(f" {' '.join(own)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    spaces = np.flatnonzero(code == 32)
-    # places back to the space before the word
-    back = np.arange(1, len(code)) - np.repeat(spaces[:-1], np.diff(spaces))
-    mixed = _mixed(code)
-    symbol, factor = mixed[1:].copy(), 1
-    for k in range(1, min(CONTEXT, len(code))):
-        factor = factor * FACTOR % 2**64
-        symbol[k - 1 :] += np.where(back[k - 1 :] >= k, mixed[: len(code) - k] * np.uint64(factor), np.uint64(0))
-    return _mixed(symbol).astype("<u8").tobytes(), spaces * 8
+class Widener:
+    """Widened words, remembered."""
 
+    def __init__(self):
+        self.seen: dict[str, bytes] = {}
 
-def widened_windows(some: list[list[str]]) -> Iterator[bytes]:
-    for at in range(0, len(some), SLICE):
-        part = some[at : at + SLICE]
-        wide, bounds = widened([word for window in part for word in window])
-        ends = np.cumsum([0, *map(len, part)])
-        yield from (wide[bounds[i] : bounds[j]] for i, j in zip(ends, ends[1:]))
+    def __call__(self, window: list[str]) -> bytes:
+        if len(self.seen) > MEMO:
+            self.seen.clear()
+        out = []
+        for word in window:
+            wide = self.seen.get(word)
+            if wide is None:
+                wide = self.seen[word] = b"".join(symbols(word))
+            out.append(wide)
+        return b"".join(out)
 
 
-def trained(samples: list[list[str]], size: int, segment: int) -> bytes:
+def trained(samples: list[list[str]], size: int, segment: int, widen: Widener) -> bytes:
     """Widened content of the zstandard dictionary trained on windows; where these are too few to choose from, of all of them."""
     import zstandard
 
@@ -122,14 +111,14 @@ def trained(samples: list[list[str]], size: int, segment: int) -> bytes:
     except zstandard.ZstdError:
         text = b"".join(dict.fromkeys(texts))[-size:]
     # the header of a trained dictionary reads as a few odd words, which match nothing
-    return widened(text.decode("utf-8", "ignore").split())[0]
+    return widen(text.decode("utf-8", "ignore").split())
 
 
 def compressed_length(content: bytes):
     """Function that gives the compressed length of widened windows under a dictionary."""
     import zstandard
 
-    # tables that hold every place of the dictionary, and matches of nearly a whole symbol at least
+    # tables that hold every place of the dictionary, and matches of a whole symbol nearly
     tables = {"window_log": 23, "hash_log": 21, "chain_log": 21, "search_log": 3, "min_match": 7, "strategy": zstandard.STRATEGY_GREEDY}
     how = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(content), source_size=400, write_content_size=0, write_checksum=0, write_dict_id=0, **tables)
     known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -143,27 +132,35 @@ class Savings:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.alone, self.both = compressed_length(ordinary), compressed_length(ordinary + toxic)
+        split = lambda content: {content[i : i + 8] for i in range(0, len(content), 8)}
+        self.added = split(toxic) - split(ordinary)
+        self.seen: dict[str, tuple[bytes, bool]] = {}
+
+    def word(self, word: str) -> tuple[bytes, bool]:
+        """Widened word; whether the toxic dictionary knows a symbol of it that the ordinary one does not."""
+        found = self.seen.get(word)
+        if found is None:
+            own = symbols(word)
+            found = self.seen[word] = b"".join(own), not self.added.isdisjoint(own)
+        return found
 
     def of_words(self, own: list[str]) -> np.ndarray:
-        """Savings of every window of the words: WINDOW words from each STEP-th word on, and the last WINDOW words."""
+        """Savings of the words' windows that have a symbol which only the toxic dictionary knows; what others save comes from longer runs of shared language."""
+        if len(self.seen) > MEMO:
+            self.seen.clear()
+        known = [self.word(w) for w in own]
+        at = {max(0, i - k) for i, (_, new) in enumerate(known) if new for k in range(WINDOW)}
         last = max(0, len(own) - WINDOW)
-        starts = [*range(0, last, STEP), last] if own else []
-        saved = []
-        for at in range(0, len(starts), SLICE):
-            part = starts[at : at + SLICE]
-            wide, bounds = widened(own[part[0] : part[-1] + WINDOW])
-            ends = bounds[np.minimum(np.array(part) + WINDOW, len(own)) - part[0]]
-            some = [wide[i:j] for i, j in zip(bounds[np.array(part) - part[0]].tolist(), ends.tolist())]
-            # one dictionary after the other, so that its tables stay in the processor's cache
-            saved.append(np.array([*map(self.alone, some)]) - np.array([*map(self.both, some)]))
-        return np.concatenate([np.zeros(0, np.int64), *saved])
+        wide = [b"".join([w for w, _ in known[i : i + WINDOW]]) for i in sorted(at) if i <= last]
+        return np.array([self.alone(w) - self.both(w) for w in wide], np.int64)
 
     def features(self, text: str) -> list[float]:
-        saved = self.of_words(words(text))
-        n = len(saved)
+        own = words(text)
+        saved = self.of_words(own)
+        n = max(0, len(own) - WINDOW + 1)
         counts = [float((saved >= s).sum()) for s in STEPS]
         top = [*np.sort(saved[saved >= STEPS[0]])[::-1][:3], 0, 0, 0][:3]
-        return [*np.log1p(counts), *(x / 40 for x in top), counts[1] / max(n, 10) * 10, counts[3] / max(n, 10) * 10, np.log1p(n) / 10]
+        return [*np.log1p(counts), *(x / 40 for x in top), counts[1] / max(n, 20) * 20, counts[3] / max(n, 20) * 20, np.log1p(n) / 10]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60) -> np.ndarray:
@@ -210,6 +207,7 @@ def spread(items: list, most: int) -> list:
 
 def train_both(rows: list[tuple[int, bool, str]]) -> tuple[bytes, bytes] | None:
     """Widened contents of the ordinary and the toxic dictionary, from (label, half, text); None where there is too little to train on."""
+    widen = Widener()
     ordinary = [w for label, _, text in rows if not label for w in windows(words(text), WINDOW)]
     random.Random(6).shuffle(ordinary)
     ordinary = ordinary[:TRAINING_WINDOWS]
@@ -218,9 +216,9 @@ def train_both(rows: list[tuple[int, bool, str]]) -> tuple[bytes, bytes] | None:
         toxic[i % 2] += windows(words(text), 2)
     if not ordinary or not toxic[0] or not toxic[1]:
         return None
-    content = trained(ordinary, ORDINARY_BYTES, LONG_SEGMENT)
+    content = trained(ordinary, ORDINARY_BYTES, LONG_SEGMENT, widen)
     alone = compressed_length(content)
-    lengths = lambda how, some: np.array([how(w) for w in widened_windows(some)])
+    lengths = lambda how, some: np.array([how(widen(w)) for w in some])
     measured = spread(ordinary, MEASURED_WINDOWS)
     of_measured, of_toxic = lengths(alone, measured), [lengths(alone, some) for some in toxic]
     poorly = np.quantile(of_measured, POORLY)
@@ -228,17 +226,17 @@ def train_both(rows: list[tuple[int, bool, str]]) -> tuple[bytes, bytes] | None:
     for _ in range(ROUNDS):
         new = [[], []]
         for half in (0, 1):  # one half's dictionary chooses windows of the other half
-            both = compressed_length(content + trained(chosen[half], TOXIC_BYTES, SEGMENT))
+            both = compressed_length(content + trained(chosen[half], TOXIC_BYTES, SEGMENT, widen))
             least = max(LEAST, np.quantile(of_measured - lengths(both, measured), CLEARLY))
             saved = of_toxic[1 - half] - lengths(both, toxic[1 - half])
             new[1 - half] = [w for w, n in zip(toxic[1 - half], saved) if n >= least]
         if not new[0] or not new[1]:
             break
         chosen = new
-    last = trained(chosen[0] + chosen[1], TOXIC_BYTES, SEGMENT)
+    last = trained(chosen[0] + chosen[1], TOXIC_BYTES, SEGMENT, widen)
     both = compressed_length(content + last)
     shortened = [w for w, n in zip(ordinary, lengths(alone, ordinary) - lengths(both, ordinary)) if n >= EXTENDS]
-    return (trained(shortened, EXTENSION_BYTES, SEGMENT) if shortened else b"") + content, last
+    return (trained(shortened, EXTENSION_BYTES, SEGMENT, widen) if shortened else b"") + content, last
 
 
 def fit(rows: list[tuple[int, bool, str]]) -> Model:
@@ -292,7 +290,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Mod
 
 
 def _savings_of(model: Model) -> Savings:
-    """One for a worker and model, so that later tasks find its tables."""
+    """One for a worker and model, so that later tasks find its memory filled."""
     key = zlib.crc32(model.toxic, zlib.crc32(model.ordinary))
     return kept(("savings", key), lambda: Savings(model.ordinary, model.toxic))
 

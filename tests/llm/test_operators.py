@@ -280,44 +280,6 @@ def test_toxicity_held_out(spark, data):
     assert right[0] >= 0.7 and right[1] >= 0.99
 
 
-def test_toxicity_compresses_every_window(data):
-    """Widened symbols and savings against a plain loop over characters and windows."""
-    import duckdb
-    import xxhash
-
-    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{data}/documents.parquet' ORDER BY length(text) LIMIT 60").fetchall()]
-    texts += ["", "a", "one two", "one two three four", "x" * 300, "ein Straße ein Straße naïve 日本 語"]
-    own = [w for t in texts for w in toxicity.words(t)]
-    wide, bounds = toxicity.widened(own)
-    seen = {}
-    for word, begin, end in zip(own, bounds, bounds[1:]):
-        padded = f" {word} "
-        contexts = [padded[max(0, i - toxicity.CONTEXT + 1) : i + 1] for i in range(1, len(padded))]
-        assert end - begin == 8 * len(contexts)
-        for i, context in enumerate(contexts):  # one symbol for each sequence of characters, and one sequence for each symbol
-            assert seen.setdefault(context, wide[begin + 8 * i : begin + 8 * i + 8]) == wide[begin + 8 * i : begin + 8 * i + 8]
-    assert len(set(seen.values())) == len(seen) > 500 and xxhash.xxh64(wide).digest() == xxhash.xxh64(b"".join(toxicity.widened_windows([[w] for w in own]))).digest()
-    toxic = [w for w in toxicity.windows(own[: len(own) // 3], 3)]
-    ordinary = [w for w in toxicity.windows(own[len(own) // 3 :], 3)]
-    savings = toxicity.Savings(toxicity.trained(ordinary, 4096, 16), toxicity.trained(toxic, 4096, 16))
-    for text in [*texts, " ".join(own)]:
-        words = toxicity.words(text)
-        starts = sorted({*range(0, max(0, len(words) - toxicity.WINDOW), toxicity.STEP), max(0, len(words) - toxicity.WINDOW)}) if words else []
-        one_by_one = [toxicity.widened(words[i : i + toxicity.WINDOW])[0] for i in starts]
-        plain = [savings.alone(w) - savings.both(w) for w in one_by_one]
-        assert list(savings.of_words(words)) == plain and {j for i in starts for j in range(i, i + toxicity.WINDOW)} >= set(range(len(words)))
-        assert savings.features(text)[:6] == [float(np.log1p(sum(s >= step for s in plain))) for step in toxicity.STEPS]
-
-
-def test_toxicity_slices(monkeypatch):
-    """Windows are the same however many words are widened at a time."""
-    own = [f"w{i * i % 97}x" for i in range(500)]
-    savings = toxicity.Savings(*(toxicity.widened(w)[0] for w in (own[:200], own[150:260])))
-    whole = savings.of_words(own), list(toxicity.widened_windows(toxicity.windows(own)))
-    monkeypatch.setattr(toxicity, "SLICE", 7)
-    assert list(savings.of_words(own)) == list(whole[0]) and list(toxicity.widened_windows(toxicity.windows(own))) == whole[1]
-
-
 def test_toxicity_edges(spark, edges, empty):
     none = toxicity.fit_on(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.with_toxicity(edges.withColumn("score", F.lit(9.0)), none).collect()} == {0.0}
