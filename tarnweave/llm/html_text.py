@@ -2,14 +2,19 @@
 
 A page is read into a DOM. Each node gets its number of characters, tags, link characters and link tags, and
 from them the composite density: characters per tag, divided by how much of them is links. The main subtree is
-the node whose children's densities have the largest sum; where it lies in an article element, that article. The
-smallest density on the path from body to it is the threshold that other subtrees beside the path must reach
-to be kept; a level-one heading beside the path is kept at any density. What is kept is rendered whole.
+the node whose children's densities have the largest sum. The smallest density on the path from body to it is the
+threshold that other subtrees beside the path must reach to be kept. Where the main subtree lies in an article element
+that isn't mostly links, what lies beside it in that article is kept too, but for subtrees that are mostly links and
+don't reach the threshold. Level-one headings beside the path are kept at any density, and so are other headings, with
+the paragraphs that follow them, right before it. What is kept is rendered whole.
 
 What is no text of a page by its element (nav, aside, footer, form, script, ...), by its role, or because it is hidden
-isn't weighed. Neither are nodes whose class or id names a kind of boilerplate and nothing else (`ad-box` and
-`cookie-notice`, not `has-sidebar`, `article-header` or `related-work`), unless they hold an article, a main element
-or a level-one heading that isn't so named itself, or nearly all text of the page.
+isn't weighed. A class or id is a weight on its node's density: 0 where it names a kind of boilerplate and nothing else
+(`ad-box`, `comment-thread`, `cookie-notice`; not `has-sidebar`, `article-header` or `related-work`), unless the node holds
+an article, a main element or a level-one heading that isn't so named itself, or nearly all text of the page. Inside an
+article or main element, words that may as well be those of a topic (`share`, `notice`, `related`) weigh AMBIGUOUS_WEIGHT,
+and nothing on single paragraphs and headings: such a node goes if its weighted density reaches neither the threshold nor
+the mean density of the siblings that aren't so named.
 
 Null, empty and tag-less html give an empty text or the plain text; repeated rows are extracted each; very long and
 broken html takes time in proportion to its length; an empty table gives an empty result; other columns, also ones named
@@ -44,8 +49,19 @@ HINTS = frozenset(
     " header masthead footer colophon cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login"
     " comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations pagination pager widget toolbar skip".split()
 )
+#: Hints that inside an article may name its topic, unless they are said to be lists of something.
+AMBIGUOUS = frozenset("share sharing social notice notices related recommended recommendations menu menus".split())
+AMBIGUOUS_WEIGHT = 0.75
+LISTS = frozenset("posts articles links stories news buttons list items".split())
 #: Words that say nothing beside a hint.
-NEUTRAL = frozenset("site page top bottom left right main primary secondary box wrapper wrap container list item items block section bar area slot unit posts articles links stories news form buttons reader user".split())
+NEUTRAL = LISTS | frozenset(
+    "site page top bottom left right main primary secondary box wrapper wrap container item block section bar area slot unit form reader user"
+    " thread col column columns grid row panel module pane tray strip inner".split()
+)
+#: A name that begins so is of readers' comments, whatever follows.
+COMMENTS = frozenset("comment comments disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p li dd dt blockquote pre td th figcaption".split())
 #: Where this share of the page's text or more would go by class and id, the names are of wrappers.
 NEARLY_ALL = 0.9
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -60,14 +76,15 @@ NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
 UNQUOTED = re.compile(r"[^\s>]*")
 WORDS = re.compile(r"[a-z]+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "hinted", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "cut", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, hinted: bool = False):
-        self.tag, self.parent, self.parts, self.cut, self.hinted = tag, parent, [], cut, hinted
+    def __init__(self, tag: str, parent: Node | None, cut: bool, weight: float = 1.0):
+        self.tag, self.parent, self.parts, self.cut, self.weight = tag, parent, [], cut, weight
         self.clear()
 
     def clear(self) -> None:
@@ -139,13 +156,21 @@ class Tokens:
         self.at = end.end() if end else len(self.html)
 
 
-def named_boilerplate(names: str) -> bool:
-    """True where a word of a class or id names boilerplate, and beside that nothing else."""
-    for name in names.lower().split():
-        own = WORDS.findall(name)
-        if not HINTS.isdisjoint(own) and all(w in HINTS or w in NEUTRAL for w in own):
-            return True
-    return False
+def name_weight(names: str, tag: str, in_article: bool) -> float:
+    """Weight that the classes and the id of a node give its density: the least of theirs, 1 where none names boilerplate."""
+    least = 1.0
+    for name in names.split():
+        own = WORDS.findall(HUMP.sub("-", name).lower())
+        if own and own[0] in COMMENTS:
+            return 0.0
+        hints = HINTS.intersection(own)
+        if not hints or not all(w in HINTS or w in NEUTRAL for w in own):
+            continue
+        if in_article and hints <= AMBIGUOUS and LISTS.isdisjoint(own):
+            least = min(least, 1.0 if tag in PARAGRAPHS else AMBIGUOUS_WEIGHT)
+        else:
+            least = 0.0
+    return least
 
 
 def cut_by_element(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
@@ -161,11 +186,13 @@ def parse(html: str) -> Node:
     """DOM of a page; text lies in the nodes' parts as plain strings, without what is in cut elements."""
     root = node = Node("#root", None, False)
     articles, is_open, tokens = 0, Counter(), Tokens(html)
+    mains = set()  # open elements with the role of main
 
     def close(to: Node) -> None:
         nonlocal node, articles
         while node is not to:
-            articles -= node.tag in ("article", "main")
+            articles -= node.tag in ("article", "main") or id(node) in mains
+            mains.discard(id(node))
             is_open[node.tag] -= 1
             node = node.parent
 
@@ -196,15 +223,19 @@ def parse(html: str) -> Node:
                 up = up.parent
         wrapper = tag in ("html", "body", "article", "main")
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}" if attributes else ""
-        hinted = bool(names) and named_boilerplate(names) and (not wrapper or "comment" in names.lower())
-        child = Node(tag, node, node.cut or cut_by_element(tag, attributes, articles > 0), hinted)
+        weighs = names.strip() and (not wrapper or "comment" in names.lower())
+        weight = name_weight(names, tag, articles > 0) if weighs else 1.0
+        child = Node(tag, node, node.cut or cut_by_element(tag, attributes, articles > 0), weight)
         node.parts.append(child)
         if tag in RAW:
             tokens.pass_raw(tag)
         elif tag not in VOID:
             node = child
             is_open[tag] += 1
-            articles += tag in ("article", "main")
+            by_role = tag not in ("article", "main") and attributes.get("role", "").lower() == "main"
+            articles += by_role or tag in ("article", "main")
+            if by_role:
+                mains.add(id(child))
     return root
 
 
@@ -240,6 +271,26 @@ def weigh(nodes: list[Node]) -> None:
         node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.cut)
 
 
+def mostly_links(node: Node) -> bool:
+    return 2 * node.link_chars > node.chars
+
+
+def headed_run(parts: list, at: int) -> list[Node]:
+    """The paragraphs and headings right before parts[at], from the first heading among them on."""
+    run = []
+    for part in reversed(parts[:at]):
+        if isinstance(part, str):
+            if part.strip():
+                break
+        elif not part.cut and part.chars:
+            if part.tag not in HEADINGS and part.tag != "p" or mostly_links(part):
+                break
+            run.append(part)
+    while run and run[-1].tag == "p":
+        run.pop()
+    return run
+
+
 def rendered(node: Node, keep: set[int] | None) -> str:
     """Blocks of text in page order, one space between them. keep: ids of the subtrees that stay, None for all."""
     blocks, words = [], []
@@ -269,17 +320,17 @@ def rendered(node: Node, keep: set[int] | None) -> str:
 
 
 def cut_named(root: Node) -> None:
-    """Cut the nodes that are named boilerplate, but for wrappers of the page's content."""
+    """Cut the nodes that weigh nothing by name, but for wrappers of the page's content."""
     nodes = ordered(root)
     weigh(nodes)
     holds = set()
     for node in nodes:
-        if node.tag in ("article", "main", "h1") and not node.hinted and node.chars:
+        if node.tag in ("article", "main", "h1") and node.weight and node.chars:
             up = node.parent
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-    named = {id(n) for n in nodes if n.hinted and 0 < n.chars < NEARLY_ALL * root.chars and id(n) not in holds}
+    named = {id(n) for n in nodes if not n.weight and 0 < n.chars < NEARLY_ALL * root.chars and id(n) not in holds}
     while True:
         outer, inside = [], set()
         for node in nodes:  # parents come first
@@ -312,20 +363,30 @@ def main_text(html: str | None) -> str:
     best = max(nodes, key=lambda n: n.total)
     if not best.total:
         return rendered(root, None)
-    up, article = best, None
-    while up is not None:
-        article = up if up.tag == "article" else article
-        up = up.parent
-    best = article or best
     path, up = [], best
     while up is not None:
         path.append(up)
         up = up.parent
     on_path = {id(n) for n in path}
     threshold = min(n.density for n in path if n.tag not in ("#root", "html") or n is best)
-    keep = {id(best)}
-    for node in path[1:]:
-        keep |= {id(p) for p in node.parts if isinstance(p, Node) and not p.cut and id(p) not in on_path and (p.density >= threshold or p.tag == "h1")}
+    least: dict[int, float] = {}  # for a parent, what its children with ambiguous names must reach
+    for node in nodes:
+        if 0 < node.weight < 1 and id(node) not in on_path:
+            if id(node.parent) not in least:
+                plain = [p.density for p in node.parent.parts if isinstance(p, Node) and p.weight == 1 and p.chars and not p.cut]
+                least[id(node.parent)] = min(threshold, sum(plain) / len(plain) if plain else threshold)
+            node.cut |= node.weight * node.density < least[id(node.parent)]
+    articles = [at for at, n in enumerate(path) if n.tag == "article" and not mostly_links(n)]
+    inside = articles[-1] if articles else 0
+    keep = {id(path[inside])}
+    for at, node in enumerate(path[1:], 1):
+        beside = [p for p in node.parts if isinstance(p, Node) and not p.cut and id(p) not in on_path]
+        if at <= inside:
+            for p in beside:
+                p.cut = p.tag in BLOCKS and p.tag not in PARAGRAPHS and p.link_tags > 1 and mostly_links(p) and p.density < threshold
+        else:
+            keep |= {id(p) for p in beside if p.density >= threshold or p.tag == "h1"}
+            keep |= {id(p) for p in headed_run(node.parts, node.parts.index(path[at - 1]))}
     return rendered(root, keep)
 
 

@@ -73,6 +73,19 @@ MORE_PAGES = {
     f"<body><div hidden>{LONG_P}</div><section>{LONG_P}</section><aside>{LONG_P}</aside></body>": STORY,
     f"<body><div id=a><div id=b>{LONG_P}<script>if (a<b) document.write('<p>no</p>')</script></div></div><div role=navigation>Links</div></body>": STORY,
     f"<body><h1>Head</h1><div>{LONG_P}</div></body>": f"Head {STORY}",
+    # names are weights, and densities decide
+    f"<article>{LONG_P}<div class='comment-thread'><p>Great story, I enjoyed every word of it, thank you.</p></div></article>": STORY,
+    f"<article>{LONG_P}<div id=commentThread><p>Great story, I enjoyed every word of it, thank you.</p></div></article>": STORY,
+    f"<article>{LONG_P}<div class='related-articles-grid'><p>Ten more stories that you may like to read as well.</p></div></article>": STORY,
+    f"<body><div class='sidebar-left-col'><p>The weather will be fine on most days of this week.</p></div><div>{LONG_P}</div></body>": STORY,
+    f"<body><div role=main><p class='notice'>Notice of the meeting.</p>{LONG_P}</div></body>": f"Notice of the meeting. {STORY}",
+    f"<article>{LONG_P}<section id='share'><p>The share of the market rose by a tenth in the first three months of the year.</p></section></article>": f"{STORY} The share of the market rose by a tenth in the first three months of the year.",
+    f"<article>{LONG_P}<div class='share'><a href=1>Post</a> <a href=2>Mail</a> <a href=3>Link</a></div></article>": STORY,
+    f"<body><h2>Head</h2><p>Intro short.</p><div>{LONG_P}</div><p>End.</p></body>": f"Head Intro short. {STORY}",
+    f"<body><p>Advertisement</p><h2>Head</h2><div>{LONG_P}</div></body>": f"Head {STORY}",
+    f"<body><h2>Latest</h2><ul><li><a href=1>One link</a><li><a href=2>Other link</a></ul><div>{LONG_P}</div></body>": STORY,
+    f"<article>loose text <a href=1>a link</a> <div>{LONG_P}</div><div><a href=1>One link of a list</a><a href=2>Another link of it</a></div></article>": f"loose text a link {STORY}",
+    f"<body><article><p><a href=1>First teaser</a></p><p><a href=2>Second teaser</a></p></article><div>{LONG_P}</div></body>": STORY,
     "a < b <3 &lt;": "a < b <3 <", "<p>open <b>text": "open text", "<!-- x": "", "text<!-- x": "text",
 }
 
@@ -82,7 +95,7 @@ def test_main_text_of(html):
     assert html_text.main_text(html) == MORE_PAGES[html]
 
 
-@pytest.mark.parametrize("unit", ['<a "', "<div class='", "<p>x<i>", "<li>", "<!--", "<a href=x", "<script>", "<div class=ad>x", "</b><i>"])
+@pytest.mark.parametrize("unit", ['<a "', "<div class='", "<p>x<i>", "<li>", "<!--", "<a href=x", "<script>", "<div class=ad>x", "</b><i>", "<main><p>x</p><div class=share>y</div>", "<h2>x</h2>"])
 def test_broken_html_takes_linear_time(unit):
     import time
 
