@@ -5,7 +5,8 @@ graph of its own, and every shard of the label is queried with every vector of t
 block's links are audited: AUDIT_ROWS at a time, its vectors are compared with the whole shard until AUDIT_LINKED
 of them have links, and while less than AUDIT_RECALL of a vector's true links, in the mean of these, join vectors
 that the search has joined, the beams are doubled; once a beam would be EXACT_SHARE of the shard, all its vectors are
-compared instead. The recall measured (null where the audited vectors have no links) is written beside the links. Equal
+compared instead. So they are where AUDIT_MOST vectors don't hold that many with links, as such a sample proves no
+recall. The recall (null in a block whose vectors were all audited and have no links) is written beside the links. Equal
 vectors are one node. Links are verified by cosine in double precision, united to components over all shards, and the
 links of a node are then counted exactly inside its component, block against block, each node as often as it has vectors.
 
@@ -208,11 +209,11 @@ def near_pairs(queries: np.ndarray, indexed: np.ndarray, threshold: float) -> tu
 
 
 def linked(graph: Graph, indexed: np.ndarray, queries: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, float | None]:
-    """Root of each node (queries first, then indexed; of the same vectors if same), and the audit's recall, None without links. Arguments of double precision and length one."""
+    """Root of each node (queries first, then indexed; of the same vectors if same), and the audit's recall, None where all queries were audited and none has links. Arguments of double precision and length one."""
     shift = 0 if same else len(queries)
     n = shift + len(indexed)
     order = np.random.default_rng(len(queries)).permutation(len(queries))
-    parts, having = [], 0
+    parts, having, proven = [], 0, True
     for at in range(0, len(order), AUDIT_ROWS):  # on until enough vectors have links
         sample = order[at : at + AUDIT_ROWS]
         q, i = np.nonzero(queries[sample] @ indexed.T >= threshold)
@@ -221,13 +222,16 @@ def linked(graph: Graph, indexed: np.ndarray, queries: np.ndarray, same: bool, t
             q, i = q[q != i], i[q != i]
         parts.append((q, i))
         having += len(np.unique(q))
-        if having >= AUDIT_LINKED or at + AUDIT_ROWS >= AUDIT_MOST:
+        if having >= AUDIT_LINKED:
+            break
+        if AUDIT_MOST <= at + AUDIT_ROWS < len(order):
+            proven = False
             break
     true_a, true_b = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, int), np.empty(0, int))
     _, place, links = np.unique(true_a, return_inverse=True, return_counts=True)
     beam = BEAM
     while True:
-        exact = beam >= EXACT_SHARE * len(indexed)
+        exact = not proven or beam >= EXACT_SHARE * len(indexed)
         if exact:
             a, b = near_pairs(queries, indexed, threshold)
         else:
@@ -238,7 +242,7 @@ def linked(graph: Graph, indexed: np.ndarray, queries: np.ndarray, same: bool, t
             a, b = a[keep], b[keep]
         root = roots_of(a, b + shift, n)
         # each vector counts once, however many links it has
-        recall = float((np.bincount(place, root[true_a] == root[true_b + shift]) / links).mean()) if len(links) else None
+        recall = 1.0 if not proven else float((np.bincount(place, root[true_a] == root[true_b + shift]) / links).mean()) if len(links) else None
         if exact or recall is None or recall >= AUDIT_RECALL:
             return root, recall
         beam *= 2
@@ -291,7 +295,7 @@ def vector_links(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: int
 
 
 def audit_of(found: DataFrame) -> DataFrame:
-    """label, dim, shard, block and recall of each block searched, from vector_links' table; recall is null where no audited vector had links."""
+    """label, dim, shard, block and recall of each block searched, from vector_links' table; recall is null where no vector had links."""
     return found.where("a IS NULL").select("label", "dim", "shard", "block", F.nanvl("recall", F.lit(None).cast("double")).alias("recall"))
 
 

@@ -1,6 +1,7 @@
 """The recall audit of op8 and copies of a vector."""
 
 import numpy as np
+import pytest
 from tarnweave.llm import vector_graph
 from tarnweave.llm.common import materialise
 
@@ -43,6 +44,22 @@ def test_exact_beyond_a_share_of_the_shard():
     assert recall == 1 and (root == vector_graph.roots_of(*np.nonzero(v @ v.T >= 0.6), 90)).all()
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_of_few_links_are_compared_exactly(same, monkeypatch):
+    """The audited vectors have no links, others have, and the graph finds none of them."""
+    monkeypatch.setattr(vector_graph, "AUDIT_MOST", 128)
+    v = np.random.default_rng(7).normal(size=(600, 64))
+    free = np.random.default_rng(600).permutation(600)[128:]  # as linked() draws: not audited
+    for a, b in zip(free[:3], free[3:6]):
+        v[b] = v[a] + 0.001 * v[b]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w = v if same else v[free[:3]]
+    root, recall = vector_graph.linked(Narrow(w.astype(np.float32)), w, v, same, 0.98)
+    a, b = np.nonzero(v @ w.T >= 0.98)
+    assert recall == 1 and (root == vector_graph.roots_of(a, b if same else b + 600, len(root))).all()
+    assert len(set(root)) == 597
+
+
 def test_recall_is_written_for_each_block(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(400, 16))
