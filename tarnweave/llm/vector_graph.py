@@ -41,6 +41,8 @@ AUDIT_ROWS, AUDIT_RECALL = 128, 0.99
 AUDIT_LINKED, AUDIT_MOST = 32, 2048
 #: Share of a shard beyond which comparing everything is cheaper than a beam.
 EXACT_SHARE = 0.25
+#: Most tasks that search.
+SEARCH_TASKS = 100_000
 #: Nodes of a block in the exact count.
 COUNT_ROWS = 2048
 
@@ -290,6 +292,9 @@ def vector_links(rows: DataFrame, threshold: float = THRESHOLD, shard_rows: int
 
     # every shard of a label meets every block of its vectors; a row here is a shard and a block, by the names of their files
     pairs = indexes.join(blocks, ["label", "dim"])
+    # rows of a few bytes, seconds of work each: dealt by number, as partitions would be merged by their bytes into one task
+    n = indexes.groupBy("label", "dim").agg((F.count("*") * F.count("*")).alias("n")).agg(F.sum("n")).first()[0]
+    pairs = pairs.repartition(min(n or 1, SEARCH_TASKS), "label", "dim", "shard", "block")
     found = pairs.groupBy("label", "dim", "shard", "block").applyInPandas(search, f"a long, b long, recall double, label {label}, dim int, shard long, block long")
     return materialise(found, "links")
 
