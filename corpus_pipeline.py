@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnweave.llm.common import byte_bpe_path, materialise, table
+from tarnweave.llm.common import byte_bpe_path, materialise, only_rows, table
 from tarnweave.llm.language_id import identify_documents, learn
 from tarnweave.llm.mixing import mix_sources
 from tarnweave.llm.near_copies import near_copy_classes
@@ -28,7 +28,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of the numbered docs whose row number is in kept(row_no)."""
-    return docs.join(kept, "row_no", "left_semi").select(*COLUMNS)
+    return only_rows(docs, materialise(kept, "kept")).select(*COLUMNS)
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:

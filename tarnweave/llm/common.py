@@ -39,6 +39,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bitmaps of 4 KB, each of 32 768 row numbers, that are broadcast at most: 32 MB, or 268 million rows numbered without gaps.
+MOST_BITMAPS = 8192
+
+
+def only_rows(rows: DataFrame, kept: DataFrame, key: str = "row_no", most: int = MOST_BITMAPS) -> DataFrame:
+    """The rows whose key, a long, is in kept(key), a table.
+
+    Row numbers that lie close together are broadcast as bitmaps, a bit for each row, so that the rows themselves aren't shuffled;
+    those that need more than `most` bitmaps are joined.
+    """
+    bucket, place = F.bitmap_bucket_number(F.col(key)), F.bitmap_bit_position(F.col(key))
+    if kept.select(bucket).distinct().count() > most:
+        return rows.join(kept, key, "left_semi")
+    bitmaps = materialise(kept.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(place).alias("__bits")), "bitmaps")
+    octet = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = octet.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
+    return rows.withColumn("__bucket", bucket).join(F.broadcast(bitmaps), "__bucket").where(held).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,8 +4,11 @@ Equal sets are one node. Candidates come from operator 4's ball hashing of SimHa
 sets of similarity 0.8 differ in about ten of 64 bits, beyond the reach of any ball, from MinHash bands as well: a pair at
 the least similarity shares one of BANDS bands of ROWS minima with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999, more
 similar pairs sooner. All candidates are verified by their exact sets. First each node is held against the smallest of its
-ball and of each of its bands, then, within bands that still span several components, every pair of nodes of
-different components; so no group is compared with itself twice, and no link between two candidates is left out.
+ball and of each of its bands. Nodes in bands that still span several components are then compared with each other by
+prefixes: with all shingles in one order, rare ones first, two sets of similarity 0.8 share one among the first ninth (and one more) of
+the smaller and the first fifth (and one more) of the larger. So every pair of these nodes that can be similar and lies in
+different components is verified, while sets around one common passage, or edits of one text, that are too far apart mostly
+share no shingle that rare and are not paired.
 
 Words are as in simhash; a shorter text is one shingle; texts without words are equal; nulls are empty.
 """
@@ -14,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, text_batches
+from .common import connected_components, materialise, only_rows, text_batches
 from .simhash import ball_links, majority_bits, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -78,10 +81,14 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(hashes, "node long, hashes binary")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar; pairs should be a table."""
-    needed = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    sets = materialise(_sets(rows.join(needed, key, "left_semi"), key, text), "sets")
+def _sets_of(nodes: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Table of node and hashes (its shingle set) for the given nodes(node)."""
+    needed = materialise(nodes.select(F.col("node").alias(key)).distinct(), "needed")
+    return materialise(_sets(only_rows(rows, needed, key), key, text), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
 
     def verify(batches):
@@ -93,6 +100,45 @@ def _verified(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFra
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def near(m: Column, n: Column) -> Column:
+    """Whether sets of m and n shingles can be similar."""
+    return F.least(m, n) * LEAST[1] >= F.greatest(m, n) * LEAST[0]
+
+
+def prefix_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components among the sets(node, hashes): all that are similar, and few others.
+
+    Shingles are ordered by the number of sets that hold them, then by value. A similar pair of sizes m <= n has 4/9 (m + n) shingles
+    in common at least, so 8/9 of the smaller and 4/5 of the larger; hence their first common shingle is not beyond place m - 8/9 m
+    of the one and n - 4/5 n of the other, and after it enough of either is left. parts: node, component.
+    """
+
+    def shingles(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("node")[i].as_py())), pa.array(own)], ["node", "shingle"])
+
+    every = sets.select("node", "hashes").mapInArrow(shingles, "node long, shingle long")
+    every = materialise(every, "shingles")
+    shared = every.groupBy("shingle").agg(F.count("*").alias("owners")).where("owners > 1")
+    ranked = every.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("owners", "shingle"))).alias("ranked"))
+    sizes = sets.select("node", (F.length("hashes") / 8).cast("long").alias("n")).join(parts, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    # shingles of one set only come first and can't be common: they shift the places of the others
+    least = F.ceil(F.col("n") * LEAST[0] / LEAST[1])
+    placed = ranked.join(sizes, "node").withColumn("alone", F.col("n") - F.size("ranked"))
+    prefix = placed.select("node", "n", "component", "alone", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.col("n") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))).alias("i", "own"))
+    prefix = materialise(prefix.select(F.col("own.shingle").alias("shingle"), "node", "n", "component", (F.col("alone") + F.col("i")).alias("place")), "prefixes")
+    # in twice the least similarity over one plus it, 8/9, of the smaller
+    short = prefix.where(F.col("n") - F.col("place") >= F.ceil(F.col("n") * (2 * LEAST[0]) / (LEAST[0] + LEAST[1])))
+    a, b = short.alias("a"), prefix.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    able = near(F.col("a.n"), F.col("b.n")) & (left * (LEAST[0] + LEAST[1]) >= (F.col("a.n") + F.col("b.n")) * LEAST[0])
+    ordered = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
+    found = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & ordered & able)
+    return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def _ball_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b: each node with the smallest of its fingerprint, and these where two fingerprints lie in one ball."""
     least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "fingerprints")
@@ -112,19 +158,17 @@ def near_copy_classes(rows: DataFrame, key: str = "row_no", text: str = "text",
     entries = nodes.select("node", "n", F.explode("bands").alias("band"))
     hubs = entries.groupBy("band").agg(F.count("*").alias("owners"), F.min(F.struct("node", "n")).alias("hub")).where("owners > 1")
     entries = materialise(entries.join(hubs, "band").select("band", "node", "n", "hub"), "bands")
-    near = lambda m, n: F.least(m, n) * LEAST[1] >= F.greatest(m, n) * LEAST[0]
     first = entries.where((F.col("hub.node") < F.col("node")) & near(F.col("hub.n"), F.col("n")))
     first = first.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     first = materialise(first.unionByName(_ball_pairs(nodes)).distinct(), "first-pairs")
-    links = materialise(_verified(first, rows, key, text), "first-links")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    links = materialise(_verified(first, _sets_of(ends(first), rows, key, text)), "first-links")
     parts = connected_components(links)
-    owned = entries.select("band", "node", "n").join(parts, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    owned = entries.select("band", "node").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     spread = owned.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    owned = materialise(owned.join(spread, "band", "left_semi"), "open-bands")
-    a, b = owned.alias("a"), owned.alias("b")
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & near(F.col("a.n"), F.col("b.n")))
-    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(_verified(materialise(rest, "pairs"), rows, key, text), "links")
+    sets = _sets_of(owned.join(spread, "band", "left_semi"), rows, key, text)
+    rest = materialise(prefix_pairs(sets, parts).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = materialise(_verified(rest, sets), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
     named = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

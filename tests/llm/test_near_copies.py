@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as cp
 import pytest
 from tarnweave.llm import near_copies
-from tarnweave.llm.common import materialise
+from tarnweave.llm.common import materialise, only_rows
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,3 +55,41 @@ def test_stage_leaves_one_of_each_group(spark, data, source):
 
 def test_no_rows(spark):
     assert near_copies.near_copy_classes(materialise(spark.createDataFrame([], "row_no long, text string"), "none")).count() == 0
+
+
+def test_edits_too_far_apart_are_not_paired(spark, monkeypatch):
+    """Many edits of one text that share bands, but are no near copies: few pairs of them, and every group is found."""
+    r = random.Random(3)
+    base = ["w%d" % r.randrange(5000) for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        own = list(base)
+        for at in r.sample(range(2, 148), r.randrange(2, 7)):
+            own[at] = "e%d" % r.randrange(10**6)
+        texts.append(" ".join(own))
+        if i % 20 == 0:
+            own[r.randrange(150)] = "z"
+            texts.append(" ".join(own))
+    made, real = {}, near_copies.materialise
+
+    def counted(df, name):
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    rows = materialise(spark.createDataFrame(list(enumerate(texts)), "row_no long, text string"), "rows")
+    found = {x.row_no: x.component_id for x in near_copies.near_copy_classes(rows).collect()}
+    assert [found[i] for i in range(len(texts))] == components(texts)
+    assert made["pairs"].count() < 3 * len(texts)  # thousands when all nodes of a band are paired
+
+
+@pytest.mark.parametrize("most", [8192, 0])
+def test_rows_are_kept_by_number(spark, most):
+    numbers = [-70000, -1, 0, 1, 7, 8, 32767, 32768, 32769, 1 << 40, (1 << 40) + 5, (1 << 62) + 3]
+    rows = materialise(spark.createDataFrame([(n, str(n)) for n in numbers for _ in range(2)], "row_no long, text string"), "rows")
+    for kept in (numbers[::2], numbers[1::2], numbers, []):
+        table = materialise(spark.createDataFrame([(n,) for n in kept], "row_no long"), "kept")
+        left = only_rows(rows, table, most=most)
+        assert sorted((x.row_no, x.text) for x in left.collect()) == sorted((n, str(n)) for n in kept for _ in range(2))
+        if most:
+            assert "SortMergeJoin" not in left._jdf.queryExecution().toString()
