@@ -4,11 +4,12 @@ Equal sets are one node. Candidates come from operator 4's ball hashing of SimHa
 sets of similarity 0.8 differ in about ten of 64 bits, beyond the reach of any ball, from MinHash bands as well: a pair at
 the least similarity shares one of BANDS bands of ROWS minima with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999, more
 similar pairs sooner. All candidates are verified by their exact sets. First each node is held against the smallest of its
-ball and of each of its bands. Nodes in bands that still span several components are then compared with each other by
-prefixes: with all shingles in one order, rare ones first, two sets of similarity 0.8 share one among the first ninth (and one more) of
-the smaller and the first fifth (and one more) of the larger. So every pair of these nodes that can be similar and lies in
-different components is verified, while sets around one common passage, or edits of one text, that are too far apart mostly
-share no shingle that rare and are not paired.
+ball and of each of its bands. Nodes in bands that still span several components form the
+group of the band's hub. Each is taken by the shingles in which it differs from the group's centre, the shingles that over half
+of the group hold. Two nodes that differ little enough from the centre are similar without a comparison, and are linked with the one that differs
+least; any others that are similar have such a shingle in common, and an early one with rare ones first. So every pair of a group that can be
+similar and lies in different components is verified, while edits of one text that are too far apart, or sets around one
+passage, differ from the centre in shingles of their own and mostly are not paired.
 
 Words are as in simhash; a shorter text is one shingle; texts without words are equal; nulls are empty.
 """
@@ -105,37 +106,69 @@ def near(m: Column, n: Column) -> Column:
     return F.least(m, n) * LEAST[1] >= F.greatest(m, n) * LEAST[0]
 
 
-def prefix_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components among the sets(node, hashes): all that are similar, and few others.
-
-    Shingles are ordered by the number of sets that hold them, then by value. A similar pair of sizes m <= n has 4/9 (m + n) shingles
-    in common at least, so 8/9 of the smaller and 4/5 of the larger; hence their first common shingle is not beyond place m - 8/9 m
-    of the one and n - 4/5 n of the other, and after it enough of either is left. parts: node, component.
-    """
+def group_deltas(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members(hub, node) with n (the size of the node's set), d and delta: the shingles in which it differs from the centre of its hub's
+    group, that is from the shingles that over half of the group hold."""
 
     def shingles(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 own = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("node")[i].as_py())), pa.array(own)], ["node", "shingle"])
-
-    every = sets.select("node", "hashes").mapInArrow(shingles, "node long, shingle long")
-    every = materialise(every, "shingles")
-    shared = every.groupBy("shingle").agg(F.count("*").alias("owners")).where("owners > 1")
-    ranked = every.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("owners", "shingle"))).alias("ranked"))
-    sizes = sets.select("node", (F.length("hashes") / 8).cast("long").alias("n")).join(parts, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
-    # shingles of one set only come first and can't be common: they shift the places of the others
-    least = F.ceil(F.col("n") * LEAST[0] / LEAST[1])
-    placed = ranked.join(sizes, "node").withColumn("alone", F.col("n") - F.size("ranked"))
-    prefix = placed.select("node", "n", "component", "alone", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.col("n") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))).alias("i", "own"))
-    prefix = materialise(prefix.select(F.col("own.shingle").alias("shingle"), "node", "n", "component", (F.col("alone") + F.col("i")).alias("place")), "prefixes")
-    # in twice the least similarity over one plus it, 8/9, of the smaller
-    short = prefix.where(F.col("n") - F.col("place") >= F.ceil(F.col("n") * (2 * LEAST[0]) / (LEAST[0] + LEAST[1])))
-    a, b = short.alias("a"), prefix.alias("b")
-    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    able = near(F.col("a.n"), F.col("b.n")) & (left * (LEAST[0] + LEAST[1]) >= (F.col("a.n") + F.col("b.n")) * LEAST[0])
-    ordered = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
-    found = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & ordered & able)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("hub")[i].as_py())), pa.array(own)], ["hub", "shingle"])
+
+    def differences(batches):
+        for batch in batches:
+            rows = [[], [], []]
+            for own, centre in zip(batch.column("hashes"), batch.column("centre")):
+                own = np.frombuffer(own.as_buffer(), np.int64)
+                delta = np.setxor1d(own, centre.values.to_numpy() if centre.is_valid else own[:0], assume_unique=True)
+                for column, value in zip(rows, (len(own), len(delta), delta)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node"), *map(pa.array, rows[:2]), pa.array(rows[2], pa.list_(pa.int64()))], ["hub", "node", "n", "d", "delta"])
+
+    held = materialise(members.join(sets, "node").select("hub", "node", "hashes"), "members")
+    sizes = members.groupBy("hub").agg(F.count("*").alias("size"))
+    owners = held.select("hub", "hashes").mapInArrow(shingles, "hub long, shingle long").groupBy("hub", "shingle").agg(F.count("*").alias("owners"))
+    centres = owners.join(sizes, "hub").where("2 * owners > size").groupBy("hub").agg(F.collect_list("shingle").alias("centre"))
+    return materialise(held.join(centres, "hub", "left").select("hub", "node", "hashes", "centre").mapInArrow(differences, "hub long, node long, n long, d long, delta array<long>"), "deltas")
+
+
+def sure_links(deltas: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all nodes of a group whose differences are so small together that they are similar, whichever shingles these are.
+
+    Two such nodes have slacks of at least zero together, so both have with the node of the group's greatest slack.
+    """
+    slack = deltas.select("hub", "node", (F.col("n") * (LEAST[1] - LEAST[0]) - F.col("d") * (LEAST[0] + LEAST[1])).alias("slack"))
+    best = slack.groupBy("hub").agg(F.max(F.struct("slack", "node")).alias("best"))
+    return slack.join(best, "hub").where((F.col("slack") + F.col("best.slack") >= 0) & (F.col("node") != F.col("best.node"))).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
+
+
+def delta_pairs(deltas: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components in one group: all that are similar and not under sure_links, and few others.
+
+    Sets of sizes m and n are similar if they differ in (m + n) / 9 shingles or fewer, and they differ where one delta and not the other has a
+    shingle. So the deltas of a similar pair have a shingle in common, unless they have (m + n) / 9 together or fewer, and with all in one order, rare
+    ones first, (m + n) / 9 others or fewer come before the first common one. Shingles of one component's deltas only can't be common:
+    they come first and shift the places of the others. parts: node, component.
+    """
+    named = deltas.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = named.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub")
+    named = materialise(named.join(spread, "hub", "left_semi"), "open-deltas")
+    every = named.select("hub", "node", "component", F.explode("delta").alias("shingle"))
+    shared = every.groupBy("hub", "shingle").agg(F.count("*").alias("owners"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "shingle", "owners")
+    ranked = every.join(shared, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("owners", "shingle"))).alias("ranked"))
+    placed = named.drop("delta").join(ranked, ["hub", "node"]).withColumn("before", F.col("d") - F.size("ranked"))
+    part, whole = LEAST[1] - LEAST[0], LEAST[0] + LEAST[1]
+    # of a larger set, 5/4 of this one at most, and this one together
+    most = F.floor(F.col("n") * part / LEAST[0])
+    prefix = placed.select("hub", "node", "n", "d", "component", "before", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(most + 1 - F.col("before"), F.lit(0)).cast("int"))).alias("i", "own"))
+    prefix = materialise(prefix.select("hub", F.col("own.shingle").alias("shingle"), "node", "n", "d", "component", (F.col("before") + F.col("i")).alias("place")), "prefixes")
+    a, b = prefix.where(F.col("place") * 2 <= most).alias("a"), prefix.alias("b")
+    left = F.least(F.col("a.d") - F.col("a.place"), F.col("b.d") - F.col("b.place"))
+    total = (F.col("a.n") + F.col("b.n")) * part
+    able = near(F.col("a.n"), F.col("b.n")) & ((F.col("a.place") + F.col("b.place")) * whole <= total) & ((F.col("a.d") + F.col("b.d") - 2 * left) * whole <= total)
+    ordered = F.struct("a.place", "a.node") < F.struct("b.place", "b.node")
+    found = a.join(b, (F.col("a.hub") == F.col("b.hub")) & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & ordered & able)
     return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
@@ -164,10 +197,14 @@ def near_copy_classes(rows: DataFrame, key: str = "row_no", text: str = "text",
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     links = materialise(_verified(first, _sets_of(ends(first), rows, key, text)), "first-links")
     parts = connected_components(links)
-    owned = entries.select("band", "node").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    owned = entries.select("band", "node", F.col("hub.node").alias("hub")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = owned.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    sets = _sets_of(owned.join(spread, "band", "left_semi"), rows, key, text)
-    rest = materialise(prefix_pairs(sets, parts).join(first, ["a", "b"], "left_anti"), "pairs")
+    members = materialise(owned.join(spread, "band", "left_semi").select("hub", "node").distinct(), "groups")
+    sets = _sets_of(members.select("node"), rows, key, text)
+    deltas = group_deltas(members, sets)
+    links = materialise(links.unionByName(sure_links(deltas)), "sure-links")
+    parts = connected_components(links)
+    rest = materialise(delta_pairs(deltas, parts).join(first, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_verified(rest, sets), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))

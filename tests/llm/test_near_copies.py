@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 from tarnweave.llm import near_copies
 from tarnweave.llm.common import materialise, only_rows
@@ -83,6 +84,62 @@ def test_edits_too_far_apart_are_not_paired(spark, monkeypatch):
     assert made["pairs"].count() < 3 * len(texts)  # thousands when all nodes of a band are paired
 
 
+def test_similar_edits_of_a_missing_text_are_not_all_paired(spark, monkeypatch):
+    """Edits of one text that isn't there, many of them similar: a link for each, and pairs of those with edits in common only."""
+    r = random.Random(11)
+    base = ["w%d" % r.randrange(5000) for _ in range(150)]
+    texts = []
+    for i in range(400):
+        own = list(base)
+        for at in r.sample(range(2, 148), 1 + i % 3 if i > 3 else 4):  # the first, and so the hubs, are the furthest
+            own[at] = "e%d" % r.randrange(10**6)
+        texts.append(" ".join(own))
+    made, real = {}, near_copies.materialise
+
+    def counted(df, name):
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    rows = materialise(spark.createDataFrame(list(enumerate(texts)), "row_no long, text string"), "rows")
+    found = {x.row_no: x.component_id for x in near_copies.near_copy_classes(rows).collect()}
+    assert [found[i] for i in range(len(texts))] == components(texts)
+    assert made["pairs"].count() < 5 * len(texts)
+
+
+def test_group_links_are_whole(spark):
+    """Sets around two centres and none, of several sizes: every similar pair of a group ends in one component."""
+    r = random.Random(5)
+    centres, groups, sets = [r.sample(range(10**6), n) for n in (9, 40, 120)], {}, {}
+    for node in range(300):
+        own = list(centres[node % 3])
+        for _ in range(r.randrange(len(own) // 4 + 1)):
+            own[r.randrange(len(own))] = r.choice([r.randrange(10**6), r.randrange(30)])
+        own += r.sample(range(30), r.randrange(len(own) // 6 + 1))
+        sets[node] = set(own)
+        for hub in {0: (1, 2), 1: (1,), 2: (2, 3)}[node % 3]:
+            groups.setdefault(hub, []).append(node)
+    frame = lambda rows, schema, name: materialise(spark.createDataFrame(rows, schema), name)
+    tables = frame([(k, bytearray(np.array(sorted(x), np.int64).tobytes())) for k, x in sets.items()], "node long, hashes binary", "sets")
+    members = frame([(h, k) for h, nodes in groups.items() for k in nodes], "hub long, node long", "groups")
+    deltas = near_copies.group_deltas(members, tables)
+    sure = {(x.a, x.b) for x in near_copies.sure_links(deltas).collect()}
+    similar = lambda a, b: len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])
+    assert sure and all(similar(a, b) for a, b in sure)
+
+    def joined(links):
+        root = list(range(len(sets)))
+        for _ in sets:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    parts = frame(list(enumerate(joined(sure))), "node long, component long", "parts")
+    pairs = {(x.a, x.b) for x in near_copies.delta_pairs(deltas, parts).collect()}
+    every = {(a, b) for nodes in groups.values() for a in nodes for b in nodes if a < b and similar(a, b)}
+    assert joined(sure | {x for x in pairs if similar(*x)}) == joined(every)
+
+
 @pytest.mark.parametrize("most", [8192, 0])
 def test_rows_are_kept_by_number(spark, most):
     numbers = [-70000, -1, 0, 1, 7, 8, 32767, 32768, 32769, 1 << 40, (1 << 40) + 5, (1 << 62) + 3]
