@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -148,6 +150,20 @@ def kept(key, make):
     return _kept[1]
 
 
+def give_back(memo: bool = True) -> None:
+    """Hand this worker's unused memory back to the system and, with `memo`, what kept() holds: workers outlive their tasks and share
+    an executor's memory with stages that have no use for it."""
+    import pyarrow as pa
+
+    if memo:
+        _kept[:] = [None, None]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # long strings lay on malloc's heap, of which only the top is returned unasked; other systems than glibc's have no such call
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for a Python worker, so its memo serves all tasks that the worker runs."""
     return kept(("encoder", path), lambda: Encoder(path))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, only_rows, text_batches
+from .common import connected_components, give_back, materialise, only_rows, text_batches
 from .simhash import ball_links, majority_bits, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -63,11 +63,14 @@ def with_sketches(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     def sketch(batches):
         import xxhash
 
+        give_back()  # an earlier stage's memo, which would stay beside all that follows
         for batch in batches:
             for some in text_batches(batch, "__text"):
                 every = [shingle_hashes(t, SHINGLE_WORDS, SEED) for t in some["__text"].tolist()]
                 sets, fp = [np.unique(h) for h in every], np.array([majority_bits(h) for h in every], np.uint64).view(np.int64)
                 yield some.drop(columns="__text").assign(digest=[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], n=[len(s) for s in sets], fp=fp, bands=[bands(s) for s in sets])
+        every = sets = fp = some = batch = None
+        give_back()
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", digest binary, n long, fp long, bands array<long>"
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(sketch, schema)
@@ -78,6 +81,8 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for some in text_batches(batch, "__text"):
                 yield some[["node"]].assign(hashes=[shingle_set(t).tobytes() for t in some["__text"].tolist()])
+        some = batch = None
+        give_back()
 
     return df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(hashes, "node long, hashes binary")
 

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, materialise, table, text_batches
+from .common import give_back, kept, materialise, table, text_batches
 
 SAMPLE_DOCS, SAMPLE_CHARS, STRETCH = 4000, 20_000, 1000
 THRESHOLD = 0.7
@@ -207,13 +207,14 @@ def spread(items: list, most: int) -> list:
 
 def train_both(rows: list[tuple[int, bool, str]]) -> tuple[bytes, bytes] | None:
     """Widened contents of the ordinary and the toxic dictionary, from (label, half, text); None where there is too little to train on."""
-    widen = Widener()
-    ordinary = [w for label, _, text in rows if not label for w in windows(words(text), WINDOW)]
+    widen, same = Widener(), {}
+    own = lambda text: [same.setdefault(w, w) for w in words(text)]  # noqa: E731  each distinct word is held once
+    ordinary = [w for label, _, text in rows if not label for w in windows(own(text), WINDOW)]
     random.Random(6).shuffle(ordinary)
     ordinary = ordinary[:TRAINING_WINDOWS]
     toxic = [[], []]
     for i, text in enumerate(text for label, _, text in rows if label):
-        toxic[i % 2] += windows(words(text), 2)
+        toxic[i % 2] += windows(own(text), 2)
     if not ordinary or not toxic[0] or not toxic[1]:
         return None
     content = trained(ordinary, ORDINARY_BYTES, LONG_SEGMENT, widen)
@@ -265,6 +266,8 @@ def _stretches(batches):
         for some in text_batches(batch, "text"):
             apart = [STRETCH * max(1, -(-len(t) // SAMPLE_CHARS)) for t in some["text"].tolist()]
             yield some.assign(text=[t if n == STRETCH else " ".join(t[i : i + STRETCH] for i in range(0, len(t), n)) for t, n in zip(some["text"].tolist(), apart)])
+    some = batch = None
+    give_back()
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
@@ -282,9 +285,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Mod
     rows = materialise(own.groupBy("h", "toxic").agg(F.min("text").alias("text")), "sample")
 
     def train(batches):
+        give_back()
         got = sorted((r for batch in batches for r in batch[["h", "toxic", "text"]].itertuples(index=False)), key=lambda r: (r.h, r.text))
         half = lambda h: zlib.crc32(f"half{h}".encode()) % 2 == 0
-        yield pd.DataFrame({"model": [pickle.dumps(fit([(r.toxic, half(r.h), r.text) for r in got]), 5)]})
+        model = pickle.dumps(fit([(r.toxic, half(r.h), r.text) for r in got]), 5)
+        del got
+        give_back()
+        yield pd.DataFrame({"model": [model]})
 
     return pickle.loads(rows.coalesce(1).mapInPandas(train, "model binary").first()["model"])
 
@@ -313,6 +320,7 @@ def with_toxicity(df: DataFrame, model: Model, text: str = "text", keep: list[st
         for batch in batches:
             for some in text_batches(batch, "__text"):
                 yield some.drop(columns="__text").assign(score=scores(some["__text"].tolist(), shared.value))
+        give_back(memo=False)  # later tasks find the memo filled
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", score double"
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(score, schema)
