@@ -20,6 +20,14 @@ from tarnweave.llm.toxicity import THRESHOLD, fit_on, with_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Files whose names are broadcast to number their rows.
 MOST_FILES = 100_000
+#: Spark's bound on the bytes of a batch of rows on its way to a Python worker; by itself it counts rows only, 10 000, however long.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Batches of documents are bounded by bytes for the rest of the session, unless it has a bound of its own. No row is left out."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -51,6 +59,7 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; those without a clear language go."""
+    _bound_batches(spark)
     rows = _numbered(docs, "language_id")
     # written first: a filter would be pushed below the fusion and repeat its expressions
     found = materialise(identify_documents(rows, learn(docs), ["row_no"]), "languages")
@@ -59,12 +68,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold."""
+    _bound_batches(spark)
     model = fit_on(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return with_toxicity(_documents(docs), model, keep=COLUMNS).where(F.col("score") < THRESHOLD).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the first row with the smallest doc_id."""
+    _bound_batches(spark)
     rows = _numbered(docs, "simhash_dedup")
     classes = near_copy_classes(rows, keep=("doc_id",))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_no"))
@@ -78,6 +89,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces of the documents: doc_id, piece, start, length, ids_crc32, ids (little-endian uint32), sequence_id, offset."""
+    _bound_batches(spark)
     return pack_documents(docs, byte_bpe_path())
 
 

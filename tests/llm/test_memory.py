@@ -5,6 +5,7 @@ import os
 import pandas as pd
 import pytest
 
+import corpus_pipeline
 from tarnweave.llm import common, toxicity
 from tarnweave.llm.near_copies import shingle_set, with_sketches
 
@@ -46,3 +47,16 @@ def test_training_holds_each_word_once(monkeypatch):
     toxicity.train_both(rows)
     words = [w for samples in got for window in samples for w in window]
     assert len({id(w) for w in words}) == len(set(words))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    own = spark.newSession()
+    docs = own.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 10000) AS text", "'en' AS lang", "'s' AS source", "10000L AS n_chars")
+    corpus_pipeline.best_fit_packing(own, docs, "")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    found = [r.n for r in docs.mapInPandas(sizes, "n long").collect()]
+    assert sum(found) == 3000 and max(found) < 1000
