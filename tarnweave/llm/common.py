@@ -82,23 +82,64 @@ def tokenizer(path: str):
 # The letters and numbers among the usual characters below.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The byte-level tokenizer's own split of a text of usual characters into pieces, which are encoded one by one.
-PIECE = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 #: Texts with other characters, or with what may be a special token, are encoded whole.
 UNUSUAL = re.compile("<\\||[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
 
 
+#: Kinds of UTF-16 units; an unusual one, and the zero that ends a text, has none.
+NONE, SPACE, LETTER, NUMBER, SIGN = range(5)
+
+
+@lru_cache(maxsize=1)
+def unit_kinds():
+    """The kind of each UTF-16 unit as an array of uint8."""
+    import numpy as np
+
+    found = np.zeros(1 << 16, np.uint8)
+    for i in range(0x2100):  # usual characters end before
+        if not UNUSUAL.match(c := chr(i)):
+            found[i] = SPACE if c.isspace() else LETTER if re.match(f"[{LETTERS}]", c) else NUMBER if re.match(f"[{NUMBERS}]", c) else SIGN
+    return found
+
+
+def piece_starts(units, kinds):
+    """Where the pieces start into which the byte-level tokenizer splits texts of usual characters, each ended by a zero, itself a piece:
+
+    's|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?signs|\\s+(?!\\S)|\\s+
+    """
+    import numpy as np
+
+    start = np.empty(len(units), bool)
+    start[:1] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=start[1:])
+    start |= kinds == NONE
+    # the last white space before other characters leaves its run; a blank joins what follows
+    last = (kinds[:-1] == SPACE) & (kinds[1:] > SPACE)
+    start[:-1] |= last
+    start[1:] &= ~(last & (units[:-1] == ord(" ")))
+    marks = np.flatnonzero((units == ord("'")) & start)
+    padded = np.append(units, np.zeros(2, units.dtype))
+    one, two = padded[marks + 1], padded[marks + 2]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = (np.isin(one, [ord(c) for c in "rv"]) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    for some, size in ((marks[short], 2), (marks[long], 3)):
+        start[some + 1] = False
+        start[some + size] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, memoised by piece.
 
-    New words are encoded many at a time as one text, whose ids fall to its words by the lengths of their
-    bytes. Texts with unusual characters are encoded in one go instead.
+    Texts are split by arrays of their UTF-16 units and Arrow finds the different pieces of a batch, so that the memo is asked once for each
+    of these. New pieces are encoded many at a time as one text, whose ids fall to its pieces by the lengths of their bytes. Texts with
+    unusual characters are encoded in one go instead.
     """
 
     def __init__(self, path: str, memo: int = 700_000):
         import numpy as np
 
-        self.tok, self.memo, self.ids = tokenizer(path), memo, {}
+        self.tok, self.memo, self.ids = tokenizer(path), memo, {b"\0\0": b""}
         # a byte-level token's text has one character for each of its bytes
         sizes = {i: len(token) for token, i in self.tok.get_vocab(with_added_tokens=False).items()}
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
@@ -108,35 +149,64 @@ class Encoder:
 
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def together(self, words: list[str], separator: str) -> None:
-        """Learn the ids of words that stay pieces of their own in separator.join(words); separator is '' or a piece of one byte."""
+    def together(self, words: list[str], separator: str) -> list[bytes]:
+        """The ids of words that stay pieces of their own in separator.join(words); separator is '' or a piece of one byte."""
         import numpy as np
 
         ends = np.cumsum([len(w.encode()) + len(separator) for w in words])
-        ids = np.asarray(self.tok.encode_batch_fast([separator.join(words)], add_special_tokens=False)[0].ids, "<u4")
-        at = np.searchsorted(np.cumsum(self.sizes[ids]), ends - len(separator), side="left") + 1
-        flat, start, gap = ids.tobytes(), 0, 4 * len(separator)
-        for word, end in zip(words, (4 * at).tolist()):
-            self.ids[word] = flat[start:end]
+        flat = self.whole([separator.join(words)])[0]
+        at = np.searchsorted(np.cumsum(self.sizes[np.frombuffer(flat, "<u4")]), ends - len(separator), side="left") + 1
+        found, start, gap = [], 0, 4 * len(separator)
+        for end in (4 * at).tolist():
+            found.append(flat[start:end])
             start = end + gap
+        return found
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Take new pieces (UTF-16) into the memo."""
+        spaced, bare, blank = ([], []), ([], []), ([], [])
+        for piece, word in zip(pieces, b"\0\0".join(pieces).decode("utf-16-le").split("\0")):
+            keys, words = blank if word.isspace() else spaced if word[0] == " " else bare
+            keys.append(piece)
+            words.append(word)
+        for (keys, words), separator in ((spaced, ""), (bare, "\n")):
+            for i in range(0, len(words), 20_000):
+                self.ids.update(zip(keys[i : i + 20_000], self.together(words[i : i + 20_000], separator)))
+        self.ids.update(zip(blank[0], self.whole(blank[1])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        unusual = [UNUSUAL.search(text) is not None for text in texts]
-        odd = iter(self.whole([text for text, u in zip(texts, unusual) if u]))
-        plain = [None if u else PIECE.findall(text) for text, u in zip(texts, unusual)]
-        missing = set().union(*(pieces for pieces in plain if pieces)) - self.ids.keys()
-        if len(self.ids) + len(missing) > self.memo:
-            self.ids = {}
-            missing = set().union(*(pieces for pieces in plain if pieces))
-        spaced = [w for w in missing if w[0] == " " and w[1:].isalpha()]
-        bare = [w for w in missing if w.isalpha()]
-        for words, separator in ((spaced, ""), (bare, "\n")):
-            for i in range(0, len(words), 20_000):
-                self.together(words[i : i + 20_000], separator)
-        rest = [w for w in missing if w not in self.ids]
-        self.ids.update(zip(rest, self.whole(rest)))
-        get = self.ids.__getitem__
-        return [next(odd) if pieces is None else b"".join(map(get, pieces)) for pieces in plain]
+        import numpy as np
+        import pyarrow as pa
+
+        joined = "\0".join([*texts, ""])
+        units = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+        kinds = unit_kinds()[units]
+        if "<|" in joined or np.count_nonzero(kinds == NONE) != len(texts):
+            unusual = [UNUSUAL.search(text) is not None for text in texts]
+            odd = iter(self.whole([text for text, u in zip(texts, unusual) if u]))
+            plain = iter(self.encode([text for text, u in zip(texts, unusual) if not u]))
+            return [next(odd if u else plain) for u in unusual]
+        if not texts:
+            return []
+        starts = piece_starts(units, kinds)
+        places = 2 * np.append(starts, len(units))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(units)]).dictionary_encode()
+        different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.ids.get, different))
+        if missing := [i for i, known in enumerate(ids) if known is None]:
+            if len(self.ids) + len(missing) > self.memo:  # what this batch has in common with earlier ones is kept
+                self.ids = {piece: known for piece, known in zip(different, ids) if known is not None}
+            self.learn([different[i] for i in missing])
+            for i in missing:
+                ids[i] = self.ids[different[i]]
+        # the ids of all pieces, gathered from those of the different ones
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array(list(map(len, ids))) // 4
+        of = pieces.indices.to_numpy()
+        lengths = sizes[of]
+        ends = np.cumsum(lengths)
+        found = flat[np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[kinds[starts] == NONE]).tolist()
+        return [found[start:end] for start, end in zip([0, *cuts], cuts)]
 
 
 _kept: list = [None, None]
