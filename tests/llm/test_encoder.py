@@ -1,11 +1,13 @@
 """The byte-level encoder against the library, and what it asks of its memo and of the library."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from tarnweave.llm import common
+from tarnweave.llm import common, packing
 
 PARTS = "' 's 'll 'l 're 've 'd 'm 't r e v l s a Zé ß 12 ³ ½ ! ... — € ‘ < |".split(" ") + [" ", "  ", "\n", "\t", "\r", "\xa0"]
 ODD = ["\0", "中", "😀", "<|", "<|endoftext|>", "\x1c", " ", "\x85", "é"]
@@ -25,23 +27,45 @@ def test_random_texts(memo):
         assert encoder.encode(texts) == ids_of(texts)
 
 
-def test_memo_is_asked_once_for_each_different_piece():
-    asked = []
+@pytest.fixture
+def asked():
+    """A kind of dict and the keys it was asked for."""
+    keys = []
 
     class Memo(dict):
         def get(self, key):
-            asked.append(key)
+            keys.append(key)
             return dict.get(self, key)
 
         def __getitem__(self, key):
-            asked.append(key)
+            keys.append(key)
             return dict.__getitem__(self, key)
 
+    return Memo, keys
+
+
+def test_memo_is_asked_once_for_each_different_piece(asked):
+    memo, keys = asked
     encoder = common.Encoder(common.byte_bpe_path())
     encoder.encode(["the cat"])
-    encoder.ids = Memo(encoder.ids)
+    encoder.ids = memo(encoder.ids)
     texts = ["the cat" * 1000, "the cat the cat"]
-    assert encoder.encode(texts) == ids_of(texts) and len(asked) < 10
+    assert encoder.encode(texts) == ids_of(texts) and len(keys) < 10
+
+
+def test_packing_asks_the_memo_once_for_each_different_piece(spark, asked, monkeypatch):
+    memo, keys = asked
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, function, schema: function)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    encoder = common.encoder(common.byte_bpe_path())
+    encoder.ids = memo(encoder.ids)
+    text = "the cat sat on 12 mats. " * 2000
+    found = pd.concat(packing.tokenised_pieces(docs, common.byte_bpe_path())(iter([pd.DataFrame({"doc_id": [1, 2], "text": [text, ""]})])))
+    common.give_back()
+    ids = ids_of([text])[0] + b"\0\0\0\0"
+    assert b"".join(found["ids"]) == ids + b"\0\0\0\0" and found["doc_id"].tolist() == [1] * (len(found) - 1) + [2]
+    assert found["length"].max() == packing.CAPACITY and len(keys) < 30
 
 
 def test_full_memo_keeps_what_the_batch_has_in_common():
