@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache, reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.clean import text_or_empty
 from ..functions.text import comparable, group_id
+from ..sources.shared import written
 from . import graph
 
 # Field weights, the fields compared as text, and thresholds.
@@ -21,10 +24,20 @@ TEXT_FIELDS = ("title", "name", "description")
 PRODUCT_THRESHOLD, SUPPLIER_THRESHOLD = 0.85, 0.80
 
 
+#: Pairs of texts that a worker remembers, and the letters of both beyond which it doesn't.
+MEMO_PAIRS, MEMO_LETTERS = 1 << 15, 256
+
+
 def ratio(a: str, b: str) -> float:
-    """Matching-blocks similarity of two comparable texts; its arguments' order matters."""
-    found = SequenceMatcher(None, a, b).ratio()
-    return min(1.0, found * 1.1) if a == b else found
+    """Matching-blocks similarity of two comparable texts; its arguments' order matters. Equal texts are at 1."""
+    if a == b:
+        return 1.0
+    return short_ratio(a, b) if len(a) + len(b) <= MEMO_LETTERS else SequenceMatcher(None, a, b).ratio()
+
+
+@lru_cache(maxsize=MEMO_PAIRS)
+def short_ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -32,6 +45,12 @@ def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+def most_similarity(x: Column, y: Column) -> Column:
+    """A bound on text_similarity from the texts' lengths: different texts of equal length have a letter that doesn't match."""
+    m, n = F.length(x), F.length(y)
+    return F.when(x == y, 1.0).otherwise(F.lit(2.0) * F.least(m, n, F.greatest(m, n) - 1) / (m + n))
+
+
 def block_key(*fields: str) -> Column:
     return F.concat_ws("|", *[text_or_empty(F.col(f)) for f in fields])
 
@@ -41,29 +60,76 @@ def exact_groups(df: DataFrame, *fields: str) -> DataFrame:
     return df.groupBy(block_key(*fields).alias("block")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def record_similarity(a, b, weights: dict[str, float]) -> Column:
-    """Weighted similarity of the fields that both records have; a and b give a record's column by name."""
+def records(df: DataFrame, block: Column, weights: dict[str, float], key: str = "id") -> DataFrame:
+    """__id, __block and each field of weights in the form in which it is compared, null where it isn't given; rows without key or block are left out."""
+    def form(field: str) -> Column:
+        text = text_or_empty(F.col(field))
+        return F.when((text != "") & (text != "0"), comparable(text) if field in TEXT_FIELDS else text)
+
+    own = df.select(F.col(key).alias("__id"), block.alias("__block"), *[form(f).alias(f) for f in weights])
+    return own.where("__id IS NOT NULL AND __block IS NOT NULL")
+
+
+def record_similarity(a, b, weights: dict[str, float], of_texts=text_similarity) -> Column:
+    """Weighted similarity of the fields that both records have; a and b give a record's column, as records() makes it, by name."""
     score, weight = F.lit(0.0), F.lit(0.0)
     for field, w in weights.items():
-        x, y = text_or_empty(a(field)), text_or_empty(b(field))
-        same = text_similarity(comparable(x), comparable(y)) if field in TEXT_FIELDS else F.when(x == y, 1.0).otherwise(0.0)
-        both = (x != "") & (y != "") & (x != "0") & (y != "0")
+        x, y = a(field), b(field)
+        same = of_texts(x, y) if field in TEXT_FIELDS else F.when(x == y, 1.0).otherwise(0.0)
+        both = x.isNotNull() & y.isNotNull()
         score, weight = score + F.when(both, same * w).otherwise(0.0), weight + F.when(both, w).otherwise(0.0)
     return F.coalesce(F.try_divide(score, weight), F.lit(0.0))
 
 
+def own_similarity(weights: dict[str, float]) -> Column:
+    """A record's similarity to its like: 1, or 0 without any field."""
+    return record_similarity(F.col, F.col, weights, most_similarity)
+
+
+def scored(rows: DataFrame, weights: dict[str, float], threshold: float, before: tuple[str, str], out: str) -> DataFrame:
+    """left, right (the column `out` of two rows of a block) and similarity, of rows whose before[0] is less than the other's before[1].
+
+    The lengths of texts bound a pair's similarity: only pairs that may reach the threshold get to Python.
+    """
+    a, b = rows.alias("a"), rows.alias("b").hint("merge")
+    of = lambda side: lambda f: F.col(f"{side}.{f}")
+    near = record_similarity(of("a"), of("b"), weights, most_similarity) >= threshold
+    pairs = a.join(b, (F.col("a.__block") == F.col("b.__block")) & (F.col(f"a.{before[0]}") < F.col(f"b.{before[1]}")) & near)
+    found = pairs.select(F.col(f"a.{out}").alias("left"), F.col(f"b.{out}").alias("right"), record_similarity(of("a"), of("b"), weights).alias("similarity"))
+    return found.where(F.col("similarity") >= threshold)
+
+
+def equal_columns(a: str, b: str, columns: list[str]) -> Column:
+    """Rows of a and b are equal in these columns, nulls too."""
+    return reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+
+
 def similar_pairs(df: DataFrame, block: Column, weights: dict[str, float], threshold: float, key: str = "id") -> DataFrame:
     """(left_id, right_id, similarity) of pairs in a block, the earlier key first. Blocks should be narrow: pairs grow with their squares."""
-    rows = df.select(F.col(key).alias("__id"), block.alias("__block"), *weights)
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.__block") == F.col("b.__block")) & (F.col("a.__id") < F.col("b.__id")))
-    scored = pairs.select(F.col("a.__id").alias("left_id"), F.col("b.__id").alias("right_id"), record_similarity(lambda f: F.col(f"a.{f}"), lambda f: F.col(f"b.{f}"), weights).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    rows = records(df, block, weights, key).withColumnRenamed("__id", "left_id")
+    return scored(rows, weights, threshold, ("left_id", "left_id"), "left_id").select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), "similarity")
 
 
 def greedy_groups(df: DataFrame, block: Column, weights: dict[str, float], threshold: float, key: str = "id") -> DataFrame:
-    """Groups by first seed in key order inside each block: seed_id, id, similarity (to the seed; the seed's own is 1)."""
-    return graph.greedy_groups(similar_pairs(df, block, weights, threshold, key))
+    """Groups by first seed in key order inside each block: seed_id, id, similarity (to the seed; the seed's own is 1).
+
+    Rows equal in all that is compared have the same neighbours: whoever takes the first of them takes the others, and if nobody does it takes
+    them itself. So only first ones are paired, and the rest follow. Keys of several different records are paired themselves.
+    """
+    rows = written(records(df, block, weights, key).distinct(), "records")
+    several = written(rows.groupBy("__id").count().where("count > 1").select("__id"), "several")
+    fields = ["__block", *weights]
+    single = rows.join(several, "__id", "left_anti")
+    first = written(single.groupBy(*fields).agg(F.min("__id").alias("__id")), "first")
+    links = scored(first.unionByName(rows.join(several, "__id", "left_semi")), weights, threshold, ("__id", "__id"), "__id")
+    found = graph.greedy_groups(links.select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), "similarity"))
+    taken = found.where("seed_id <> id")
+    rest = single.withColumn("__own", own_similarity(weights)).alias("r").join(first.alias("f"), equal_columns("r", "f", fields) & (F.col("r.__id") > F.col("f.__id")))
+    rest = rest.select(F.col("r.__id").alias("follower"), F.col("f.__id").alias("leader"), "__own").join(taken, F.col("leader") == F.col("id"), "left")
+    rest = rest.where(F.col("seed_id").isNotNull() | (F.col("__own") >= threshold))
+    rest = written(rest.select(F.coalesce("seed_id", "leader").alias("seed_id"), F.col("follower").alias("id"), F.coalesce("similarity", "__own").alias("similarity")), "followers")
+    members = taken.unionByName(rest)
+    return members.select("seed_id", F.col("seed_id").alias("id"), F.lit(1.0).alias("similarity")).distinct().unionByName(members)
 
 
 def describe_groups(groups: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Similarity join, greedy groups in rounds, linked groups, prefix scans, imports and locale order, against plain Python."""
 
 import random
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 from itertools import combinations
@@ -92,6 +93,59 @@ def test_greedy_groups_in_rounds(spark, finish):
     assert found == sequential(links)
 
 
+RECORD = "id long, block string, title string, price_min double, price_max double, category_name string"
+
+
+def record_rows():
+    """Rows of few values, so that many are equal, some of them without any field, some keys with several records, and some without key or block."""
+    chance = random.Random(11)
+    titles = ["Blue ring", "blue  ring!", "Blue rings", "red bolt", "red bolts", "green rod", "!", "0", "", None, "ab" * 150, "ab" * 149 + "c"]
+    rows = [(k, chance.choice("xyz"), chance.choice(titles), chance.choice([1.0, 2.0, 0.0, None]), chance.choice([3.0, None]), chance.choice(["c", "0", None])) for k in range(200)]
+    rows += [(7, "x", "Blue ring", 1.0, 3.0, "c"), (7, "y", "red bolt", 2.0, None, None), (7, "x", "Blue ring", 1.0, 3.0, "c"), (90, "z", "green rod", 1.0, 3.0, "c")]
+    rows += [(300 + k, "e", None, None, None, None) for k in range(3)] + [(None, "x", "Blue ring", 1.0, 3.0, "c"), (400, None, "Blue ring", 1.0, 3.0, "c"), (401, None, "Blue ring", 1.0, 3.0, "c")]
+    chance.shuffle(rows)
+    return rows
+
+
+def score_of(a, b):
+    """Similarity by the rule itself."""
+    clean = lambda t: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", t.lower())).strip()
+    score = weight = 0.0
+    for w, x, y in zip((0.4, 0.3, 0.2, 0.1), a[2:], b[2:]):
+        if x not in (None, "", "0") and y not in (None, "", "0"):
+            same = SequenceMatcher(None, clean(x), clean(y)).ratio() if w == 0.4 else float(x == y)
+            score, weight = score + same * w, weight + w
+    return score / weight if weight else 0.0
+
+
+def record_pairs(rows, threshold):
+    """left, right, similarity of each pair of rows of a block above the threshold."""
+    rows = sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0])
+    return [(a[0], b[0], score_of(a, b)) for a, b in combinations(rows, 2) if a[0] < b[0] and a[1] == b[1] and score_of(a, b) >= threshold]
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.8])
+def test_greedy_groups_of_records(spark, threshold):
+    rows = record_rows()
+    df = spark.createDataFrame(rows, RECORD)
+    pairs = record_pairs(rows, threshold)
+    expected = set()
+    for seed, mates in sequential({p[:2] for p in pairs}).items():
+        expected |= {(seed, seed, 1.0)} | {(seed, k, round(min(p[2] for p in pairs if p[:2] == (seed, k)), 9)) for k in mates}
+    found = [(r.seed_id, r.id, round(r.similarity, 9)) for r in dedup.greedy_groups(df, F.col("block"), dedup.PRODUCT_WEIGHTS, threshold).collect()]
+    assert set(found) == expected and len(found) == len(expected) > 100
+
+
+def test_equal_records_are_not_paired(spark, monkeypatch):
+    given, whole = [], graph.greedy_groups
+    monkeypatch.setattr(graph, "greedy_groups", lambda links: given.append(links.count()) or whole(links))
+    df = spark.range(600).selectExpr("id", "'b' AS block", "IF(id % 2 = 0, 'Blue ring', 'Blue rings') AS title", "1D AS price_min", "2D AS price_max", "'c' AS category_name")
+    found = dedup.greedy_groups(df, F.col("block"), dedup.PRODUCT_WEIGHTS, 0.5)
+    assert given == [1]  # by rows, 179 700
+    assert found.count() == 600 and found.where("seed_id = 0").count() == 600
+    assert {r.id % 2: r.similarity for r in found.where("id > 1").collect()} == {0: 1.0, 1: pytest.approx(0.6 + 0.4 * ratio("blue ring", "blue rings"))}
+
+
 def test_hot_values_cost_a_link_each(spark):
     rows = [(k, "n" if k % 3 == 0 else f"n{k}", f"p{k // 50}" if k % 7 == 0 else None) for k in range(600)] + [(None, "n", "p"), (900, "", "")]
     df = spark.createDataFrame(rows, "id long, name string, phone string")
