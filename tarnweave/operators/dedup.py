@@ -70,8 +70,8 @@ def records(df: DataFrame, block: Column, weights: dict[str, float], key: str =
     return own.where("__id IS NOT NULL AND __block IS NOT NULL")
 
 
-def record_similarity(a, b, weights: dict[str, float], of_texts=text_similarity) -> Column:
-    """Weighted similarity of the fields that both records have; a and b give a record's column, as records() makes it, by name."""
+def record_similarity(a, b, weights: dict[str, float], of_texts) -> Column:
+    """Weighted similarity of the fields that both records have, of texts by of_texts; a and b give a record's column, as records() makes it, by name."""
     score, weight = F.lit(0.0), F.lit(0.0)
     for field, w in weights.items():
         x, y = a(field), b(field)
@@ -95,7 +95,7 @@ def scored(rows: DataFrame, weights: dict[str, float], threshold: float, before:
     of = lambda side: lambda f: F.col(f"{side}.{f}")
     near = record_similarity(of("a"), of("b"), weights, most_similarity) >= threshold
     pairs = a.join(b, (F.col("a.__block") == F.col("b.__block")) & (F.col(f"a.{before[0]}") < F.col(f"b.{before[1]}")) & near)
-    found = pairs.select(F.col(f"a.{out}").alias("left"), F.col(f"b.{out}").alias("right"), record_similarity(of("a"), of("b"), weights).alias("similarity"))
+    found = pairs.select(F.col(f"a.{out}").alias("left"), F.col(f"b.{out}").alias("right"), record_similarity(of("a"), of("b"), weights, text_similarity).alias("similarity"))
     return found.where(F.col("similarity") >= threshold)
 
 
@@ -105,9 +105,17 @@ def equal_columns(a: str, b: str, columns: list[str]) -> Column:
 
 
 def similar_pairs(df: DataFrame, block: Column, weights: dict[str, float], threshold: float, key: str = "id") -> DataFrame:
-    """(left_id, right_id, similarity) of pairs in a block, the earlier key first. Blocks should be narrow: pairs grow with their squares."""
-    rows = records(df, block, weights, key).withColumnRenamed("__id", "left_id")
-    return scored(rows, weights, threshold, ("left_id", "left_id"), "left_id").select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), "similarity")
+    """(left_id, right_id, similarity) of pairs in a block, the earlier key first. Blocks should be narrow: pairs grow with their squares.
+
+    Rows equal in all that is compared are one class: classes are compared, once for each order in which they have rows, and their rows paired by keys.
+    """
+    rows, fields = records(df, block, weights, key), ["__block", *weights]
+    classes = rows.groupBy(*fields).agg(F.min("__id").alias("__first"), F.max("__id").alias("__last"))
+    classes = written(classes.withColumn("__class", F.monotonically_increasing_id()), "classes")
+    found = scored(classes, weights, threshold, ("__first", "__last"), "__class")
+    members = rows.alias("r").join(classes.alias("c"), equal_columns("r", "c", fields)).select("__class", "__id")
+    of = lambda side: members.select(F.col("__class").alias(side), F.col("__id").alias(f"{side}_id")).hint("merge")
+    return found.join(of("left"), "left").join(of("right"), "right").where("left_id < right_id").select("left_id", "right_id", "similarity")
 
 
 def greedy_groups(df: DataFrame, block: Column, weights: dict[str, float], threshold: float, key: str = "id") -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,31 @@ def test_equal_records_are_not_paired(spark, monkeypatch):
     assert {r.id % 2: r.similarity for r in found.where("id > 1").collect()} == {0: 1.0, 1: pytest.approx(0.6 + 0.4 * ratio("blue ring", "blue rings"))}
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.8])
+def test_similar_pairs_of_records(spark, threshold):
+    rows = record_rows()
+    found = [(r.left_id, r.right_id, round(r.similarity, 9)) for r in dedup.similar_pairs(spark.createDataFrame(rows, RECORD), F.col("block"), dedup.PRODUCT_WEIGHTS, threshold).collect()]
+    expected = [(a, b, round(s, 9)) for a, b, s in record_pairs(rows, threshold)]
+    assert sorted(found) == sorted(expected) and len(expected) > 100
+
+
+def test_equal_records_are_compared_once(spark, monkeypatch):
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counting(a: pd.Series, b: pd.Series) -> pd.Series:
+        compared.add(len(a))
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+    monkeypatch.setattr(dedup, "text_similarity", counting)
+    # two titles at two prices: 150 rows each, and a title too short for any other
+    df = spark.range(603).selectExpr("id", "'b' AS block", "CASE WHEN id >= 600 THEN 'x' WHEN id % 2 = 0 THEN 'Blue ring' ELSE 'Blue rings' END AS title", "CAST(id % 4 DIV 2 AS DOUBLE) + 1 + id DIV 600 AS price_min", "price_min + 1 AS price_max", "'c' AS category_name")
+    found = dedup.similar_pairs(df, F.col("block"), dedup.PRODUCT_WEIGHTS, 0.5).select("left_id", "right_id").distinct().count()
+    title, price = (lambda k: k % 2 if k < 600 else 2), (lambda k: k % 4 // 2 + k // 600)
+    assert found == sum(title(a) == title(b) or price(a) == price(b) for a, b in combinations(range(603), 2))
+    assert 0 < compared.value < 50  # by rows, 181 503
+
+
 def test_hot_values_cost_a_link_each(spark):
     rows = [(k, "n" if k % 3 == 0 else f"n{k}", f"p{k // 50}" if k % 7 == 0 else None) for k in range(600)] + [(None, "n", "p"), (900, "", "")]
     df = spark.createDataFrame(rows, "id long, name string, phone string")
